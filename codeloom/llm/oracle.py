@@ -1 +1,20 @@
-ORACLE = {}
+"""DuckDB SQL for the queries of this subpackage."""
+
+P3_FOUND = """
+WITH i AS (SELECT DISTINCT file, issue_id, impact, confidence FROM ai_issues
+           WHERE file IS NOT NULL AND impact IS NOT NULL AND NOT isnan(impact) AND issue_id IS NOT NULL)
+SELECT file, issue_id FROM i
+QUALIFY row_number() OVER (PARTITION BY file ORDER BY impact DESC, confidence DESC NULLS LAST, issue_id) <= 3
+"""
+
+P6_FOUND = r"""
+WITH RECURSIVE n AS (
+  SELECT regexp_replace(regexp_replace(regexp_replace(replace(path_a, '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/', '') AS a,
+         regexp_replace(regexp_replace(regexp_replace(replace(path_b, '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '^/', '') AS b
+  FROM ncd_candidates WHERE path_a IS NOT NULL AND path_b IS NOT NULL AND distance IS NOT NULL AND NOT isnan(distance) AND distance <= 0.4),
+e AS (SELECT a, b FROM n WHERE a <> b UNION SELECT b, a FROM n WHERE a <> b),
+r(path, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.path)
+SELECT path, min(g) AS group_path FROM r GROUP BY path
+"""
+
+ORACLE = {"p3_found": P3_FOUND, "p6_found": P6_FOUND}

@@ -1 +1,22 @@
-QUERIES = {}
+"""Queries of the operators of this subpackage over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm.groups import linked_groups
+from codeloom.llm.topn import top_n
+from codeloom.plans.tables import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    issues = table(spark, d, "ai_issues").select("file", "impact", "confidence", "issue_id")
+    return top_n(issues, "file", "impact", "confidence", "issue_id", 3).select(F.col("grp").alias("file"), F.col("id").alias("issue_id"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_groups(table(spark, d, "ncd_candidates"), 0.4)
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
