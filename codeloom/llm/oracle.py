@@ -17,4 +17,43 @@ r(path, g) AS (SELECT a, a FROM e UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r
 SELECT path, min(g) AS group_path FROM r GROUP BY path
 """
 
-ORACLE = {"p3_found": P3_FOUND, "p6_found": P6_FOUND}
+P2_RUNS = r"""
+b AS (SELECT DISTINCT block_id, path, start_line, string_split(source, chr(10)) AS l FROM blocks
+      WHERE block_id IS NOT NULL AND path IS NOT NULL AND source IS NOT NULL AND start_line IS NOT NULL),
+w AS (SELECT block_id, path, start_line, p, array_to_string(l[p:p + 5], chr(10)) AS t
+      FROM (SELECT *, unnest(range(1, len(l) - 4)) AS p FROM b WHERE len(l) >= 6)),
+k AS (SELECT t FROM w GROUP BY t HAVING min(path) <> max(path)),
+s AS (SELECT DISTINCT block_id, start_line, unnest(range(p, p + 6)) AS n FROM w SEMI JOIN k USING (t)),
+runs AS (SELECT block_id, start_line + min(n) - 1 AS first_line, start_line + max(n) - 1 AS last_line
+      FROM (SELECT *, n - row_number() OVER (PARTITION BY block_id ORDER BY n) AS g FROM s) GROUP BY block_id, start_line, g)
+"""
+
+P2_FOUND = "WITH" + P2_RUNS + "SELECT * FROM runs"
+
+P2_SHARES = "WITH" + P2_RUNS + """
+SELECT b.block_id, len(b.l)::BIGINT AS lines, coalesce(x.n, 0)::BIGINT AS shared_lines, round(coalesce(x.n, 0) / len(b.l), 6) AS share
+FROM b LEFT JOIN (SELECT block_id, sum(last_line - first_line + 1) AS n FROM runs GROUP BY 1) x USING (block_id)
+"""
+
+P8_WORDS = r"""
+d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
+
+P8_FOUND = "WITH" + P8_WORDS + "SELECT * FROM hits"
+
+P8_CLEAN = "WITH" + P8_WORDS + "SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM hits)"
+
+P7_FOUND = r"""
+WITH b AS (SELECT DISTINCT block_id, path, regexp_extract_all(source, '[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$]') AS t FROM blocks
+           WHERE block_id IS NOT NULL AND path IS NOT NULL AND source IS NOT NULL),
+s AS (SELECT DISTINCT block_id, path, array_to_string(t[p:p + 2], chr(1)) AS g FROM (SELECT *, unnest(range(1, len(t) - 1)) AS p FROM b WHERE len(t) >= 3)),
+n AS (SELECT block_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.block_id AS block_a, y.block_id AS block_b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.block_id < y.block_id AND x.path <> y.path GROUP BY 1, 2)
+SELECT block_a, block_b FROM c JOIN n a ON a.block_id = block_a JOIN n b ON b.block_id = block_b WHERE k >= 0.7 * (a.n + b.n - k)
+"""
+
+ORACLE = {"p2_found": P2_FOUND, "p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.groups import linked_groups
+from codeloom.llm.leak import leaked_items, leaked_passages, without_leaks
+from codeloom.llm.neardup import near_duplicate_groups, near_duplicate_pairs
+from codeloom.llm.spans import fuzzy_passages, shared_share, shared_spans
 from codeloom.llm.topn import top_n
 from codeloom.plans.tables import table
 
@@ -19,4 +22,40 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(table(spark, d, "ncd_candidates"), 0.4)
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "blocks")).select("block_id", "first_line", "last_line")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shared_share(table(spark, d, "blocks"))
+
+
+def p2_passages(spark: SparkSession, d: str) -> DataFrame:
+    return fuzzy_passages(table(spark, d, "blocks"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_pairs(table(spark, d, "blocks"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicate_groups(table(spark, d, "blocks"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(_hits(spark, d))
+
+
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    return without_leaks(table(spark, d, "documents"), _hits(spark, d)).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean)}
