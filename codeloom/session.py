@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,3 +88,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each context, by a zip in the shared folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_codeloom_shipped", False):
+        return
+    home, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, f"{home.name}/{p.relative_to(home)}")
+    target = f"{shared_dir(spark, 'package')}/codeloom.zip"
+    fs, hpath = _fs(spark, target)
+    out = fs.create(hpath, True)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+    sc._codeloom_shipped = True
