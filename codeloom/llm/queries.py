@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.groups import linked_groups
+from codeloom.llm.handwritten import classify_files, not_handwritten
 from codeloom.llm.leak import leaked_items, leaked_passages, without_leaks
 from codeloom.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from codeloom.llm.spans import fuzzy_passages, shared_share, shared_spans
+from codeloom.llm.syntax import error_rates, invalid_files
 from codeloom.llm.topn import top_n
 from codeloom.plans.tables import table
 
@@ -18,6 +20,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(issues, "file", "impact", "confidence", "issue_id", 3).select(F.col("grp").alias("file"), F.col("id").alias("issue_id"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_files(table(spark, d, "files")).select("path").distinct()
+
+
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_files(table(spark, d, "files"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return error_rates(table(spark, d, "files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_handwritten(table(spark, d, "files")).select("path")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return classify_files(table(spark, d, "files"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(table(spark, d, "ncd_candidates"), 0.4)
 
@@ -58,4 +80,4 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _hits(spark, d)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean)}
