@@ -12,6 +12,7 @@ from codeloom.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from codeloom.llm.spans import fuzzy_passages, shared_share, shared_spans
 from codeloom.llm.syntax import error_rates, invalid_files
 from codeloom.llm.topn import top_n
+from codeloom.llm.truncation import judged, truncated_documents, truncation_rates
 from codeloom.plans.tables import table
 
 
@@ -44,6 +45,18 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(table(spark, d, "ncd_candidates"), 0.4)
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated_documents(table(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(table(spark, d, "documents"))
+
+
+def p10_limits(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "documents"))[1]
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "blocks")).select("block_id", "first_line", "last_line")
 
@@ -80,4 +93,4 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _hits(spark, d)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean, p10_found, p10_rates, p10_limits)}
