@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.groups import linked_groups
 from codeloom.llm.handwritten import classify_files, not_handwritten
 from codeloom.llm.leak import leaked_items, leaked_passages, without_leaks
+from codeloom.llm.mixing import mix
 from codeloom.llm.neardup import near_duplicate_groups, near_duplicate_pairs
 from codeloom.llm.spans import fuzzy_passages, shared_share, shared_spans
 from codeloom.llm.syntax import error_rates, invalid_files
@@ -45,6 +46,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_groups(table(spark, d, "ncd_candidates"), 0.4)
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated_documents(table(spark, d, "documents"))
 
@@ -93,4 +102,4 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _hits(spark, d)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
