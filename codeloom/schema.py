@@ -1,0 +1,29 @@
+"""Schemas of the fact tables that every detector reads."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+FILES = "path string, language string, source string, sha256 string, loc bigint, total_lines bigint, functions bigint, classes bigint, complexity bigint, max_nesting_depth bigint"
+DEP_EDGES = "source string, target string, resolved boolean"
+EXTERNAL_IMPORTS = "path string, package string"
+IMPORTED_NAMES = "target string, name string, importer string"
+EXPORTS = "path string, name string"
+TYPE_EXPORTS = "path string, name string, kind string"
+REEXPORTS = "barrel string, target string, name string"
+BLOCKS = "path string, name string, kind string, start_line bigint, end_line bigint, source string"
+PARSE_ERRORS = "path string, message string, line bigint, column bigint"
+LINES = "path string, line_no bigint, text string"
+ENTRIES = "path string, class string"
+ALIASES = "scope_dir string, ord int, prefix string, target string"
+MANIFEST_DEPS = "package_json string, section string, package string"
+RULES = "rule string, kind string, needles array<string>, exclusions array<string>, severity string, confidence double, message string, langs array<string>"
+GUARD = "path string, hash string, description string"
+BASELINE = "fingerprint string"
+CLONE_PAIRS = "confidence double, file_a string, name_a string, start_a bigint, end_a bigint, file_b string, name_b string, start_b bigint, end_b bigint"
+CLONE_INSTANCES = "group_id bigint, file string, start_line bigint, end_line bigint"
+ISSUES = "category string, key string, path string, line bigint, name string, severity string, confidence double, message string"
+
+
+def struct(schema: str) -> T.StructType:
+    return T.StructType.fromDDL(schema)
