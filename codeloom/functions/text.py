@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
@@ -59,7 +64,7 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
 
-PATTERN_TOKEN = r"""[\p{L}\p{N}_]+!?|"(?:[^"\\]|\\[\s\S])*"?|'(?:[^'\\]|\\[\s\S])*'?|===|!==|\.\.\.|->|=>|::|==|!=|&&|\|\||\?\?|<=|>=|\.\.|\S"""
+PATTERN_TOKEN = r"""[\p{L}\p{N}_]+!?|"(?:[^"\\]|\\[\s\S])*+"?|'(?:[^'\\]|\\[\s\S])*+'?|===|!==|\.\.\.|->|=>|::|==|!=|&&|\|\||\?\?|<=|>=|\.\.|\S"""
 
 
 def pattern_tokens(source: Column) -> Column:
@@ -69,9 +74,13 @@ def pattern_tokens(source: Column) -> Column:
 
 def truncate_bytes(c: Column, most: int, keep: int) -> Column:
     """At most ``most`` UTF-8 bytes; longer text keeps what fits in ``keep`` bytes, whole characters only, and an ellipsis."""
-    chars = F.transform(F.sequence(F.lit(1), F.lit(keep)), lambda i: F.octet_length(F.substring(c, F.lit(1), i)))
-    fit = F.size(F.filter(chars, lambda n: n <= keep))
-    return F.when(F.octet_length(c) > most, F.concat(F.substring(c, F.lit(1), fit), F.lit("..."))).otherwise(c)
+
+    def cut(x: Column) -> Column:
+        sizes = F.transform(F.sequence(F.lit(1), F.lit(keep)), lambda i: F.octet_length(F.substring(x, F.lit(1), i)))
+        fit = F.size(F.filter(sizes, lambda n: n <= keep))
+        return F.when(F.octet_length(x) > most, F.concat(F.substring(x, F.lit(1), fit), F.lit("..."))).otherwise(x)
+
+    return let(c, cut)
 
 
 def parent_dir(path: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import file_name, jaccard, normalized, parent_dir, round2, text_lines, words
+from codeloom.functions.text import file_name, jaccard, let, normalized, parent_dir, round2, text_lines, words
 from codeloom.operators.graph import components
 from codeloom.operators.pairs import bucket_pairs
 from codeloom.operators.skew import join_per_key
@@ -22,14 +22,19 @@ def winnowed(tokens: Column, k: int = K, w: int = W) -> Column:
 
     k-grams are ordered by their MD5 digest in hexadecimal.
     """
-    n = F.size(tokens) - k + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(tokens, i, k), " ")))
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(window_minima(grams, w))
+
+    def grams(t: Column) -> Column:
+        n = F.size(t) - k + 1
+        return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(t, i, k), " "))))
+
+    return let(let(tokens, grams), lambda g: window_minima(g, w))
 
 
 def window_minima(grams: Column, w: int = W) -> Column:
+    """The sorted set of the least element of each window; a shorter list is one window."""
     wide = F.least(F.lit(w), F.size(grams))
-    return F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(grams) - wide + 1), lambda i: F.array_min(F.slice(grams, i, wide)))))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - wide + 1, F.lit(1)))
+    return F.when(F.size(grams) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, wide))))))
 
 
 def kgram_hashes(tokens: list[str], k: int = K) -> list[int]:

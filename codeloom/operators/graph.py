@@ -54,13 +54,13 @@ def dead_code(nodes: DataFrame, edges: DataFrame, entries: DataFrame, loc: DataF
     return _with_loc(dead, loc, 0.95, UNREACHABLE)
 
 
-def framework_dead(nodes: DataFrame, edges: DataFrame, framework: DataFrame, implicit: DataFrame, loc: DataFrame) -> DataFrame:
-    """Implicit entries below src/, __mocks__/ or scripts/ that no framework entry reaches; tests are left out."""
+def framework_dead(nodes: DataFrame, edges: DataFrame, framework: DataFrame, implicit: DataFrame, loc: DataFrame, folders: str = "^(src|__mocks__|scripts)/") -> DataFrame:
+    """Implicit entries below the folders (src, __mocks__ and scripts at the root) that no framework entry reaches; tests are left out."""
     keys = nodes.select("path").where("path is not null").distinct()
     live = reachable(edges, framework.select("path")).withColumnRenamed("node", "path")
     dead = (
         implicit.select("path").distinct().join(live, "path", "left_anti").join(keys, "path", "left_semi")
-        .where(F.col("path").rlike("^(src|__mocks__|scripts)/") & ~F.col("path").rlike(r"\.(test|spec)\."))
+        .where(F.col("path").rlike(folders) & ~F.col("path").rlike(r"\.(test|spec)\."))
     )
     return _with_loc(dead, loc, 0.7, FRAMEWORK_DEAD)
 

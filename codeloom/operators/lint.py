@@ -82,8 +82,8 @@ def lines_of(files: DataFrame) -> DataFrame:
 
 def _outside_strings(text: Column) -> Column:
     """The line without whole string literals; an unterminated one hides the rest."""
-    raw = F.regexp_replace(text, r'r(#*)"(?:(?!"\1).)*(?:"\1|$)', "")
-    return F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*(?:"|$)', "")
+    raw = F.regexp_replace(text, r'r(#*)"(?:(?!"\1).)*+(?:"\1|$)', "")
+    return F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*+(?:"|$)', "")
 
 
 def _breaks(rule: LineRule, text: Column, path: Column, comment: Column) -> Column:
@@ -139,9 +139,9 @@ def file_issues(files: DataFrame, rules=FILE_RULES) -> DataFrame:
             cond = cond & ~src.contains(x) & ~path.contains(x)
         found.append(F.when(cond, F.struct(F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"), F.lit(r.message).alias("message"), F.lit(r.confidence).alias("confidence"), pick.alias("needle"), F.lit(r.kind == "regex").alias("regex"))))
     rows = texts.select("path", text_lines(src).alias("lines"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    at = F.array_position(F.transform("lines", lambda x: F.when(F.col("f.regex"), x.rlike(F.col("f.needle"))).otherwise(x.contains(F.col("f.needle")))), True)
-    rows = rows.withColumn("line", at.cast("bigint")).where("line > 0")
-    return rows.select(F.col("path").alias("file"), "line", "f.rule", "f.severity", "f.message", "f.confidence", truncate_bytes(trim_all(F.element_at("lines", F.col("line").cast("int"))), 120, 117).alias("snippet"))
+    at = F.array_position(F.transform("lines", lambda x: F.when(F.col("f.regex"), F.regexp_like(x, F.col("f.needle"))).otherwise(x.contains(F.col("f.needle")))), True)
+    rows = rows.withColumn("at", at.cast("int")).where("at > 0")
+    return rows.select(F.col("path").alias("file"), F.col("at").cast("bigint").alias("line"), "f.rule", "f.severity", "f.message", "f.confidence", truncate_bytes(trim_all(F.element_at("lines", F.col("at"))), 120, 117).alias("snippet"))
 
 
 def unhandled_promises(files: DataFrame) -> DataFrame:
@@ -173,10 +173,10 @@ def callback_hell(files: DataFrame) -> DataFrame:
         return F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), F.when(hit, acc["n"] + 1).otherwise(acc["line"]).alias("line"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("line"))
-    rows = texts.select("path", text_lines(F.col("source")).alias("lines")).withColumn("line", F.aggregate("lines", start, step, lambda a: a["line"])).where("line > 0")
+    rows = texts.select("path", text_lines(F.col("source")).alias("lines")).withColumn("at", F.aggregate("lines", start, step, lambda a: a["line"])).where("at > 0")
     return rows.select(
-        F.col("path").alias("file"), F.col("line").cast("bigint").alias("line"), F.lit("callback-hell").alias("rule"), F.lit("info").alias("severity"),
-        F.lit("deeply nested callbacks").alias("message"), F.lit(0.5).alias("confidence"), truncate_bytes(trim_all(F.element_at("lines", F.col("line"))), 120, 117).alias("snippet"),
+        F.col("path").alias("file"), F.col("at").cast("bigint").alias("line"), F.lit("callback-hell").alias("rule"), F.lit("info").alias("severity"),
+        F.lit("deeply nested callbacks").alias("message"), F.lit(0.5).alias("confidence"), truncate_bytes(trim_all(F.element_at("lines", F.col("at"))), 120, 117).alias("snippet"),
     )
 
 
