@@ -76,7 +76,7 @@ def barrel_files(files: DataFrame) -> DataFrame:
     flat = F.regexp_replace(F.col("source"), r"(?s)export\s+(type\s+)?\{[^}]*\}(\s*from\s+['\"][^'\"]*['\"])?\s*;?", "export {}$2;")
     lines = F.filter(F.transform(text_lines(flat), trim_all), lambda x: ~x.rlike(r"^(//|/\*|\*|$)"))
     again = F.size(F.filter(lines, lambda x: x.rlike(r"^export \*|^export\b.*\sfrom\s")))
-    ratio = again / F.size(lines)
+    ratio = again / F.greatest(F.size(lines), F.lit(1))
     index = file_name(F.col("path")).rlike(r"^index\.(ts|tsx|js|jsx)$")
     cond = ((ratio >= 1.0) & (again >= 1)) | (index & (ratio > 0.6)) | (~index & (ratio > 0.3) & (again >= 3))
     sized = files.where("source is not null").select("path", "language", lines.alias("lines"), "source")

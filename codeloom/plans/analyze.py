@@ -46,7 +46,7 @@ def analyze(files: DataFrame, manifest: DataFrame | None = None, aliases: DataFr
         missing = scripts.where("target is null")
         scripts = scripts.where("target is not null").unionByName(registry.resolve(missing))
     uses = facts.where("language = 'rust'").select(F.col("path").alias("importer"), F.inline("named_imports")).select("importer", F.concat_ws("::", "spec", "name").alias("module"))
-    mods = facts.where("language = 'rust'").select(F.col("path").alias("importer"), F.concat(F.lit("self::"), F.explode("modules")).alias("module"))
+    mods = facts.where("language = 'rust'").select(F.col("path").alias("importer"), F.explode("modules").alias("m")).select("importer", F.concat(F.lit("self::"), "m").alias("module"))
     crates = resolve_rust(uses.union(mods), facts.select("path"))
     resolved = materialize(scripts.unionByName(crates.select("importer", F.col("module").alias("spec"), "target").where("target is not null")), "resolved")
     edges = fact_ops.dep_edges(facts, resolved)

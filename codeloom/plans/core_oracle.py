@@ -195,7 +195,8 @@ sha256(regexp_replace(regexp_replace(text, '([|`*_<>\[\]])', '\\\1', 'g'), '[\r\
 
 EXPORTED = rf"""WITH {LINE}, x AS (SELECT path, ltrim(text, chr(65279)) AS text FROM line WHERE language IN {SCRIPTS} AND starts_with(ltrim(text, chr(65279)), 'export ')),
 d AS (SELECT path, regexp_extract(text, '^export (?:default )?(?:async )?(?:function\*?|class|interface|type|const|let|var) ([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS name, text FROM x)
-SELECT DISTINCT path, CASE WHEN name <> '' AND NOT name IN ('enum', 'extends') THEN name ELSE 'default' END AS name FROM d WHERE name <> '' OR starts_with(text, 'export default')"""
+SELECT DISTINCT path, CASE WHEN name <> '' AND NOT name IN ('enum', 'extends') THEN name ELSE 'default' END AS name FROM d WHERE name <> '' OR starts_with(text, 'export default')
+UNION SELECT path, trim(name) FROM (SELECT path, unnest(string_split(regexp_extract(text, '^export \{{ ([^}}]*) \}}', 1), ',')) AS name FROM x) WHERE trim(name) <> ''"""
 UNUSED_TYPES = rf"""WITH {LINE}, x AS (SELECT DISTINCT path, regexp_extract(text, '^export (interface|type) ([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS kind, regexp_extract(text, '^export (interface|type) ([A-Za-z_$][A-Za-z0-9_$]*)', 2) AS name
   FROM line WHERE language IN {SCRIPTS} AND regexp_matches(text, '^export (interface|type) [A-Za-z_$]')),
 i AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_extract(text, '^\s*import\s+(?:type\s+)?(.*?)\s+from\s', 1), '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM line WHERE regexp_matches(text, '^\s*import\s'))
