@@ -37,7 +37,7 @@ DefaultExpr: Assign
 
 Decl: FuncDecl | ClassDecl
     @ts | InterfaceDecl | TypeAlias | EnumDecl | NamespaceDecl | 'declare' Ambient | 'abstract' 'class' Name ClassRest
-@ts Ambient: FuncSig | ClassDecl | 'abstract' 'class' Name ClassRest | InterfaceDecl | TypeAlias | EnumDecl | NamespaceDecl | ('var' | 'let' | 'const') AmbientVar % ',' Semi | 'global' Block
+@ts Ambient: FuncSig | ClassDecl | 'abstract' 'class' Name ClassRest | InterfaceDecl | TypeAlias | EnumDecl | NamespaceDecl | ('var' | 'let' | 'const') AmbientVar % ',' Semi | 'global' '{' ModItem* '}'
 @ts AmbientVar: Binding TypeAnn? Init?
 @ts FuncSig: 'async'? 'function' '*'? Name Sig Semi
 FuncDecl: 'function' '*'? Name Sig Block | 'async' 'function' '*'? Name Sig Block
@@ -158,7 +158,9 @@ TplRest: TPLTAIL | TPLMID Expr TplRest
 @ts EnumDecl: 'enum' Name EnumBody | 'const' 'enum' Name EnumBody
 @ts EnumBody: '{' '}' | '{' EnumItem % ',' '}' | '{' EnumItem % ',' ',' '}'
 @ts EnumItem: PropName | PropName Init
-@ts NamespaceDecl: ('namespace' | 'module') Name % '.' '{' Item* '}' | 'module' STR '{' Item* '}' | 'module' STR Semi
+@ts NamespaceDecl: ('namespace' | 'module') Name % '.' '{' ModItem* '}' | 'module' STR '{' ModItem* '}' | 'module' STR Semi
+@ts ModItem: Item | 'export'? 'const' NoInit % ',' Semi
+@ts NoInit: Binding TypeAnn
 @ts TypeParams: '<' TypeParam % ',' '>' | '<' TypeParam % ',' ',' '>'
 @ts TypeParam: ParamMod* Name | ParamMod* Name 'extends' Type | ParamMod* Name '=' Type | ParamMod* Name 'extends' Type '=' Type
 @ts ParamMod: 'const' | 'in' | 'out'

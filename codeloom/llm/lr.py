@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 
-EOF = "$"
+EOF = "<end>"
 LEX = re.compile(r"\s*('[^']+'|\w+|[|()?*+%:])")
 
 

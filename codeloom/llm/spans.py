@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.skew import join_per_key
 
-GAP_COST = 0.25
+GAP_COST = 0.05
 
 
 def chain_matches(pos: list[int], other: list[int]) -> list[list[int]]:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.lexers import js_chunks, py_chunks, rs_chunks
 from codeloom.llm.grammars import ecma, python, rust
-from codeloom.llm.lexers import js_chunks, py_chunks, rs_chunks
 from codeloom.llm.lr import EOF, Recognizer, Tables, read_grammar
 
 FLAGS = {"typescript": {"ts", "cast"}, "tsx": {"ts", "jsx"}, "javascript": set(), "jsx": {"jsx"}}
