@@ -218,17 +218,20 @@ def group_sizes(instances: DataFrame) -> DataFrame:
     return instances.groupBy("group_id").agg(F.count(F.lit(1)).alias("instances"), F.min(F.col("end_line") - F.col("start_line") + 1).alias("line_count")).where("instances >= 2").withColumn("token_count", F.col("line_count") * TOKENS_A_LINE)
 
 
-def _pairs_in_groups(instances: DataFrame, item: Column) -> DataFrame:
-    """group_id, x, y, line_count for the distinct items of each group, x < y."""
+def _pairs_in_groups(instances: DataFrame, item: Column, only: DataFrame | None = None) -> DataFrame:
+    """group_id, x, y, line_count for the distinct items of each group, x < y; ``only`` (file) restricts the instances that are paired."""
     sizes = group_sizes(instances).select("group_id", "line_count")
-    names = instances.select("group_id", item.alias("id")).distinct()
+    kept = instances if only is None else instances.join(only, "file", "left_semi")
+    names = kept.select("group_id", item.alias("id")).distinct()
     left = names.select("group_id", F.col("id").alias("x"))
     return left.join(names.select("group_id", F.col("id").alias("y")), "group_id").where("x < y").join(sizes, "group_id")
 
 
 def clone_families(instances: DataFrame) -> DataFrame:
     """file_a, file_b, group_count, lines of pairs of files that share two or more groups."""
-    p = _pairs_in_groups(instances, F.col("file"))
+    # a file in one group only can't share two
+    often = instances.groupBy("file").agg(F.countDistinct("group_id").alias("n")).where("n >= 2").select("file")
+    p = _pairs_in_groups(instances, F.col("file"), often)
     return p.groupBy(F.col("x").alias("file_a"), F.col("y").alias("file_b")).agg(F.count(F.lit(1)).alias("group_count"), F.sum("line_count").alias("lines")).where("group_count >= 2")
 
 

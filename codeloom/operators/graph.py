@@ -32,16 +32,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) ->
     e = edges.where("source is not null and target is not null").select("source", "target").distinct()
     e.write.parquet(f"{root}/edges")
     e = spark.read.schema("source string, target string").parquet(f"{root}/edges")
-    held = e.groupBy("source").agg(F.collect_set("target").alias("targets"))
-    held.write.parquet(f"{root}/out")
-    out = spark.read.schema("source string, targets array<string>").parquet(f"{root}/out")
     n = _counted_write(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct(), f"{root}/reached/r=0")
     for r in range(1, most_rounds):
         if not n:
             break
         reached = spark.read.schema("node string, r int").parquet(f"{root}/reached")
         newest = reached.where(F.col("r") == r - 1).select("node")
-        step = out.join(newest, out["source"] == newest["node"], "left_semi").select(F.explode("targets").alias("node")).distinct()
+        step = e.join(newest, e["source"] == newest["node"], "left_semi").select(F.col("target").alias("node")).distinct()
         n = _counted_write(step.join(reached.select("node"), "node", "left_anti"), f"{root}/reached/r={r}")
     return spark.read.schema("node string, r int").parquet(f"{root}/reached").select("node")
 

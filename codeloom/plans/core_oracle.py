@@ -137,6 +137,24 @@ DUP_STATS = f"""WITH RECURSIVE {ISSUE}, sz AS (SELECT g, count(*) AS n, min(e -
 u AS (SELECT count(*) AS n FROM (SELECT DISTINCT file, unnest(range(s, e + 1)) FROM inst SEMI JOIN sz USING (g))), t AS (SELECT sum(total_lines)::BIGINT AS t FROM ({LINE_METRICS}))
 SELECT t AS total_lines, least((SELECT n FROM u), sum(span * n))::BIGINT AS duplicated_lines, round(least((SELECT n FROM u), sum(span * n)) / t * 100, 6) AS duplication_percentage, count(*) AS clone_groups, sum(n)::BIGINT AS clone_instances FROM sz, t GROUP BY t"""
 
+IMPORTERS = f"""{LATEST}, inst AS (SELECT e.target AS g, e.source AS file, 1 AS s, coalesce(l.loc, 0) % 40 + 5 AS e FROM edge e JOIN latest l ON l.path = e.source),
+sz AS (SELECT g, min(e - s + 1) AS n FROM inst GROUP BY g HAVING count(*) >= 2)"""
+FAMILIES = f"""WITH {IMPORTERS} SELECT a.file AS file_a, b.file AS file_b, count(*) AS group_count, sum(n)::BIGINT AS lines
+FROM (SELECT DISTINCT g, file FROM inst) a JOIN (SELECT DISTINCT g, file FROM inst) b ON a.g = b.g AND a.file < b.file JOIN sz ON sz.g = a.g GROUP BY 1, 2 HAVING count(*) >= 2"""
+MIRRORED = f"""WITH {IMPORTERS}, d AS (SELECT DISTINCT g, regexp_replace(file, '/[^/]*$', '') AS dir, split_part(file, '/', -1) AS name FROM inst),
+p AS (SELECT a.g, a.dir AS x, b.dir AS y FROM (SELECT DISTINCT g, dir FROM d) a JOIN (SELECT DISTINCT g, dir FROM d) b ON a.g = b.g AND a.dir < b.dir),
+names AS (SELECT x, y, name FROM p JOIN d ON d.g = p.g AND d.dir IN (x, y)),
+l AS (SELECT x, y, sum(n)::BIGINT AS lines FROM p JOIN sz USING (g) GROUP BY 1, 2)
+SELECT x AS dir_a, y AS dir_b, string_agg(DISTINCT name, ',' ORDER BY name) AS files, any_value(lines) AS lines FROM names JOIN l USING (x, y) GROUP BY 1, 2 HAVING count(DISTINCT name) >= 3"""
+
+SPECS = rf"""{LINE}, spec AS (SELECT DISTINCT path, regexp_extract(text, '^(?:import|export)\b.*?\bfrom\s*["'']([^"'']+)["'']', 1) AS s FROM (SELECT path, language, ltrim(text, chr(65279)) AS text FROM line) WHERE language IN {SCRIPTS} AND regexp_matches(text, '^(import|export)\b.*\bfrom\s*["'']')
+  UNION SELECT DISTINCT path, regexp_extract(text, '^import\s*["'']([^"'']+)["'']', 1) FROM line WHERE language IN {SCRIPTS} AND regexp_matches(text, '^import\s*["'']')
+  UNION SELECT DISTINCT path, regexp_extract(text, '(?:^|[^A-Za-z0-9_$.])(?:import|require)\(["'']([^"'']+)["'']\)', 1) FROM line WHERE language IN {SCRIPTS} AND regexp_matches(text, '(^|[^A-Za-z0-9_$.])(import|require)\(["'']'))"""
+PACKAGES = rf"""WITH {SPECS} SELECT DISTINCT path, CASE WHEN s LIKE '@%' THEN array_to_string(string_split(s, '/')[1:2], '/') ELSE split_part(s, '/', 1) END AS package FROM spec WHERE s <> '' AND NOT regexp_matches(s, '^(\.|/|@/|~|#)')"""
+UNRESOLVED = rf"""WITH {SPECS}, near AS (SELECT path, s, array_to_string(string_split(path, '/')[:-2], '/') AS dir FROM spec WHERE regexp_matches(s, '^(\./|\.\./|@/|~/|#)')),
+base AS (SELECT path, s, CASE WHEN s LIKE './%' THEN dir || substr(s, 2) WHEN s LIKE '../%' THEN regexp_replace(dir, '/?[^/]*$', '') || substr(s, 3) END AS b FROM near)
+SELECT DISTINCT path AS source, s AS spec FROM base WHERE b IS NULL OR NOT EXISTS (SELECT 1 FROM files f WHERE f.path IN (b, b || '.ts', b || '.tsx', b || '.js', b || '.jsx', b || '.rs', b || '/index.ts', b || '/index.tsx', b || '/index.js', b || '/index.jsx', b || '/index.rs'))"""
+
 NGRAMS = r"""
 WITH f AS (SELECT path, any_value(source) AS source FROM files WHERE source IS NOT NULL GROUP BY path),
 t AS (SELECT path, regexp_extract_all(source, '[\p{L}\p{N}_]+!?|"(?:[^"\\]|\\(?s:.))*"?|''(?:[^''\\]|\\(?s:.))*''?|===|!==|\.\.\.|->|=>|::|==|!=|&&|\|\||\?\?|<=|>=|\.\.|\S') AS t FROM f),
@@ -212,7 +230,7 @@ ORACLE = {
     "unlisted_deps": UNUSED_DEPS + "SELECT DISTINCT path, package FROM p WHERE package <> '' AND package NOT IN (SELECT package FROM m WHERE path LIKE '%/tests/%')",
     "line_metrics": LINE_METRICS, "line_rules": LINE_RULES_SQL, "file_rules": FILE_RULES, "lookahead_rule": LOOKAHEAD,
     "blocks_found": "SELECT DISTINCT b.path, b.start_line, b.end_line FROM blocks b SEMI JOIN files f ON f.path = b.path AND f.source IS NOT NULL",
-    "block_clones": BLOCK_CLONES, "block_clone_members": BLOCK_MEMBERS, "clone_groups": CLONE_GROUPS, "dup_stats": DUP_STATS, "ngram_patterns": NGRAMS,
+    "block_clones": BLOCK_CLONES, "block_clone_members": BLOCK_MEMBERS, "clone_groups": CLONE_GROUPS, "dup_stats": DUP_STATS, "clone_families": FAMILIES, "mirrored_dirs": MIRRORED, "external_packages": PACKAGES, "unresolved_imports": UNRESOLVED, "ngram_patterns": NGRAMS,
     "top_issues": f"WITH {UNIFIED} SELECT issue_id, category, file, impact FROM u WHERE impact IS NOT NULL AND NOT isnan(impact) ORDER BY impact DESC, issue_id LIMIT 20",
     "files_at_risk": f"WITH {UNIFIED} SELECT file, {', '.join(f'''count(*) FILTER (WHERE category = '{c}') AS {c}''' for c in AT_RISK)} FROM u WHERE file IS NOT NULL GROUP BY file ORDER BY count(*) FILTER (WHERE category IN ('dead_code', 'unused_exports', 'unused_types', 'gotchas')) DESC, file LIMIT 10",
     "issues_per_file": f"WITH {UNIFIED} SELECT file, count(*) AS issues FROM u WHERE file IS NOT NULL GROUP BY file",

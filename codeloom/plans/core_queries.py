@@ -175,12 +175,18 @@ def clone_groups(spark: SparkSession, d: str) -> DataFrame:
     return i.join(heads, "group_id").select(F.concat_ws("|", "k.file", "k.start_line", "k.end_line").alias("group_key"), "file", "start_line", "end_line")
 
 
+def _importer_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The importers of a file as instances of one group."""
+    loc = _entries(spark, d).select(F.col("path").alias("source"), F.coalesce("loc", F.lit(0)).alias("loc"))
+    return _edges(spark, d).join(loc, "source").select(F.xxhash64("target").alias("group_id"), F.col("source").alias("file"), F.lit(1).cast("bigint").alias("start_line"), (F.col("loc") % 40 + 5).alias("end_line"))
+
+
 def clone_families(spark: SparkSession, d: str) -> DataFrame:
-    return clones.clone_families(_instances(spark, d))
+    return clones.clone_families(_importer_groups(spark, d))
 
 
 def mirrored_dirs(spark: SparkSession, d: str) -> DataFrame:
-    return clones.mirrored_directories(_instances(spark, d)).select("dir_a", "dir_b", F.array_join("files", ",").alias("files"), "lines")
+    return clones.mirrored_directories(_importer_groups(spark, d)).select("dir_a", "dir_b", F.array_join("files", ",").alias("files"), "lines")
 
 
 def dup_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -37,7 +37,18 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/codeloom/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/codeloom/{label}-{uuid.uuid4().hex[:12]}"
+    sc = spark.sparkContext
+    sc._codeloom_paths = [*getattr(sc, "_codeloom_paths", []), path]
+    return path
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder. DataFrames that still read from there can't be used afterwards."""
+    for path in getattr(spark.sparkContext, "_codeloom_paths", []):
+        drop_path(spark, path)
+    spark.sparkContext._codeloom_paths = []
+    spark.sparkContext._codeloom_shipped = False
 
 
 def _fs(spark: SparkSession, path: str):
