@@ -68,6 +68,14 @@ def health_score(counts: DataFrame) -> DataFrame:
     return counts.withColumn("health_score", F.round(score * 10) / 10)
 
 
+FAILING = ("dead_code", "unused_exports", "circular_dependencies", "gotchas", "unresolved_imports", "duplicate_exports")
+
+
+def has_issues(issues: dict[str, DataFrame]) -> bool:
+    """Whether any issue of a failing category is left; each category is probed for one row only."""
+    return any(k in issues and not issues[k].isEmpty() for k in FAILING)
+
+
 def summary(files: DataFrame, exports: DataFrame, issues: DataFrame, duplication: DataFrame) -> DataFrame:
     """One row: total_files, total_lines, total_exports, a count for each category, duplication_percentage, health_score.
 

@@ -28,14 +28,15 @@ class Analysis:
         return summary.summary(self.facts, fact_ops.exports(self.facts), self.unified, self.duplication)
 
 
-def analyze(files: DataFrame, manifest: DataFrame | None = None, aliases: DataFrame | None = None, declared: DataFrame | None = None, public: DataFrame | None = None, facts: DataFrame | None = None, registry: Registry | None = None, confidence: float = 0.0) -> Analysis:
+def analyze(files: DataFrame, manifest: DataFrame | None = None, aliases: DataFrame | None = None, declared: DataFrame | None = None, public: DataFrame | None = None, facts: DataFrame | None = None, registry: Registry | None = None, confidence: float = 0.0, deep: bool = False) -> Analysis:
     """Every detector over files (path, language, source).
 
     Files are parsed once; the facts are written to the shared folder and every
     detector reads them from there. ``manifest`` is (package_json, section,
     package), ``aliases`` (scope_dir, ord, prefix, target), ``declared`` (path,
     class), ``public`` (prefix); each may be left out. Issues below
-    ``confidence`` are dropped before the summary.
+    ``confidence`` are dropped before the summary. With ``deep`` an export is
+    used too if it is imported through a chain of re-exporting files.
     """
     registry = registry or Registry()
     spark = files.sparkSession
@@ -77,6 +78,9 @@ def analyze(files: DataFrame, manifest: DataFrame | None = None, aliases: DataFr
         "gotchas": gotchas,
         "circular_dependencies": graph.circular_dependencies(edges.where("resolved")),
     }
+    if deep:
+        through = graph.used_through_reexports(issues["unused_exports"], names, fact_ops.reexports(facts, resolved))
+        issues["unused_exports"] = issues["unused_exports"].join(through, ["path", "name"], "left_anti")
     issues = {k: detect.at_least(v, confidence) if "confidence" in v.columns else v for k, v in issues.items()}
     unified = materialize(registry.post(summary.unified(issues)), "issues")
     issues |= {

@@ -100,6 +100,54 @@ def is_published(path: str, text: str) -> bool:
     return path.startswith("packages/") and isinstance(data, dict) and isinstance(data.get("name"), str) and data.get("private") is not True
 
 
+def _strings(value) -> list[str]:
+    if isinstance(value, str):
+        return [value]
+    return [s for v in (value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()) for s in _strings(v)]
+
+
+def declared_entries(path: str, text: str) -> list[tuple[str, str]]:
+    """(path, class) of what a manifest names as an entry.
+
+    A root package's ``main``, ``module``, ``browser`` and ``exports`` are
+    framework entries. Those of a workspace package are public API, its main
+    files framework entries too. A ``project.json`` gives its build's main file,
+    and a tsconfig its ``files``.
+    """
+    data = _load(strip_jsonc(text))
+    if not isinstance(data, dict):
+        return []
+    here, name = posixpath.dirname(path), posixpath.basename(path)
+    join = lambda p: posixpath.normpath(posixpath.join(here, p))
+    if name == "project.json":
+        found = [t.get("options", {}).get("main") for t in data.get("targets", {}).values() if isinstance(t, dict)]
+        return [(posixpath.normpath(m), "framework") for m in found if isinstance(m, str)]
+    if name.startswith("tsconfig"):
+        return [(join(f), "framework") for f in data.get("files", []) if isinstance(f, str)]
+    if name != "package.json":
+        return []
+    main = [join(data[k]) for k in ("main", "module", "browser") if isinstance(data.get(k), str)]
+    exported = [join(x) for x in _strings(data.get("exports")) if "*" not in x]
+    if not here:
+        return [(m, "framework") for m in main + exported]
+    return [(m, "framework") for m in main] + [(m, "public_api") for m in main + exported]
+
+
+def declared(manifests: DataFrame) -> DataFrame:
+    """path, class over all manifests (path, source), crates included."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for path, text in zip(pdf["path"], pdf["source"]):
+                out += cargo_targets(path, text) if path.endswith("Cargo.toml") else declared_entries(path, text)
+            yield pd.DataFrame(out, columns=["path", "class"])
+
+    return manifests.where("path is not null and source is not null").select("path", "source").mapInPandas(run, "path string, class string").distinct()
+
+
 def cargo_targets(path: str, text: str) -> list[tuple[str, str]]:
     """(path, class): the library and binaries of a crate are framework entries, its tests, benches and examples implicit ones."""
     try:

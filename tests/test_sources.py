@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.rust_facts import rust_facts, use_tree
 from codeloom.functions.script_facts import script_facts
-from codeloom.operators import clones, entries, facts, lint, patterns
+from codeloom.operators import clones, entries, facts, lint, patterns, summary
 from codeloom.plans import fix, reports
 from codeloom.plans.analyze import analyze
 from codeloom.registry import Plugin, Registry
@@ -45,6 +45,10 @@ def test_manifests(spark, rows):
     assert manifests.is_published("packages/ui/package.json", package) and not manifests.is_published("apps/x/package.json", package)
     assert manifests.workspace_globs("packages:\n  - 'apps/*'\n  - \"libs/*\"\nother: 1\n") == ["apps/", "libs/"] and manifests.workspace_globs("packages: ['a/*', b/*]\n") == ["a/", "b/"]
     assert manifests.cargo_targets("c/Cargo.toml", '[lib]\npath = "src/l.rs"\n[[bin]]\nname = "b"\n[[test]]\nname="t"\npath = "tests/t.rs"\n') == [("c/src/l.rs", "framework"), ("c/src/bin/b.rs", "framework"), ("c/tests/t.rs", "implicit")]
+    assert manifests.declared_entries("package.json", '{"main": "./lib/a.js", "exports": {".": {"import": "./lib/b.js"}, "./*": "./lib/*.js"}}') == [("lib/a.js", "framework"), ("lib/b.js", "framework")]
+    assert manifests.declared_entries("packages/u/package.json", '{"module": "src/i.ts"}') == [("packages/u/src/i.ts", "framework"), ("packages/u/src/i.ts", "public_api")]
+    assert manifests.declared_entries("apps/x/project.json", '{"targets": {"build": {"options": {"main": "apps/x/src/main.ts"}}}}') == [("apps/x/src/main.ts", "framework")]
+    assert rows(manifests.declared(spark.createDataFrame([("tsconfig.json", '{"files": ["./a.ts"]}'), ("c/Cargo.toml", '[lib]\npath = "l.rs"'), ("bad/package.json", "{"), ("x", None)], "path string, source string"))) == [("a.ts", "framework"), ("c/l.rs", "framework")]
     df = spark.createDataFrame([("package.json", package), ("bad/package.json", "{")], "path string, source string")
     assert rows(manifests.package_deps(df)) == [("package.json", "dependencies", "a"), ("package.json", "optionalDependencies", "b")]
     assert manifests.aliases(spark.createDataFrame([("tsconfig.json", text), ("packages/ui/package.json", package)], "path string, source string")).count() == 7
@@ -208,6 +212,10 @@ def test_analysis_reports_and_fixes(spark, rows):
     assert sorted(r.rule for r in a.issues["plugin_issues"].collect()) == ["plugin-error", "r"]
     s = a.summary().first()
     assert (s.total_files, s.dead_code, s.unused_exports, s.gotchas, s.health_score) == (5, 1, 3, 1, 86.0)
+    assert summary.has_issues(a.issues) and not summary.has_issues({})
+    chained = [("src/index.ts", "typescript", "import { deepest } from './mid';\n"), ("src/mid.ts", "typescript", "export * from './far';\n"), ("src/far.ts", "typescript", "export const deepest = 1;\nexport const idle = 1;\n")]
+    plain, deep = (analyze(spark.createDataFrame(chained, SRC), deep=d).issues["unused_exports"].select("path", "name") for d in (False, True))
+    assert rows(plain) == [("src/far.ts", "deepest"), ("src/far.ts", "idle")] and rows(deep) == [("src/far.ts", "idle")]
     total, issues = a.summary(), a.unified
     assert json.loads(reports.json_report(total, issues))["summary"]["dead_code"] == 1
     assert json.loads(reports.sarif(issues))["version"] == "2.1.0"
