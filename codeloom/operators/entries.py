@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ PROFILES = {
         "markers": ("next.config.ts", "next.config.js", "next.config.mjs"), "deps": ("next",),
         "entry": (
             *[("file", f"next.config.{e}") for e in ("ts", "js", "mjs")], ("file", "middleware.ts"), ("file", "middleware.js"),
-            ("dir_stems", "app", ("page", "layout", "route", "loading", "error", "not-found", "template", "default", "global-error", "sitemap", "robots", "manifest", "opengraph-image", "icon")),
+            ("dir_stems", "app", ("page", "layout", "route", "loading", "error", "not-found", "template", "default", "global-error")),
             ("path_has", "/pages/"), ("prefix", "pages/"), ("prefix", "src/pages/"),
         ),
         "implicit": (
@@ -37,17 +38,47 @@ PROFILES = {
             ("path_has", "/drizzle/"), ("file", "schema.prisma"), ("file", ".storybook/preview.tsx"), ("file", ".storybook/preview.ts"), ("file", ".storybook/main.ts"), ("file", "instrumentation.ts"), ("file", "instrumentation.js"),
         ),
     },
-    "payload": {"markers": ("payload.config.ts", "src/payload.config.ts"), "deps": ("payload",), "entry": (("file", "payload.config.ts"),), "implicit": (("path_has", "migrations/"), ("path_has", "payload-types"), ("path_has", "importMap"))},
-    "shadcn": {"markers": ("components.json",), "deps": (), "entry": (("path_has", "components/ui/"), ("prefix", "registry/"), ("path_has", "/registry/")), "implicit": ()},
-    "angular": {"markers": ("angular.json",), "deps": ("@angular/core",), "entry": (("file", "main.ts"), ("file_has", ".module."), ("file_has", ".component."), ("file", "app.config.ts"), ("file", "polyfills.ts")), "implicit": (("file_has", ".spec."), ("prefix", "e2e/"))},
-    "nestjs": {"markers": ("nest-cli.json",), "deps": ("@nestjs/core",), "entry": (("file", "main.ts"), ("file_has", ".module."), ("file_has", ".controller.")), "implicit": (("file_has", ".spec."), ("file_has", ".e2e-spec."), ("path_has", "migrations/"))},
-    "vue": {"markers": ("vue.config.js", "vue.config.ts"), "deps": ("vue",), "entry": (("file", "main.ts"), ("file", "main.js"), ("path_has", "/router/"), ("path_has", "/views/")), "implicit": (("file_has", ".spec."),)},
-    "svelte": {"markers": ("svelte.config.js",), "deps": ("svelte",), "entry": (("path_has", "/routes/"), ("file", "hooks.server.ts"), ("file", "hooks.client.ts"), ("file", "svelte.config.js")), "implicit": ()},
-    "remix": {"markers": ("remix.config.js",), "deps": ("@remix-run/react", "@remix-run/node"), "entry": (("path_has", "app/routes/"), ("file", "entry.client.tsx"), ("file", "entry.server.tsx"), ("file", "root.tsx")), "implicit": ()},
-    "astro": {"markers": ("astro.config.mjs", "astro.config.ts"), "deps": ("astro",), "entry": (("path_has", "/pages/"), ("file", "astro.config.mjs"), ("file", "astro.config.ts"), ("path_has", "/content/")), "implicit": ()},
+    "payload": {
+        "markers": ("payload.config.ts", "payload.config.js", "src/payload.config.ts", "src/payload.config.js"), "deps": ("payload",), "entry": (("file", "payload.config.ts"), ("file", "payload.config.js")),
+        "implicit": (
+            *[("prefix_file", f"src/{d}/", ("index.ts", "config.ts")) for d in ("collections", "globals", "blocks")],
+            ("prefix", "src/endpoints/"), ("prefix", "endpoints/"), ("path_has", "migrations/"), ("path_has", "seed"), ("path_has", "payload-generated"), ("path_has", "payload-types"),
+        ),
+    },
+    "shadcn": {
+        "markers": ("components.json",), "deps": ("shadcn",), "entry": (("prefix", "registry/"), ("path_has", "/registry/"), ("path_has", "/styles/")),
+        "implicit": (("prefix", "scripts/"), ("path_has", "/scripts/"), ("prefix", "examples/"), ("path_has", "/examples/"), ("path_has", "/blocks/"), ("path_has", "/generated/"), ("prefix", "styles/"), ("path_has", "/styles/"), ("file", "source.config.ts")),
+    },
+    "angular": {
+        "markers": ("angular.json",), "deps": ("@angular/core",), "entry": (("file", "main.ts"), ("file", "main.server.ts"), ("prefix", "environments/"), ("file_has", ".module."), ("file", "routes.ts"), ("file", "polyfills.ts")),
+        "implicit": (("file_has", ".spec."), ("file_has", ".stories."), ("file", "test.ts"), ("file", "karma.conf.js"), ("file", "proxy.conf.json"), ("path_has", "/generated/"), ("prefix", "e2e/")),
+    },
+    "nestjs": {
+        "markers": ("nest-cli.json",), "deps": ("@nestjs/core", "@nestjs/common", "@nestjs/platform-express", "@nestjs/apollo", "@nestjs/graphql"), "entry": (("file", "main.ts"), ("file_has", ".module."), ("prefix", "environments/")),
+        "implicit": (("file_has", ".spec."), ("file_has", ".e2e-spec."), ("prefix", "test/"), ("file", "jest-e2e.json"), ("file", "jest.config.ts"), ("file", "nest-cli.json"), ("path_has", "/generated/")),
+    },
+    "vue": {
+        "markers": ("vue.config.ts", "vue.config.js"), "deps": ("vue",), "entry": (("file", "main.ts"), ("file", "main.js"), ("dir_stems", "router", ("index",)), ("prefix_file", "src/stores/", ("index.ts", "index.js"))),
+        "implicit": (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("prefix", "stories/")),
+    },
+    "svelte": {
+        "markers": ("svelte.config.js",), "deps": ("@sveltejs/kit", "svelte"), "entry": (("dir_stems", "routes", ("+page", "+layout", "+error", "+loading")), ("file", "+page.ts"), ("file", "+layout.ts")),
+        "implicit": (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/")),
+    },
+    "remix": {
+        "markers": ("remix.config.js", "remix.config.ts"), "deps": ("@remix-run/react", "@remix-run/node"), "entry": (("prefix", "app/routes/"), ("file", "root.tsx"), ("file", "root.ts"), ("file", "entry.server.tsx"), ("file", "entry.client.tsx")),
+        "implicit": (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/")),
+    },
+    "astro": {
+        "markers": ("astro.config.mjs", "astro.config.ts"), "deps": ("astro",), "entry": (("prefix", "src/pages/"), ("prefix", "src/content/")),
+        "implicit": (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("path_has", "/generated/")),
+    },
 }
-TOOLING_DIRS = (".claude/", ".github/", ".husky/", ".storybook/", "config/", "eslint/", "scripts/", "tools/", "tooling/")
-DEFAULT_ENTRIES = tuple(f"{d}{s}.{e}" for d in ("", "src/") for s in ("index", "main") for e in ("ts", "tsx", "js"))[:12] + ("src/lib.rs",)
+# Beginnings of lower-case paths that tools load, and the files that are entries by default.
+TOOLING_PREFIXES = (".claude/hooks", ".claude/skills", "eslint-plugins", "eslint-rules", ".eslint-rules", "scripts", "tools", "gulpfile", "gruntfile")
+DEFAULT_ENTRIES = (
+    "src/index.ts", "src/index.tsx", "src/index.js", "src/index.jsx", "src/main.ts", "src/main.tsx", "index.ts", "index.tsx", "index.js", "index.jsx", "main.ts", "src/main.rs", "src/lib.rs",
+)
 
 
 def matches(path: Column, matcher: Matcher) -> Column:
@@ -90,11 +121,12 @@ def entry_points(files: DataFrame, profiles: list[str], declared: DataFrame | No
     """
     paths, path = files.select("path").distinct(), F.col("path")
     entry = [m for p in profiles for m in PROFILES[p]["entry"]]
-    implicit = [m for p in profiles for m in PROFILES[p]["implicit"]] + [("prefix", d) for d in TOOLING_DIRS]
+    implicit = [m for p in profiles for m in PROFILES[p]["implicit"]]
+    tooling = F.lower(path).rlike(r"^(\./)?(" + "|".join(re.escape(t) for t in TOOLING_PREFIXES) + ")")
     rust = path.rlike(r"(^|/)(build\.rs$|tests/.*\.rs$|benches/.*\.rs$|examples/.*\.rs$|fuzz/.*\.rs$)")
     classes = F.array(
         F.when(matches_any(path, entry) | path.isin(*DEFAULT_ENTRIES) | path.rlike(r"(^|/)src/bin/.*\.rs$"), F.lit("framework")),
-        F.when(matches_any(path, implicit) | rust, F.lit("implicit")),
+        F.when(matches_any(path, implicit) | tooling | rust, F.lit("implicit")),
     )
     found = paths.select("path", F.explode(F.filter(classes, lambda x: x.isNotNull())).alias("class"))
     if declared is not None:

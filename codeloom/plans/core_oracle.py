@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codeloom.functions.predicates import TEST_FIXTURE_ENDS, TEST_FIXTURE_PARTS
-from codeloom.operators.entries import DEFAULT_ENTRIES, PROFILES, TOOLING_DIRS
+from codeloom.operators.entries import DEFAULT_ENTRIES, PROFILES, TOOLING_PREFIXES
 from codeloom.operators.lint import LINE_RULES
 from codeloom.operators.summary import AT_RISK, SCORED
 from codeloom.sources.scan import LANGUAGES, SKIPPED_DIRS
@@ -196,10 +196,10 @@ def _match_sql(m) -> str:
 
 
 _entry = [m for p in ("generic", "nextjs") for m in PROFILES[p]["entry"]]
-_implicit = [m for p in ("generic", "nextjs") for m in PROFILES[p]["implicit"]] + [("prefix", x) for x in TOOLING_DIRS]
+_implicit = [m for p in ("generic", "nextjs") for m in PROFILES[p]["implicit"]]
 ENTRY_CLASSES = f"""WITH p AS (SELECT DISTINCT regexp_replace(path, '^[^/]+/', '') AS path FROM files)
 SELECT path, 'framework' AS class FROM p WHERE {' OR '.join(map(_match_sql, _entry))} OR path IN {_list(DEFAULT_ENTRIES)} OR regexp_matches(path, '(^|/)src/bin/.*\\.rs$')
-UNION ALL SELECT path, 'implicit' FROM p WHERE {' OR '.join(map(_match_sql, _implicit))} OR regexp_matches(path, '(^|/)(build\\.rs$|tests/.*\\.rs$|benches/.*\\.rs$|examples/.*\\.rs$|fuzz/.*\\.rs$)')"""
+UNION ALL SELECT path, 'implicit' FROM p WHERE {' OR '.join(map(_match_sql, _implicit))} OR {' OR '.join(f'starts_with(lower(path), {_q(t)})' for t in TOOLING_PREFIXES)} OR regexp_matches(path, '(^|/)(build\\.rs$|tests/.*\\.rs$|benches/.*\\.rs$|examples/.*\\.rs$|fuzz/.*\\.rs$)')"""
 
 _parts = " OR ".join(f"contains(lower(path), {_q(x)})" for x in TEST_FIXTURE_PARTS) + " OR " + " OR ".join(f"ends_with(lower(path), {_q(x)})" for x in TEST_FIXTURE_ENDS)
 _langs = " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in LANGUAGES.items())

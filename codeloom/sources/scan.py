@@ -14,7 +14,7 @@ SKIPPED_DIRS = (
 )
 LANGUAGES = {"ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "rs": "rust", "py": "python"}
 CONFIG_FILES = (
-    "package.json", "tsconfig.json", "next.config.js", "next.config.ts", "next.config.mjs", "payload.config.ts", "components.json", "turbo.json", "nx.json", "pnpm-workspace.yaml",
+    "tsconfig.json", "package.json", "jsconfig.json", "next.config.ts", "next.config.js", "next.config.mjs", "pnpm-workspace.yaml", "nx.json", "turbo.json", "Cargo.toml",
 )
 MOST_BYTES, MOST_DEPTH = 10_000_000, 20
 
