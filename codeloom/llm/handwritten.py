@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import join_per_key
+from codeloom.operators.pairs import bucket_cross
 from codeloom.session import materialize
 
 # Phrases by which tools and licences mark a file.
@@ -227,11 +227,14 @@ def classify_files(files: DataFrame, copied: float = 0.5) -> DataFrame:
     """
     rows = files.select("path", "source").where(F.col("path").isNotNull() & F.col("source").isNotNull())
     facts = materialize(rows.mapInArrow(_facts, FACTS), "source-facts")
-    known = facts.where("kind = 'vendored'").select(F.explode("bands").alias("band"), F.col("sketch").alias("theirs"))
-    known = known.groupBy("band").agg(F.max(F.struct(F.col("theirs"))).alias("k")).select("band", "k.theirs")
-    plain = facts.where("kind is null").select("path", F.explode("bands").alias("band"), "sketch")
-    held = plain.groupBy("band").agg(F.count(F.lit(1)).alias("held"))
-    copies = join_per_key(plain, known.join(held, "band"), "band", "held", facts.count() * BANDS).where(_unsigned_overlap() >= copied).select("path").distinct()
+    sketched = facts.where("(kind is null or kind = 'vendored') and size(sketch) > 0").withColumn("id", F.unhex(F.md5(F.array_join("sketch", ","))))
+    sketched = materialize(sketched.select("path", "kind", "bands", "sketch", "id"), "line-sketches")
+    keys = lambda kept: sketched.where(kept).select(F.explode("bands").alias("bucket"), "id").distinct()  # noqa: E731  # equal sketches are one
+    one = sketched.select("id", "sketch").dropDuplicates(["id"])
+    met = bucket_cross(keys("kind is null"), keys("kind is not null"), sketched.count() * BANDS)
+    both = met.join(one.withColumnRenamed("id", "a"), "a").join(one.select(F.col("id").alias("b"), F.col("sketch").alias("theirs")), "b")
+    close = both.where(_unsigned_overlap() >= copied).select(F.col("a").alias("id")).distinct()
+    copies = sketched.where("kind is null").join(close, "id", "left_semi").select("path").distinct()
     marked = copies.select("path", F.lit("vendored").alias("copy"))
     return facts.groupBy("path").agg(F.min("kind").alias("kind")).join(marked, "path", "left").select("path", F.coalesce("kind", "copy").alias("kind"))
 

@@ -27,3 +27,17 @@ def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor
     right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"), F.col("c").alias("d"), F.col("id").alias("y"))
     far = left.join(right, ["bucket", "c", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y"))).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return near.union(far).distinct()
+
+
+def bucket_cross(left: DataFrame, right: DataFrame, total: int, chunk: int = CHUNK, heavy_floor: int = 200_000) -> DataFrame:
+    """(bucket, id) twice → distinct pairs (a, b) of an id of ``left`` and one of ``right`` that share a bucket; ``total`` is the number of rows of both.
+
+    Both sides of a bucket are cut into chunks by id, and each pair of chunks is its own group.
+    """
+    count = lambda d, n: d.groupBy("bucket").agg(F.count(F.lit(1)).alias(n))
+    parts = lambda n: F.ceil(F.col(n) / chunk).cast("int")
+    sizes = count(left, "n").join(count(right, "m"), "bucket").select("bucket", "n", "m", parts("n").alias("rows"), parts("m").alias("cols"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    x = join_per_key(left, sizes.drop("m"), "bucket", "n", total, heavy_floor).select("bucket", part("rows").alias("c"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("d"), F.col("id").alias("a"))
+    y = join_per_key(right, sizes.drop("n"), "bucket", "m", total, heavy_floor).select("bucket", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("c"), part("cols").alias("d"), F.col("id").alias("b"))
+    return x.join(y, ["bucket", "c", "d"]).select("a", "b").distinct()

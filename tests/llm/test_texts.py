@@ -10,6 +10,7 @@ from codeloom.llm.leak import leaked_items, leaked_passages, without_leaks, word
 from codeloom.llm.lr import Recognizer, Tables, read_grammar
 from codeloom.llm.mixing import flight, land, mix
 from codeloom.llm.syntax import check_files, error_rates, first_error, invalid_files
+from codeloom.operators.pairs import bucket_cross
 
 VALID = {
     "javascript": ["", "#!/usr/bin/env node\nconst a = 1, b = /x[/]y/g.test(s)\nlet c = a\n++b\n", "for (const x of xs) if (x) { y?.z?.(1) } else do { q() } while (w)\n", "x = (a, b) => ({ a, b: [...c], get d() { return 1 }, async *e() {} })\n", "label: for (;;) { break label }\nclass A extends B { #p = 1; static { f() } get x() { return this.#p } }\n", "const t = `a${b ? `c${d}` : ''}e`\nimport x, { default as y } from 'm'\nexport * as ns from 'q'\nexport default class {}\n", "return_ = async x => await x\nif (a) b\nelse c\n"],
@@ -114,6 +115,22 @@ def test_copies_of_vendored_files(spark):
     assert handwritten.classify_files(spark.createDataFrame([], "path string, source string")).count() == 0
 
 
+def test_copy_of_any_version_is_found(spark):
+    rng = random.Random(7)
+    line = lambda: "  " + "".join(rng.choices("abcdefghij", k=24)) + "();\n"
+    base = [line() for _ in range(26)]  # in every version; versions overlap by less than 0.5
+    versions = [base + [line() for _ in range(14)] for _ in range(150)]
+    rows = [(f"a/vendor/v{i}/lib.js", "".join(v)) for i, v in enumerate(versions)] + [(f"b/src/c{i}.js", "".join(v[:-1]) + "  patched();\n") for i, v in enumerate(versions)]
+    kinds = {r.path: r.kind for r in handwritten.classify_files(spark.createDataFrame(rows, "path string, source string")).collect()}
+    assert len(kinds) == 300 and set(kinds.values()) == {"vendored"}
+
+
+def test_cross_pairs_of_large_buckets(spark, rows):
+    left, right = [(i % 2, i) for i in range(50)], [(i % 3, 100 + i) for i in range(30)]
+    got = bucket_cross(*[spark.createDataFrame(x, "bucket int, id int") for x in (left, right)], 80, chunk=4, heavy_floor=10)
+    assert rows(got) == sorted({(i, j) for b, i in left for c, j in right if b == c}, key=str)
+
+
 def test_leaks_match_brute_force(spark):
     rng = random.Random(3)
     vocab = ["alpha", "Bête", "straße", "x1", "γ", "two", "words", "again"]
