@@ -46,8 +46,6 @@ BUILD_RULE = re.compile(rf"(?:^|/){BUILD_DIRS}/|(?:^|/)proto/out/|(?:^|/)(?:publ
 NAME_RULE = re.compile(rf"(?:^|/)(?:{LOCKFILES}|[^/]*{NAME_SUFFIX})$")
 HASHED_NAME = re.compile(r"[-.][0-9a-f]{8,32}\.(?:js|mjs|cjs|css)$")
 
-HEADER_LINES = 20
-
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -59,36 +57,39 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 NOTICES = _automaton()
-COMMENT_START = re.compile(r"\s*(?://+!?|#(?!!|\[)|--|/\*+!?|<!--|\*(?!/)|\"\"\"|''')\s?(.*)")
+STRICT = re.compile(r"(?:'use strict'|\"use strict\")\s*;?")
 
 
-def header_comments(source: str) -> list[str]:
-    """The comments among the first lines, one string per comment or run of comment lines; comments end where code begins."""
+def header(source: str) -> tuple[list[str], str]:
+    """(the comments before the first code, one string per comment or comment line; the text from the first code on)."""
     found: list[str] = []
-    inside = code = False
-    for line in source.lstrip("﻿").split("\n", HEADER_LINES)[:HEADER_LINES]:
-        text = line.strip()
-        if inside:
-            found[-1] += "\n" + text
-            inside = "*/" not in text
-        elif text.startswith("#!") or not text:
-            continue
-        elif text.startswith("/*"):
-            found.append(text)
-            inside = "*/" not in text
-        elif text.startswith(("//", "#")) and not text.startswith("#["):
+    at = 0
+    source = source.lstrip("\ufeff")
+    while at < len(source):
+        end = source.find("\n", at)
+        end = len(source) if end < 0 else end
+        text = source[at:end].strip()
+        if text.startswith("/*"):
+            start = source.index("/*", at)
+            close = source.find("*/", start + 2)
+            close = len(source) if close < 0 else close + 2
+            found.append("\n".join(x.strip() for x in source[start:close].split("\n")))
+            at = close
+        elif text.startswith(("//", "#")) and not text.startswith(("#!", "#[")):
             found.append(text)
-        elif text.startswith(("'use strict'", '"use strict"')):
-            continue
+            at = end + 1
+        elif text.startswith("#!") or not text:
+            at = end + 1
+        elif strict := STRICT.match(text):
+            at = source.index(strict[0], at) + len(strict[0])
         else:
-            code = True
             break
-    return found if found or not code else []
+    return found, source[at:]
 
 
-def header_claims(source: str) -> set[str]:
+def header_claims(comments: list[str]) -> set[str]:
     claims: set[str] = set()
-    for comment in header_comments(source):
+    for comment in comments:
         kinds = {kind for _, kind in NOTICES.iter(comment.lower())}
         if "denied" not in kinds:
             claims |= kinds
@@ -160,9 +161,13 @@ def looks_recorded(source: str) -> bool:
 WRAPPER = re.compile(r"\(\s*function\s*\(\s*root\s*,\s*factory\s*\)|typeof\s+(?:module|exports)\s*===?\s*['\"]object['\"]|typeof\s+define\s*===?\s*['\"]function['\"]")
 
 
+MODULE = re.compile(r"^(?:import|export)\b", re.M)  # wrappers are no ES modules
+
+
 def classify(path: str, source: str) -> str | None:
     """generated, minified, vendored or data by the file itself; None if nothing marks it."""
-    claims = header_claims(source)
+    comments, code = header(source)
+    claims = header_claims(comments)
     if NAME_RULE.search(path):
         return "minified" if re.search(r"[.-](?:min|bundle|chunk|prod|umd|iife)\.", path) else "generated"
     if "generated" in claims or looks_recorded(source):
@@ -171,7 +176,7 @@ def classify(path: str, source: str) -> str | None:
         return "minified"
     if looks_like_data(source):
         return "data"
-    if "vendored" in claims or DIR_RULE.search(path) or WRAPPER.search(source[:600]):
+    if "vendored" in claims or DIR_RULE.search(path) or (WRAPPER.search(code) and not MODULE.search(code)):
         return "vendored"
     if BUILD_RULE.search(path):
         return "generated"

@@ -103,6 +103,15 @@ def test_classes_of_source():
     assert c("a/x.ts", "") is None
 
 
+def test_long_headers_are_read_to_the_code():
+    licence = "/*\n" + " * Permission is hereby granted, free of charge, to any person.\n" * 40 + " */\n"
+    wrapper = "(function (root, factory) {\n  module.exports = factory();\n}(this, function () {}));\n"
+    c = handwritten.classify
+    assert c("a/x.js", licence + "'use strict';\n" + wrapper) == "vendored" and c("a/x.js", licence.replace("\n */", " */ ").rstrip("\n") + wrapper) == "vendored"
+    assert c("a/x.js", licence + "// @generated by tool\nlet a\n") == "generated" and c("a/x.js", licence.replace(" */", " * do not edit by hand\n */") + "let a\n") == "generated"
+    assert c("a/x.js", licence + "let a\n// @generated by tool\n") is None and c("a/x.js", licence + "export const a = typeof module === 'object';\n") is None
+
+
 def test_copies_of_vendored_files(spark):
     rng = random.Random(4)
     name = lambda: "".join(rng.choices("abcdefghij", k=9))
