@@ -215,7 +215,8 @@ def repetitive_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 def ncd_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "ncd_candidates").select(location(F.col("path_a")).alias("path_a"), location(F.col("path_b")).alias("path_b"))
-    return patterns.ncd_distance(pairs.where("path_a < path_b"), _files(spark, d)).withColumn("distance", F.round("distance", 4))
+    oriented = pairs.where("path_a <> path_b").select(F.least("path_a", "path_b").alias("path_a"), F.greatest("path_a", "path_b").alias("path_b"))
+    return patterns.ncd_distance(oriented, _files(spark, d)).withColumn("distance", F.round("distance", 4))
 
 
 def ncd_search(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.rust_facts import rust_facts, use_tree
 from codeloom.functions.script_facts import script_facts
 from codeloom.operators import clones, entries, facts, lint, patterns, summary
-from codeloom.plans import fix, reports
+from codeloom.plans import core_queries, fix, reports
 from codeloom.plans.analyze import analyze
 from codeloom.registry import Plugin, Registry
 from codeloom.session import swap_text
@@ -181,6 +181,14 @@ def test_patterns_and_distance(spark, rows):
     assert [(r.path_a, r.path_b) for r in got.collect()] == [("a", "b")]
 
 
+def test_given_pairs_in_either_order(spark, tmp_path):
+    spark.createDataFrame([("b.ts", "./a.ts", 0.1), ("a.ts", "c.ts", 0.1), ("c.ts", "a.ts", 0.2), ("a.ts", "a.ts", 0.0), ("a.ts", None, 0.1)], "path_a string, path_b string, distance double").write.parquet(f"{tmp_path}/ncd_candidates.parquet")
+    files = [(p, "r", "typescript", f"export const {p[0]} = 1\n" * 20) for p in ("a.ts", "b.ts", "c.ts")]
+    stamped = spark.createDataFrame(files, "path string, repo string, language string, source string").selectExpr("*", "timestamp'2025-01-01' AS scanned_at", "timestamp'2025-01-01' AS loaded_at")
+    stamped.write.parquet(f"{tmp_path}/files.parquet")
+    assert sorted((r.path_a, r.path_b) for r in core_queries.ncd_pairs(spark, str(tmp_path)).collect()) == [("a.ts", "b.ts"), ("a.ts", "c.ts")]
+
+
 def test_entries(spark, rows):
     files = spark.createDataFrame([(p,) for p in ("next.config.js", "src/app/blog/page.tsx", "src/a.test.ts", "src/index.ts", "scripts/x.ts", "packages/ui/src/b.ts", "src/q.ts", "src/bin/t.rs")], "path string")
     profiles = entries.detect_profiles(files)
