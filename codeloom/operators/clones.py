@@ -108,14 +108,28 @@ def copy_links(members: DataFrame, places: DataFrame) -> DataFrame:
     return met.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"), F.lit(1.0).alias("similarity")).distinct()
 
 
+def pair_links(members: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b, similarity): every member of either class of a pair with the first member of the other class, or the last where the first is in its own file.
+
+    Rows per pair are the members of both classes; a member without a partner in another file has none. places: id, file.
+    """
+    placed = members.join(places.select("id", "file").where("file is not null"), "id")
+    spot = F.struct("file", "id")
+    ends = placed.groupBy(F.col("class").alias("near")).agg(F.min(spot).alias("lo"), F.max(spot).alias("hi"))
+    both = pairs.select(F.col("a").alias("class"), F.col("b").alias("near"), "similarity").union(pairs.select("b", "a", "similarity"))
+    met = both.join(ends, "near").join(placed, "class")
+    other = F.when(F.col("file") != F.col("lo.file"), F.col("lo.id")).when(F.col("file") != F.col("hi.file"), F.col("hi.id"))
+    return met.withColumn("other", other).where("other is not null").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "similarity").distinct()
+
+
 def located_issues(members: DataFrame, pairs: DataFrame, places: DataFrame) -> DataFrame:
     """Clone issues with both locations. places: id, file, name, start_line, end_line.
 
-    Similar classes give one issue between their representatives, and every
-    member of a class one with a copy in another file. Issues inside one file
-    are left out.
+    Every member of a class gives one issue with a copy in another file, and
+    one with each similar class that has a member in another file. Issues
+    inside one file are left out.
     """
-    links = pairs.select("a", "b", "similarity").union(copy_links(members, places))
+    links = pair_links(members, pairs, places).union(copy_links(members, places))
     side = lambda s: places.select(F.col("id").alias(s), *[F.col(c).alias(f"{n}_{s}") for c, n in (("file", "file"), ("name", "name"), ("start_line", "start"), ("end_line", "end"))])
     full = links.join(side("a"), "a").join(side("b"), "b").where("file_a <> file_b")
     return full.select(round2(F.col("similarity")).alias("confidence"), "file_a", "name_a", "start_a", "end_a", "file_b", "name_b", "start_b", "end_b")
@@ -136,12 +150,14 @@ def fragment_matches(files: DataFrame, sizes=WINDOWS, threshold: float = FRAGMEN
     """path_a, start_a, end_a, path_b, start_b, end_b, confidence of alike windows of the same size in different files, path_a < path_b.
 
     Windows with equal fingerprints are matched with their class's first window
-    in another file, not with each other.
+    in another file, not with each other; similar windows with the first of
+    the other's class in another file.
     """
     frags = materialize(fragments(files, sizes).withColumn("id", F.concat_ws("\t", "path", F.lpad(F.col("start_line").cast("string"), 9, "0"), F.lpad(F.col("end_line").cast("string"), 9, "0"))), "fragments")
     members, pairs = similar_sets(frags.select("id", "fps", (F.col("end_line") - F.col("start_line")).cast("string").alias("kind")), threshold)
     where = frags.select("id", "path", "start_line", "end_line")
-    links = pairs.union(copy_links(members, where.withColumnRenamed("path", "file")))
+    places = where.withColumnRenamed("path", "file")
+    links = pair_links(members, pairs, places).union(copy_links(members, places))
     a = where.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_1") for c in ("path", "start_line", "end_line")])
     b = where.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_2") for c in ("path", "start_line", "end_line")])
     full = links.join(a, "a").join(b, "b").where("path_1 <> path_2")

@@ -168,6 +168,14 @@ def test_clones_and_what_follows(spark, rows):
     assert len(clones.kgram_hashes(["a", "b", "c", "d", "e"], 3)) == 3 and clones.winnow64(["a"] * 7) == [] and all(0 <= h < 2**64 for h in clones.winnow64(list("abcdefghijklmnop")))
 
 
+def test_similar_classes_link_every_member(spark, rows):
+    places = spark.createDataFrame([(1, "F"), (5, "G"), (2, "F"), (7, "H"), (8, "H"), (9, "K")], "id int, file string").selectExpr("id", "file", "'n' AS name", "id AS start_line", "id + 5 AS end_line")
+    members = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (7, 7), (8, 7), (9, 9)], "id int, class int")
+    pairs = spark.createDataFrame([(1, 2, 0.8), (7, 9, 0.9)], "a int, b int, similarity double")
+    got = rows(clones.located_issues(members, pairs, places).select("start_a", "start_b", "confidence"))
+    assert got == [(1, 5, 1.0), (2, 5, 0.8), (7, 9, 0.9), (8, 9, 0.9)]
+
+
 def test_patterns_and_distance(spark, rows):
     text = "const [user, setUser] = useState<User>();\n"
     df = spark.createDataFrame([(f"{i}.ts", "typescript", text * 3 + f"q{i} + r{i}\n") for i in range(4)] + [(f"z{i}.ts", "typescript", f"w{i}") for i in range(8)], SRC)
