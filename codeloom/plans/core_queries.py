@@ -196,13 +196,13 @@ def dup_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fragment_clones(spark: SparkSession, d: str) -> DataFrame:
-    m = clones.fragment_matches(_files(spark, d), (15, 8))
+    m = clones.fragment_matches(_files(spark, d))
     return m.withColumn("confidence", tx.round2(F.col("confidence")))
 
 
 def merged_fragments(spark: SparkSession, d: str) -> DataFrame:
     members, pairs, places = _clones(spark, d)
-    return clones.not_covered(clones.merged_fragments(clones.fragment_matches(_files(spark, d), (15, 8))), clones.located_issues(members, pairs, places))
+    return clones.not_covered(clones.merged_fragments(clones.fragment_matches(_files(spark, d))), clones.located_issues(members, pairs, places))
 
 
 def ngram_patterns(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -176,6 +177,20 @@ def test_similar_classes_link_every_member(spark, rows):
     assert got == [(1, 5, 1.0), (2, 5, 0.8), (7, 9, 0.9), (8, 9, 0.9)]
 
 
+def test_fragment_query_runs_every_window(spark, tmp_path):
+    rng = random.Random(3)
+    line = lambda: "  const " + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(5)) + "\n"
+    shared, long = [line() for _ in range(5)], [line() for _ in range(30)]
+    texts = {"a.ts": [line() for _ in range(4)] + shared + [line() for _ in range(9)] + long, "b.ts": [line() for _ in range(10)] + shared + [line() for _ in range(9)], "c.ts": long[:17] + ["  const other\n"] + long[18:]}
+    stamped = spark.createDataFrame([(p, "typescript", "".join(t)) for p, t in texts.items()], SRC)
+    stamped.write.parquet(f"{tmp_path}/files.parquet")
+    got = {side for r in core_queries.fragment_clones(spark, str(tmp_path)).collect() for side in ((r.path_a, r.start_a, r.end_a), (r.path_b, r.start_b, r.end_b))}
+    windows = [(r.path, r.start_line, r.end_line, set(r.fps)) for r in clones.fragments(stamped).collect()]
+    alike = lambda x, y: x[0] != y[0] and x[2] - x[1] == y[2] - y[1] and len(x[3] & y[3]) >= 0.85 * len(x[3] | y[3])
+    assert got == {x[:3] for x in windows if any(alike(x, y) for y in windows)}
+    assert ("a.ts", 5, 9) in got and ("b.ts", 11, 15) in got
+
+
 def test_patterns_and_distance(spark, rows):
     text = "const [user, setUser] = useState<User>();\n"
     df = spark.createDataFrame([(f"{i}.ts", "typescript", text * 3 + f"q{i} + r{i}\n") for i in range(4)] + [(f"z{i}.ts", "typescript", f"w{i}") for i in range(8)], SRC)
