@@ -64,7 +64,10 @@ def analyze(files: DataFrame, manifest: DataFrame | None = None, aliases: DataFr
     stars = fact_ops.reexports(facts, resolved).where("name = '*'").select("barrel", "target")
     members, pairs = clones.block_clones(fact_ops.blocks(facts).withColumn("block_id", F.concat_ws("\t", "path", F.lpad(F.col("start_line").cast("string"), 9, "0"), "name")))
     places = fact_ops.blocks(facts).select(F.concat_ws("\t", "path", F.lpad(F.col("start_line").cast("string"), 9, "0"), "name").alias("id"), F.col("path").alias("file"), "name", "start_line", "end_line")
-    duplicates = materialize(clones.located_issues(members, pairs, places), "duplicates")
+    block_issues = materialize(clones.located_issues(members, pairs, places), "block-duplicates")
+    fragments = clones.not_covered(clones.merged_fragments(clones.fragment_matches(files)), block_issues).withColumns({"name_a": F.lit("fragment"), "name_b": F.lit("fragment")})
+    fragments = fragments.withColumnsRenamed({"path_a": "file_a", "path_b": "file_b"}).select(*block_issues.columns)
+    duplicates = materialize(block_issues.unionByName(fragments), "duplicates")
     instances = materialize(clones.clone_groups(duplicates), "instances")
     duplication = clones.duplication_stats(instances, facts.agg(F.coalesce(F.sum("total_lines"), F.lit(0)).alias("total_lines")))
     gotchas = lint.line_issues(files).drop("snippet")

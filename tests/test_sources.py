@@ -191,6 +191,15 @@ def test_fragment_query_runs_every_window(spark, tmp_path):
     assert ("a.ts", 5, 9) in got and ("b.ts", 11, 15) in got
 
 
+def test_analysis_holds_fragments_outside_blocks(spark):
+    line = "value{0} = compute_something(data, opts{0}) + other{0} or default\n"
+    text = "".join(line.format(i) for i in range(12))
+    a = analyze(spark.createDataFrame([("a.py", "python", text), ("b.py", "python", "import os\n\n" + text)], SRC))
+    found = a.issues["duplicate_code"].collect()
+    assert found and {(r.file_a, r.name_a, r.file_b) for r in found} == {("a.py", "fragment", "b.py")}
+    assert a.duplication.first()["duplicated_lines"] > 0 and a.unified.where("category = 'duplicate_code'").count() == len(found)
+
+
 def test_patterns_and_distance(spark, rows):
     text = "const [user, setUser] = useState<User>();\n"
     df = spark.createDataFrame([(f"{i}.ts", "typescript", text * 3 + f"q{i} + r{i}\n") for i in range(4)] + [(f"z{i}.ts", "typescript", f"w{i}") for i in range(8)], SRC)
