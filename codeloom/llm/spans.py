@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.pairs import bucket_pairs
 from codeloom.operators.skew import join_per_key
+from codeloom.session import materialize
 
 GAP_COST = 0.05
 
@@ -172,34 +174,68 @@ def shared_share(blocks: DataFrame, k: int = 6) -> DataFrame:
     )
 
 
-PASSAGE = "block_id bigint, first_line bigint, last_line bigint, other_block bigint, other_first bigint, other_last bigint, exact_lines int, equal_lines int"
+def pair_chains(reps: DataFrame, k: int) -> DataFrame:
+    """a, b, pos, other_pos: the chains of every pair of different texts over all seeds they share, a < b, and of each text that stands in several files with itself.
+
+    reps: block_id, lo, hi (first and last place, with path), lines; one row per distinct text. Hot seeds are paired in chunks.
+    """
+    occ = seeds(reps.withColumn("path", F.col("lo.path")), k).select(F.col("key").alias("bucket"), F.struct("block_id", "pos").alias("id"))
+    occ = materialize(occ, "seeds")
+    met = bucket_pairs(occ, occ.count()).select(F.col("a.block_id").alias("a"), F.col("b.block_id").alias("b"), F.col("a.pos").alias("p"), F.col("b.pos").alias("q"))
+    within = met.where("a = b")
+    diagonal = occ.select(F.col("id.block_id").alias("a"), F.col("id.block_id").alias("b"), F.col("id.pos").alias("p"), F.col("id.pos").alias("q"))
+    every = met.union(within.select("a", "b", "q", "p")).union(diagonal)
+    ends = lambda s: reps.select(F.col("block_id").alias(s), F.col("lo.path").alias(f"lo_{s}"), F.col("hi.path").alias(f"hi_{s}"))
+    apart = every.groupBy("a", "b").agg(F.collect_list("p").alias("pos"), F.collect_list("q").alias("other_pos")).join(ends("a"), "a").join(ends("b"), "b").where("not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b)")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for x, y, ps, qs in zip(pdf["a"], pdf["b"], pdf["pos"], pdf["other_pos"]):
+                ps, qs = ps.tolist(), qs.tolist()
+                rows += [(x, y, [ps[i] for i in chain], [qs[i] for i in chain]) for chain in chain_matches(ps, qs)]
+            yield pd.DataFrame(rows, columns=["a", "b", "pos", "other_pos"])
+
+    return apart.select("a", "b", "pos", "other_pos").mapInPandas(run, "a bigint, b bigint, pos array<int>, other_pos array<int>")
 
 
 def fuzzy_passages(blocks: DataFrame, k: int = 6) -> DataFrame:
     """Every chain as a passage with its partner: both line ranges, the lines under exact seeds and the equal lines of the alignment.
 
-    Lines between two seeds of a chain are aligned line by line, so a passage
-    with edited lines inside is one passage.
+    Every two different texts that share a seed are chained over all their
+    seeds; a block has its passages with each such text once, in the text's
+    first block in another file (or its last where the first is in the block's
+    own file). Lines between two seeds of a chain are aligned line by line, so
+    a passage with edited lines inside is one passage.
     """
-    texts = distinct_blocks(blocks)
-    c = chained(texts, k).select("block_id", F.explode("chains").alias("c")).select("block_id", "c.*")
-    mine = texts.select("block_id", "start_line", "lines")
-    theirs = texts.select(F.col("block_id").alias("other"), F.col("start_line").alias("other_start"), F.col("lines").alias("other_lines"))
+    texts = distinct_blocks(blocks).withColumn("text", F.unhex(F.md5(F.array_join("lines", "\n"))))
+    place = F.struct("path", "block_id", "start_line")
+    reps = materialize(texts.groupBy("text").agg(F.min("block_id").alias("block_id"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("lines").alias("lines")), "texts")
+    members = texts.join(reps.select("text", F.col("block_id").alias("a")), "text").select("a", "block_id", "path", "start_line")
+    one = pair_chains(reps, k)
+    c = one.union(one.where("a <> b").select("b", "a", "other_pos", "pos"))
+    mine = reps.select(F.col("block_id").alias("a"), "lines")
+    theirs = reps.select(F.col("block_id").alias("b"), F.col("lines").alias("other_lines"))
     first, last = F.element_at("pos", 1), F.element_at("pos", -1) + k
     ofirst, olast = F.element_at("other_pos", 1), F.element_at("other_pos", -1) + k
-    cut = c.join(mine, "block_id").join(theirs, "other").select(
-        "block_id", "pos", (F.col("start_line") + first).alias("first_line"), (F.col("start_line") + last - 1).alias("last_line"),
-        F.col("other").alias("other_block"), (F.col("other_start") + ofirst).alias("other_first"), (F.col("other_start") + olast - 1).alias("other_last"),
-        F.slice("lines", first + 1, last - first).alias("a"), F.slice("other_lines", ofirst + 1, olast - ofirst).alias("b"),
+    cut = c.join(mine, "a").join(theirs, "b").select(
+        "a", "b", "pos", first.alias("first"), last.alias("last"), ofirst.alias("ofirst"), olast.alias("olast"),
+        F.slice("lines", first + 1, last - first).alias("x"), F.slice("other_lines", ofirst + 1, olast - ofirst).alias("y"),
     )
 
     def align(batches):
         for pdf in batches:
             exact, equal = [], []
-            for pos, a, b in zip(pdf["pos"], pdf["a"], pdf["b"]):
+            for pos, a, b in zip(pdf["pos"], pdf["x"], pdf["y"]):
                 exact.append(len({p + i for p in pos.tolist() for i in range(k)}))
                 a, b = list(a), list(b)
                 equal.append(len(a) if a == b else sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()))
-            yield pdf.drop(columns=["pos", "a", "b"]).assign(exact_lines=exact, equal_lines=equal)
-
-    return cut.mapInPandas(align, PASSAGE)
+            yield pdf.drop(columns=["pos", "x", "y"]).assign(exact_lines=exact, equal_lines=equal)
+
+    aligned = cut.mapInPandas(align, "a bigint, b bigint, first int, last int, ofirst int, olast int, exact_lines int, equal_lines int")
+    met = aligned.join(reps.select(F.col("block_id").alias("b"), "lo", "hi"), "b").join(members, "a")
+    other = F.when(F.col("path") != F.col("lo.path"), F.col("lo")).when(F.col("path") != F.col("hi.path"), F.col("hi"))
+    return met.withColumn("o", other).where("o is not null").select(
+        "block_id", (F.col("start_line") + F.col("first")).alias("first_line"), (F.col("start_line") + F.col("last") - 1).alias("last_line"), F.col("o.block_id").alias("other_block"),
+        (F.col("o.start_line") + F.col("ofirst")).alias("other_first"), (F.col("o.start_line") + F.col("olast") - 1).alias("other_last"), "exact_lines", "equal_lines",
+    )

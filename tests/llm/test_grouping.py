@@ -157,6 +157,17 @@ def tokens(t):
     return re.findall(r"[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$]", t)
 
 
+def test_passages_with_every_block(spark):
+    a = [f"line {i}" for i in range(30)]
+    b = a[:14] + ["edited"] + a[15:]
+    c = ["own"] * 3 + a[4:12] + ["more"] * 3  # takes the windows in the middle of a and b
+    texts = [(1, "k/a.ts", a), (2, "k/b.ts", b), (3, "a/c.ts", c), (4, "z/c.ts", c), (5, "k/a.ts", a[2:10])]
+    got = {tuple(r) for r in fuzzy_passages(spark.createDataFrame([(i, p, 1, "\n".join(t)) for i, p, t in texts], "block_id bigint, path string, start_line bigint, source string")).collect()}
+    assert (1, 1, 30, 2, 1, 30, 29, 29) in got and (2, 1, 30, 1, 1, 30, 29, 29) in got
+    assert {(1, 5, 12, 3, 4, 11, 8, 8), (3, 4, 11, 2, 5, 12, 8, 8), (4, 4, 11, 1, 5, 12, 8, 8), (3, 1, 14, 4, 1, 14, 14, 14), (5, 1, 8, 2, 3, 10, 8, 8)} <= got
+    assert not {(1, 5), (5, 1)} & {(r[0], r[3]) for r in got} and {(5, 3), (3, 5), (4, 5)} <= {(r[0], r[3]) for r in got}
+
+
 def test_near_duplicates(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)]
