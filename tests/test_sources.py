@@ -213,6 +213,20 @@ def test_patterns_and_distance(spark, rows):
     assert [(r.path_a, r.path_b) for r in got.collect()] == [("a", "b")]
 
 
+def test_distance_search_matches_brute_force(spark, rows):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    base = [[word() for _ in range(6)] for _ in range(30)]
+    renamed = "".join(f"{' '.join(x)}\n" for x in ([*y[:2], "q", *y[3:]] for y in base))  # an edit every six tokens: hardly a common 8-gram
+    first = "".join(f"{' '.join(x)}\n" for x in base)
+    texts = {"a": first, "b": renamed, "c": first, "d": first, "e": "".join(f"{word()} {word()}\n" for _ in range(30)), "f": "short\n"}
+    got = patterns.ncd_pairs(spark.createDataFrame([(p, "x", t) for p, t in texts.items()], SRC), chunk=2)
+    size = lambda t: patterns._sizes([t])[0]
+    far = lambda x, y: max(0.0, (size(x + y) - min(size(x), size(y))) / max(size(x), size(y)))
+    want = {(p, q) for p in "abcde" for q in "abcde" if p < q and far(texts[p], texts[q]) <= 0.4}
+    assert {(r.path_a, r.path_b) for r in got.collect()} == want and {("a", "b"), ("b", "c"), ("c", "d")} <= want
+
+
 def test_given_pairs_in_either_order(spark, tmp_path):
     spark.createDataFrame([("b.ts", "./a.ts", 0.1), ("a.ts", "c.ts", 0.1), ("c.ts", "a.ts", 0.2), ("a.ts", "a.ts", 0.0), ("a.ts", None, 0.1)], "path_a string, path_b string, distance double").write.parquet(f"{tmp_path}/ncd_candidates.parquet")
     files = [(p, "r", "typescript", f"export const {p[0]} = 1\n" * 20) for p in ("a.ts", "b.ts", "c.ts")]
