@@ -6,8 +6,9 @@ is tested against the hazard of the lengths around it, and the false discovery
 rate over all tests is controlled. How a text ends is read from its last line.
 An ending inside a word, sentence or markup element is proof enough at any
 length, as a broken transfer has no fixed one; an ending that may be either, such
-as an ellipsis or a short list item, counts at a significant length only. A log
-is whole if it ends with a line that closes many logs.
+as an ellipsis or an item of a list whose items have no full stops, counts at a
+significant length only. A text that stops without a full stop is whole if it
+ends with a line that closes many texts, as a log is with a line that closes many logs.
 """
 
 from __future__ import annotations
@@ -24,15 +25,14 @@ from codeloom.session import materialize
 
 NEIGHBOURS = 25
 FALSE_RATE = 0.01
-LEAST_TEXTS = 4
+P_STEPS = 64  # steps of a power of two in the table of p-values
 
-COMPLETE, INCOMPLETE, EITHER, LOG = "complete", "incomplete", "either", "log"
+COMPLETE, INCOMPLETE, OPEN, EITHER, LOG = "complete", "incomplete", "open", "either", "log"
 
 # A sentence end, perhaps inside quotes, brackets or emphasis.
 SENTENCE_END = re.compile(r"[.!?。！？]+[\"'”’»)\]*_`]*$")
 ELLIPSIS = re.compile(r"(?:\.\.\.|…)[\"'”’»)\]*_`]*$")
 CUT_MARKUP = re.compile(r"(?:<[A-Za-z/!][^<>]*|&#?\w{1,8}|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|\[[^\]]*\]\([^)]*|!?\[[^\]]*|https?:/*)$")
-CUT_PATH = re.compile(r"\w/\w+\.$")
 # Last lines that end a text without a full stop.
 CLOSING_LINE = re.compile(
     r"(?:--\s*\S.*|[—–-]\s+[A-Z@].*|\(.*\)|(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?|refs?|see|issue|bug|part of|relates to):?\s+[\w/.-]*#\d+(?:,\s*#\d+)*"
@@ -41,7 +41,6 @@ CLOSING_LINE = re.compile(
 )
 BULLET = re.compile(r"(?:[-*+•]|\d{1,3}[.)])\s+(?:\[[ xX]\]\s+)?")
 QUOTE = re.compile(r"(?:[>|]\s?)+")
-SHORT_ITEM_WORDS = 4
 
 MASK = re.compile(r"[\w.-]*/[\w./-]+|\b[A-Za-z]+(?:[A-Z][a-z0-9]+)+\b|\b\w+(?:_\w+)+\b|\d+(?:\.\d+)*")
 
@@ -51,7 +50,7 @@ EXTENSION = re.compile(r"\w\.\w{1,5}$")
 
 def shape(line: str) -> str:
     """The line without names, paths and numbers; paths with and without an extension differ."""
-    return MASK.sub(lambda m: "0" if "/" not in m[0] else "/." if EXTENSION.search(m[0]) else "/", line)[:200]
+    return MASK.sub(lambda m: "0" if "/" not in m[0] else "/." if EXTENSION.search(m[0]) else "/", line)
 
 
 def looks_like_log(lines: list[str]) -> bool:
@@ -64,6 +63,16 @@ def looks_like_log(lines: list[str]) -> bool:
     return marked + ends <= 0.2 * len(body)
 
 
+def bare_items(lines: list[str]) -> bool:
+    """Whether the lines end with list items, and most of these have no full stop."""
+    items: list[str] = []
+    for x in reversed(lines):
+        if not BULLET.match(x.strip()):
+            break
+        items.append(x.strip())
+    return 2 * sum(bool(SENTENCE_END.search(x)) for x in items) < len(items)
+
+
 def ending(text: str) -> tuple[str, str]:
     """(class, shape of the last line) of how the text ends."""
     whole = text.rstrip()
@@ -89,12 +98,12 @@ def ending(text: str) -> tuple[str, str]:
     if body.count("`") % 2:
         return INCOMPLETE, shape(last)
     if SENTENCE_END.search(body):
-        return (INCOMPLETE if CUT_PATH.search(body) else COMPLETE), shape(last)
+        return COMPLETE, shape(last)
     if item:
-        return (EITHER if 0 < len(body.split()) <= SHORT_ITEM_WORDS and body[-1:].isalnum() else INCOMPLETE), shape(last)
+        return (EITHER if bare_items(lines[:-1]) and body[-1:].isalnum() else INCOMPLETE), shape(last)
     if CLOSING_LINE.fullmatch(body):
         return COMPLETE, shape(last)
-    return INCOMPLETE, shape(last)
+    return OPEN, shape(last)
 
 
 def source_name(col):
@@ -145,18 +154,22 @@ def significant_lengths(facts: DataFrame, rate: float = FALSE_RATE) -> DataFrame
     n, e = F.col("texts"), F.col("expected")
     tested = tested.withColumn("log_p", F.when(n > e, -(n * F.log(n / e) - n + e)).otherwise(F.lit(0.0)))
     total = tested.agg(F.count(F.lit(1)).alias("tests"))
-    small = tested.where((F.col("log_p") <= F.log(F.lit(rate))) & (F.col("texts") >= LEAST_TEXTS)).crossJoin(F.broadcast(total))
-    order = Window.orderBy("log_p")
-    ranked = small.withColumn("k", F.row_number().over(order)).withColumn("holds", F.col("log_p") <= F.log(F.lit(rate) * F.col("k") / F.col("tests")))
-    last = F.max(F.when(F.col("holds"), F.col("k"))).over(Window.partitionBy())
-    return ranked.withColumn("last", last).where(F.col("k") <= F.col("last")).select("source", "unit", "length", "texts", "at_risk", "expected")
+    small = tested.where(F.col("log_p") <= F.log(F.lit(rate)))
+    # ranks of the p-values: a table of steps, whose number has a bound whatever the number of tests, then ranks inside a step
+    small = small.withColumn("step", F.floor(F.log2(-F.col("log_p")) * P_STEPS))
+    steps = small.groupBy("step").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.desc("step"))) - F.col("n"))
+    ranked = small.join(F.broadcast(steps.select("step", "before")), "step").crossJoin(F.broadcast(total))
+    ranked = ranked.withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("step").orderBy("log_p")))
+    held = ranked.where(F.col("log_p") <= F.log(F.lit(rate) * F.col("k") / F.col("tests"))).agg(F.max("k").alias("last"))
+    return ranked.crossJoin(F.broadcast(held)).where(F.col("k") <= F.col("last")).select("source", "unit", "length", "texts", "at_risk", "expected")
 
 
 def closing_shapes(facts: DataFrame, share: float = 0.02, least: int = 2) -> DataFrame:
-    """Shapes of last lines that close at least ``share`` of all logs."""
-    logs = facts.where(F.col("ending") == LOG).select("shape", "digest").distinct()
-    total = logs.agg(F.count(F.lit(1)).alias("logs"))
-    return logs.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= share * F.col("logs"))).select("shape")
+    """shape of the last lines that close at least ``share`` of all logs, or of all texts that stop without a full stop."""
+    ends = facts.where(F.col("ending").isin(LOG, OPEN)).select("ending", "shape", "digest").distinct()
+    total = ends.groupBy("ending").agg(F.count(F.lit(1)).alias("all"))
+    counts = ends.groupBy("ending", "shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return counts.join(F.broadcast(total), "ending").where(F.col("n") >= share * F.col("all")).select("shape").distinct()
 
 
 def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,9 +188,9 @@ def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     anyb = byts.select(F.lit("").alias("s"), "bytes", "by_bytes").distinct()
     keyed = facts.withColumn("s", F.coalesce("source", F.lit("")))
     keyed = keyed.join(chars.union(anyc), ["s", "chars"], "left").join(byts.union(anyb), ["s", "bytes"], "left")
-    keyed = keyed.join(closing_shapes(facts).withColumn("closes", F.lit(True)), "shape", "left")
+    keyed = keyed.join(F.broadcast(closing_shapes(facts).withColumn("closes", F.lit(True))), "shape", "left")  # at most 1 / share shapes of each class
     at_limit = F.coalesce("by_chars", "by_bytes", F.lit(False))
-    cut = (F.col("ending").isin(INCOMPLETE, LOG) & F.col("closes").isNull()) | ((F.col("ending") == EITHER) & at_limit)
+    cut = (F.col("ending") == INCOMPLETE) | (F.col("ending").isin(OPEN, LOG) & F.col("closes").isNull()) | ((F.col("ending") == EITHER) & at_limit)
     return keyed.select("doc_id", "source", cut.alias("truncated"), at_limit.alias("at_limit")), limits
 
 
