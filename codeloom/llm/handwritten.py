@@ -1,12 +1,13 @@
 """Files that nobody wrote by hand in the project: generated, minified, vendored, or data saved as code.
 
 Notices are found with one automaton over the comments of a file's header.
-A notice counts where the comment itself claims it for its own file: a mention
-inside a string, or in a sentence about other files' output, does not. Path
-rules know the folders and suffixes of vendored and built files. Minified text,
-record-by-record generated code and data blobs are known by their shape. Last,
-a file that shares most of its lines with a known third-party file of another
-place is a copy of it, also if patched.
+A notice counts where the comment itself claims it for its own file: a phrase in
+quotes is a mention, and one that its own sentence denies or puts into the past
+is no claim. Path rules know the folders and suffixes of vendored and built
+files. Minified text, record-by-record generated code and data blobs are known by
+their shape. Last, a file that shares most of its lines with a known third-party
+file of another place is a copy of it, also if patched: MinHash bands find the
+candidates, and the whole sets of lines decide.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.neardup import band_keys
 from codeloom.operators.pairs import bucket_cross
 from codeloom.session import materialize
 
@@ -33,8 +36,6 @@ VENDORED = (
     "released under the mit", "released under the bsd", "released under the apache", "licensed under mit", "licensed under the mit", "licensed under apache", "licensed under the apache", "bsd licensed", "mit licensed", "| mit", "| bsd", "| apache", "mit or apache-2.0", "apache-2.0 or mit",
     "@license", "@licence", "(c) the ", "license: mit", "license: bsd", "spdx-license-identifier",
 )
-# Words that turn a notice into talk about other files, or take it back.
-DENIALS = ("output of", "each output", "outputs of", "generated once", "is edited here", "edit this file", "edited by hand", "hand-kept", "hand-written", "handwritten", "maintained by hand", "the text", "rewritten here", "see the root", "this project")
 # Folders and names of vendored or built files.
 VENDOR_DIRS = r"(?:vendor|third_party|third-party|thirdparty|node_modules|bower_components|external|externals|deps|libs|jspm_packages|site-packages|_vendor|Pods|Carthage)"
 BUILD_DIRS = r"(?:__generated__|_generated_|generated|gen|dist)"
@@ -49,9 +50,9 @@ HASHED_NAME = re.compile(r"[-.][0-9a-f]{8,32}\.(?:js|mjs|cjs|css)$")
 
 def _automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for kind, phrases in (("generated", GENERATED), ("vendored", VENDORED), ("denied", DENIALS)):
+    for kind, phrases in (("generated", GENERATED), ("vendored", VENDORED)):
         for p in phrases:
-            a.add_word(p, kind)
+            a.add_word(p, (kind, len(p)))
     a.make_automaton()
     return a
 
@@ -87,12 +88,24 @@ def header(source: str) -> tuple[list[str], str]:
     return found, source[at:]
 
 
+QUOTED = re.compile(r"\"[^\"\n]*\"|`[^`\n]*`|(?<!\w)'[^'\n]*'(?!\w)|“[^”\n]*”")
+SENTENCE = re.compile(r"[.;!?:](?=\s|$)|\n\s*\n|\n(?=[\s*#/]*[@A-Z])")
+DENIED = re.compile(r"\b(?:not|never|no longer|once|formerly|originally|isn't|wasn't|aren't)\b")
+
+
 def header_claims(comments: list[str]) -> set[str]:
+    """The kinds of notice that the comments claim: phrases outside quotes with no denial before them in their sentence."""
     claims: set[str] = set()
     for comment in comments:
-        kinds = {kind for _, kind in NOTICES.iter(comment.lower())}
-        if "denied" not in kinds:
-            claims |= kinds
+        bare = QUOTED.sub(lambda m: " " * len(m[0]), comment)
+        text = bare.lower()
+        if len(text) != len(bare):
+            text = "".join(c if len(c.lower()) != 1 else c.lower() for c in bare)
+        for end, (kind, size) in NOTICES.iter(text):
+            begin = end + 1 - size
+            sentence = max((m.end() for m in SENTENCE.finditer(bare, 0, begin)), default=0)
+            if not DENIED.search(text, sentence, begin):
+                claims.add(kind)
     return claims
 
 
@@ -108,11 +121,9 @@ def looks_minified(source: str) -> bool:
     body = REGEX_LINE.sub("=0", STRING.sub('""', BLOCK_COMMENT.sub("", source)))
     lines = [x for x in body.split("\n") if x.strip() and not x.lstrip().startswith("//")]
     size = sum(map(len, lines))
-    if size < 200 or not lines:
-        return False
     wide = [x for x in lines if len(x) > 180]
     code = sum(len(x) for x in wide)
-    if code < 0.6 * size:
+    if not code or code < 0.6 * size:
         return False
     joined = "\n".join(wide)
     blanks = sum(joined.count(c) for c in " \t") / len(joined)
@@ -124,8 +135,6 @@ def looks_like_data(source: str) -> bool:
     """Almost all of the text are literals of one or a few collections, and there is no control flow or function."""
     text = BLOCK_COMMENT.sub("", source)
     text = "\n".join(x for x in text.split("\n") if not re.match(r"\s*(?://|#(?!\[))", x))
-    if len(text) < 400:
-        return False
     strings = STRING.findall(text)
     bare = STRING.sub("", text)
     if re.search(r"\b(?:function|def|fn|class|if|for|while|return|impl|struct|import|use|lambda)\b|=>", bare):
@@ -135,12 +144,13 @@ def looks_like_data(source: str) -> bool:
     return literal > 0.85 * len(text)
 
 
+RUN = 8  # consecutive numbers that make a running number
+
+
 def looks_recorded(source: str) -> bool:
     """Hardly anything but declarations that differ in names, literals and a running number."""
     lines = [x.strip() for x in source.split("\n")]
     lines = [x for x in lines if x and not x.startswith(("//", "#", "*", "/*"))]
-    if len(lines) < 12:
-        return False
     by_shape: dict[str, list[str]] = {}
     for x in lines:
         by_shape.setdefault(DIGITS.sub("0", WORDS.sub("a", STRING.sub('""', x))), []).append(x)
@@ -148,7 +158,7 @@ def looks_recorded(source: str) -> bool:
     if sum(map(len, top)) < 0.9 * len(lines):
         return False
     for same in top:
-        if len(same) < 8:
+        if len(same) < RUN:
             continue
         fields = [re.findall(r"\d+", x) for x in same]
         for i in range(min(map(len, fields))):
@@ -183,63 +193,50 @@ def classify(path: str, source: str) -> str | None:
     return None
 
 
-# Copies of third-party files: sketches of the line sets.
-LINE_LEAST, BANDS, SKETCH = 20, 8, 64
-MASKS = [0x9E3779B97F4A7C15 * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF for i in range(BANDS)]
+# Copies of third-party files: MinHash bands of the sets of lines. A copy that shares half of all lines is a candidate with a chance of 0.99.
+ROWS, BANDS = 2, 16
 
 
-def line_sketch(source: str) -> tuple[list[int], list[int]]:
-    """(band keys, the SKETCH smallest hashes) of the set of lines with LINE_LEAST or more characters; signed 64-bit numbers."""
-    hashes = sorted({xxhash.xxh3_64_intdigest(t) for x in source.split("\n") if len(t := x.strip()) >= LINE_LEAST})
-    if len(hashes) < 4:
-        return [], []
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    bands = [signed(xxhash.xxh3_64_intdigest(f"{i}:{min(h ^ m for h in hashes)}")) for i, m in enumerate(MASKS)]
-    return bands, [signed(h) for h in hashes[:SKETCH]]
+def line_set(source: str) -> np.ndarray:
+    """The different lines without the white space around them, as sorted 64-bit hashes; blank lines are left out."""
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(t) for t in {x.strip() for x in source.split("\n")} if t], np.uint64))
 
 
-FACTS = "path string, kind string, bands array<bigint>, sketch array<bigint>"
+FACTS = "path string, kind string, bands array<bigint>, lines array<bigint>, id binary"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, bands, sketches = [], [], []
+        kinds, bands, sets, ids = [], [], [], []
         for path, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             kind = classify(path, source)
-            b, s = line_sketch(source) if kind in (None, "vendored") else ([], [])
+            lines = line_set(source) if kind in (None, "vendored") else np.empty(0, np.uint64)
             kinds.append(kind)
-            bands.append(b)
-            sketches.append(s)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["path", "kind", "bands", "sketch"])
-
-
-def _unsigned_overlap():
-    """Share of common lines of ``sketch`` and ``theirs``, estimated on the smallest hashes of both sets together."""
-    flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # noqa: E731  # the order of unsigned numbers
-    a, b = flip("sketch"), flip("theirs")
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both)
+            bands.append(band_keys(lines, ROWS, BANDS).view(np.int64) if len(lines) else None)
+            sets.append(lines.view(np.int64) if len(lines) else None)
+            ids.append(xxhash.xxh3_128_digest(lines.tobytes()) if len(lines) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64())), pa.array(ids, pa.binary())], ["path", "kind", "bands", "lines", "id"])
 
 
 def classify_files(files: DataFrame, copied: float = 0.5) -> DataFrame:
     """path, kind: one row per file with the kind generated, minified, vendored or data, or null for hand-written source.
 
-    A file without marks is vendored too if it shares at least ``copied`` of
-    its lines with a file that is known to be vendored. Files with null path or
-    source are left out, an empty source is hand-written, exact copies of a row
-    count once; a path with several texts takes the first kind by name. Texts
-    are read whole. An empty table gives no rows.
+    A file without marks is vendored too if at least ``copied`` of the lines of
+    both together are shared with a file that is known to be vendored. Files
+    with null path or source are left out, an empty source is hand-written,
+    exact copies of a row count once; a path with several texts takes the first
+    kind by name. Texts are read whole. An empty table gives no rows.
     """
     rows = files.select("path", "source").where(F.col("path").isNotNull() & F.col("source").isNotNull())
     facts = materialize(rows.mapInArrow(_facts, FACTS), "source-facts")
-    sketched = facts.where("(kind is null or kind = 'vendored') and size(sketch) > 0").withColumn("id", F.unhex(F.md5(F.array_join("sketch", ","))))
-    sketched = materialize(sketched.select("path", "kind", "bands", "sketch", "id"), "line-sketches")
-    keys = lambda kept: sketched.where(kept).select(F.explode("bands").alias("bucket"), "id").distinct()  # noqa: E731  # equal sketches are one
-    one = sketched.select("id", "sketch").dropDuplicates(["id"])
-    met = bucket_cross(keys("kind is null"), keys("kind is not null"), sketched.count() * BANDS)
-    both = met.join(one.withColumnRenamed("id", "a"), "a").join(one.select(F.col("id").alias("b"), F.col("sketch").alias("theirs")), "b")
-    close = both.where(_unsigned_overlap() >= copied).select(F.col("a").alias("id")).distinct()
-    copies = sketched.where("kind is null").join(close, "id", "left_semi").select("path").distinct()
+    sets = facts.where("id is not null")
+    keys = lambda kept: sets.where(kept).select(F.explode("bands").alias("bucket"), "id").distinct()  # noqa: E731  # equal sets are one
+    met = bucket_cross(keys("kind is null"), keys("kind is not null"), sets.count() * BANDS)
+    mine = sets.where("kind is null").select(F.col("id").alias("a"), F.col("lines").alias("la")).dropDuplicates(["a"])
+    theirs = sets.where("kind is not null").select(F.col("id").alias("b"), F.col("lines").alias("lb")).dropDuplicates(["b"])
+    shared = F.size(F.array_intersect("la", "lb"))
+    close = met.join(theirs, "b").join(mine, "a").where(shared >= copied * (F.size("la") + F.size("lb") - shared)).select(F.col("a").alias("id")).distinct()
+    copies = sets.where("kind is null").join(close, "id", "left_semi").select("path").distinct()
     marked = copies.select("path", F.lit("vendored").alias("copy"))
     return facts.groupBy("path").agg(F.min("kind").alias("kind")).join(marked, "path", "left").select("path", F.coalesce("kind", "copy").alias("kind"))
 

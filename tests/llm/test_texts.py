@@ -101,6 +101,11 @@ def test_classes_of_source():
     assert c("a/x.ts", "const t = [1, 2, 3];\n" + "export function f(a) {\n  return t[a];\n}\n" * 20) is None
     assert c("a/x.ts", "".join(f'reg.define("N.F{i}.{i}", {{ id: {700 + i} }});\n' for i in range(30))) == "generated"
     assert c("a/x.ts", "") is None
+    assert c("a/x.ts", "// Code generated by protoc. The text below is machine output.\nconst a = 1;\n") == "generated"
+    assert c("a/x.ts", "// This file was once automatically generated by toolc, now it is kept here\nconst a = 1;\n") is None
+    assert c("a/x.ts", '// Writes "Code generated by toolc" on top of each file\nconst a = 1;\n') is None
+    assert c("a/x.ts", "// Not a draft.\n// Code generated by toolc\nconst a = 1;\n") == "generated"
+    assert c("a/x.ts", "// words\n" * 200 + "// @generated by tool\nconst a = 1;\n") == "generated"
 
 
 def test_long_headers_are_read_to_the_code():
@@ -200,13 +205,22 @@ def test_endings():
     e = lambda t: truncation.ending(t)[0]
     for whole in ("", "A sentence.", "Why?", "Done!  \n", "He said \"so.\"", "Text.\n\n```ts\nf(1);\n```", "Text.\n\nFixes #12", "Text.\n\n-- the release bot", "Text.\n\nsee docs/a_b.md", "Text.\n\n## Part\n\nnone", "Text.\n\n(cc @team)", "| a | b |\n|---|---|\n| 1 | 2 |"):
         assert e(whole) == truncation.COMPLETE, whole
-    for cut in ("The rule is of", "Look at src/a/b.", "It is &am", "It is <sp", "Text \\u00", "see [the docs](http://x", "Text.\n\n```ts\nf(1", "the code `abc", "half a lett\ufffd", "- a longer bullet that ends in the mid", "A list of one,"):
+    for cut in ("It is &am", "It is <sp", "Text \\u00", "see [the docs](http://x", "Text.\n\n```ts\nf(1", "the code `abc", "half a lett\ufffd", "- a longer bullet that ends in the mid", "- One item.\n- Another it"):
         assert e(cut) == truncation.INCOMPLETE, cut
-    for either in ("That is all for now...", "Text.\n\n- two words"):
+    for cut in ("The rule is of", "A list of one,"):
+        assert e(cut) == truncation.OPEN, cut
+    for either in ("That is all for now...", "Text.\n\n- a first one\n- two words"):
         assert e(either) == truncation.EITHER, either
+    assert e("See src/a/b.") == truncation.COMPLETE
     assert e("run a\nrun b\nrun c\nrun d\ndone in 4 ms") == truncation.LOG
 
 
+def test_closing_lines_are_learned(spark):
+    docs = [(i, f"Some words about part {i}.\n\nover and out", "a") for i in range(20)] + [(100 + i, f"Some words about part {i} and then w{'x' * i}", "a") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    assert {r.doc_id for r in truncation.truncated_documents(df).collect()} == set(range(100, 160))
+
+
 def test_limits_and_truncated(spark):
     rng = random.Random(5)
     docs, cut = [], set()
