@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import join_per_key
@@ -10,9 +12,11 @@ from codeloom.operators.skew import join_per_key
 CHUNK = 400
 
 
-def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor: int = 200_000) -> DataFrame:
+def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor: int = 200_000, keep: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(bucket, id) → distinct pairs (a, b), a < b, of ids that share a bucket; ``total`` is the number of rows.
 
+    ``keep`` (a, b) leaves out pairs that can't count before they are shuffled.
+
     Buckets of up to ``chunk`` ids are paired in place. Larger ones are cut
     into chunks by id, and each pair of chunks is its own group of about
     2 · chunk ids, whatever the size of the bucket.
@@ -22,10 +26,12 @@ def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor
     lists = told.where("parts = 1").groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     inner = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     near = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
+    near = near.where(keep(F.col("a"), F.col("b"))) if keep else near
     cut = told.where("parts > 1").withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = cut.select("bucket", "c", F.explode(F.sequence("c", F.col("parts") - 1)).alias("d"), F.col("id").alias("x"))
     right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"), F.col("c").alias("d"), F.col("id").alias("y"))
     far = left.join(right, ["bucket", "c", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y"))).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    far = far.where(keep(F.col("a"), F.col("b"))) if keep else far
     return near.union(far).distinct()
 
 
