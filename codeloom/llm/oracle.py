@@ -56,4 +56,23 @@ c AS (SELECT x.block_id AS block_a, y.block_id AS block_b, count(*) AS k FROM s
 SELECT block_a, block_b FROM c JOIN n a ON a.block_id = block_a JOIN n b ON b.block_id = block_b WHERE k >= 0.7 * (a.n + b.n - k)
 """
 
-ORACLE = {"p2_found": P2_FOUND, "p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
+P7_GROUPS = "WITH RECURSIVE" + P7_FOUND.replace("\nWITH", "", 1).replace("SELECT block_a, block_b FROM c", ", pair AS (SELECT block_a, block_b FROM c", 1) + """),
+fp AS (SELECT block_id, md5(string_agg(g, chr(2) ORDER BY g)) AS fp FROM (SELECT DISTINCT block_id, g FROM s) GROUP BY 1),
+k AS (SELECT block_id, min(block_id) OVER (PARTITION BY fp) AS class_id FROM fp),
+e AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM pair JOIN k x ON x.block_id = block_a JOIN k y ON y.block_id = block_b WHERE x.class_id <> y.class_id),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(c, g) AS (SELECT a, a FROM u UNION SELECT u.b, r.g FROM r JOIN u ON u.a = r.c)
+SELECT block_id, class_id, (SELECT count(*) FROM u WHERE a = class_id) AS links, coalesce((SELECT min(g) FROM r WHERE c = class_id), class_id) AS group_id FROM k
+"""
+
+P8_ITEMS = "WITH" + P8_WORDS + """,
+dp AS (SELECT doc_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM d WHERE len(w) >= 12)),
+ip AS (SELECT item_id, p, array_to_string(w[p:p + 11], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 10)) AS p FROM i WHERE len(w) >= 12)),
+m AS (SELECT DISTINCT doc_id, item_id, dp.p, dp.p - ip.p AS diag FROM dp JOIN ip USING (g)),
+runs AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY p) AS z FROM m) GROUP BY doc_id, item_id, diag, z)
+SELECT item_id, count(DISTINCT doc_id) AS documents, max(n)::INT AS longest FROM runs GROUP BY item_id
+"""
+
+P8_PASSAGES = P8_ITEMS.replace("SELECT item_id, count(DISTINCT doc_id) AS documents, max(n)::INT AS longest FROM runs GROUP BY item_id", "SELECT doc_id, item_id, max(n)::INT AS words FROM runs GROUP BY doc_id, item_id")
+
+ORACLE = {"p2_found": P2_FOUND, "p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_groups": P7_GROUPS, "p8_items": P8_ITEMS, "p8_passages": P8_PASSAGES, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}

@@ -94,6 +94,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("doc_id", "item_id")
 
 
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(spark, d).select("doc_id", "item_id", "words")
+
+
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(_hits(spark, d))
 
@@ -102,4 +106,4 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_leaks(table(spark, d, "documents"), _hits(spark, d)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_passages, p3_found, p4_found, p4_errors, p4_rates, p5_found, p5_kinds, p6_found, p7_found, p7_groups, p8_found, p8_passages, p8_items, p8_clean, p9_mix, p9_shares, p10_found, p10_rates, p10_limits)}

@@ -2,11 +2,13 @@
 
 import ast
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from codeloom.llm import handwritten, truncation
-from codeloom.llm.leak import leaked_items, leaked_passages, without_leaks, words
+from codeloom.llm.leak import leaked_items, leaked_passages, shard_hits, without_leaks, words
 from codeloom.llm.lr import Recognizer, Tables, read_grammar
 from codeloom.llm.mixing import flight, land, mix
 from codeloom.llm.syntax import check_files, error_rates, first_error, invalid_files
@@ -162,14 +164,30 @@ def test_leaks_match_brute_force(spark):
     want = {(d, i) for d, t in docs if d is not None and t for i, s in items if s and grams(t) & grams(s)}
     df = spark.createDataFrame([(*r, "w", 1) for r in docs], "doc_id bigint, text string, words string, item_id int")
     it = spark.createDataFrame(items, "item_id bigint, text string")
-    for shard in (30, 1_000_000):
-        hits = leaked_passages(df, it, shard_words=shard)
-        assert {(r.doc_id, r.item_id) for r in hits.collect()} == want and want
+    runs = lambda t: [tuple(words(t)[i:j]) for i in range(len(words(t))) for j in range(i + 12, len(words(t)) + 1)]
+    text_of, item_of = {d: t for d, t in docs if t}, dict(items)
+    for shard, part in ((30, 50), (1_000_000, 2_000_000)):
+        hits = leaked_passages(df, it, shard_words=shard, pass_words=part)
+        found = hits.collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and want
+        for r in found:
+            d, i = words(text_of[r.doc_id]), words(item_of[r.item_id])
+            assert d[r.doc_word : r.doc_word + r.words] == i[r.item_word : r.item_word + r.words]
+            assert r.words == max(map(len, set(runs(text_of[r.doc_id])) & set(runs(item_of[r.item_id]))))
     assert {r.item_id for r in leaked_items(hits).collect()} == {i for _, i in want}
     assert {r.doc_id for r in without_leaks(df.where("doc_id is not null"), hits).collect()} == {d for d, _ in docs if d is not None} - {d for d, _ in want}
     assert leaked_passages(df.limit(0), it).count() == 0 and leaked_passages(df, it.limit(0)).count() == 0
 
 
+def test_repeated_words_stay_linear():
+    docs, items = [np.full(16_000, 5, np.int64)], np.append(np.full(4_000, 5, np.int64), -1)
+    tracemalloc.start()
+    got = shard_hits(docs, [1], items, np.full(4_001, 9), 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(1, 9, 4_000, 0, 0)] and peak < 50_000_000
+
+
 def test_longest_match(spark):
     text = " ".join(f"w{i}" for i in range(30))
     hits = leaked_passages(spark.createDataFrame([(1, "a " + text + " b")], "doc_id bigint, text string"), spark.createDataFrame([(7, "c " + text[:70])], "item_id bigint, text string"))
