@@ -235,7 +235,7 @@ def classify_files(files: DataFrame, copied: float = 0.5) -> DataFrame:
     mine = sets.where("kind is null").select(F.col("id").alias("a"), F.col("lines").alias("la")).dropDuplicates(["a"])
     theirs = sets.where("kind is not null").select(F.col("id").alias("b"), F.col("lines").alias("lb")).dropDuplicates(["b"])
     shared = F.size(F.array_intersect("la", "lb"))
-    close = met.join(theirs, "b").join(mine, "a").where(shared >= copied * (F.size("la") + F.size("lb") - shared)).select(F.col("a").alias("id")).distinct()
+    close = met.join(theirs.hint("merge"), "b").join(mine.hint("merge"), "a").where(shared >= copied * (F.size("la") + F.size("lb") - shared)).select(F.col("a").alias("id")).distinct()
     copies = sets.where("kind is null").join(close, "id", "left_semi").select("path").distinct()
     marked = copies.select("path", F.lit("vendored").alias("copy"))
     return facts.groupBy("path").agg(F.min("kind").alias("kind")).join(marked, "path", "left").select("path", F.coalesce("kind", "copy").alias("kind"))

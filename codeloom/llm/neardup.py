@@ -119,8 +119,8 @@ def similar_classes(blocks: DataFrame, threshold: float = 0.7) -> tuple[DataFram
     size = F.size("sa") + F.size("sb")
     shared = F.size(F.array_intersect("sa", "sb"))
     found = (
-        candidates.join(whole.select(F.col("key").alias("a"), F.col("class").alias("ca"), F.col("s").alias("sa")), "a")
-        .join(whole.select(F.col("key").alias("b"), F.col("class").alias("cb"), F.col("s").alias("sb")), "b")
+        candidates.join(whole.select(F.col("key").alias("a"), F.col("class").alias("ca"), F.col("s").alias("sa")).hint("merge"), "a")
+        .join(whole.select(F.col("key").alias("b"), F.col("class").alias("cb"), F.col("s").alias("sb")).hint("merge"), "b")
         .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (shared / (size - shared)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )

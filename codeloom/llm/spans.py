@@ -7,14 +7,16 @@ file), so a window that a third of all records hold gives one match per
 occurrence and never all pairs. The matches of a record are chained per
 partner: in order of position, a Fenwick tree over the partner's positions
 gives the best predecessor under a linear gap cost. Every match ends up in one
-chain, so the lines covered by the chains' matches are exactly the lines that
-stand verbatim elsewhere; gaps inside a chain are aligned for fuzzy passages.
+chain, and a chain's matches on one diagonal are one exact piece, so the pieces of
+all chains are exactly the lines that stand verbatim elsewhere; the gaps between
+pieces are aligned for fuzzy passages.
 """
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,10 +73,10 @@ def chain_matches(pos: list[int], other: list[int]) -> list[list[int]]:
     return chains
 
 
-def distinct_blocks(blocks: DataFrame) -> DataFrame:
-    """block_id, path, start_line, lines of the usable blocks, once each."""
+def usable_blocks(blocks: DataFrame) -> DataFrame:
+    """block_id, path, start_line, lines of the usable blocks. Copies of a row stay: texts are read where they lie, and copies fall together in what is made of them."""
     cols = blocks.select("block_id", "path", "start_line", "source")
-    return cols.where(" and ".join(f"{c} is not null" for c in cols.columns)).distinct().select("block_id", "path", "start_line", F.split("source", "\n").alias("lines"))
+    return cols.where(" and ".join(f"{c} is not null" for c in cols.columns)).select("block_id", "path", "start_line", F.split("source", "\n").alias("lines"))
 
 
 def seeds(texts: DataFrame, k: int) -> DataFrame:
@@ -102,10 +104,37 @@ def matches(texts: DataFrame, k: int, heavy_floor: int = 200_000) -> DataFrame:
     return met.withColumn("o", other).select("block_id", "pos", F.col("o.block_id").alias("other_block"), F.col("o.pos").alias("other_pos"))
 
 
-CHAINS = "block_id bigint, chains array<struct<other:bigint,pos:array<int>,other_pos:array<int>>>"
+CHAINS = "block_id bigint, chains array<struct<other:bigint,pieces:array<struct<first:int,last:int>>>>"
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def exact_pieces(pos: list[int], other: list[int], k: int) -> list[tuple[int, int]]:
+    """(first, last) of the lines under a chain's matches, one piece for each stretch on one diagonal."""
+    pieces: list[list[int]] = []
+    for i, (p, q) in enumerate(zip(pos, other)):
+        if i and p - pos[i - 1] == q - other[i - 1] and p <= pieces[-1][1] + 1:
+            pieces[-1][1] = p + k - 1
+        else:
+            pieces.append([p, p + k - 1])
+    return [(a, b) for a, b in pieces]
+
+
+def equal_lines(pos: list[int], other: list[int], k: int, x: list[str], y: list[str]) -> int:
+    """The equal lines of the alignment along a chain: its exact pieces, and what an alignment of each gap between them adds. x, y: the lines from the first match to the last."""
+    i = j = equal = 0
+    for p, q in zip(pos, other):
+        p, q = p - pos[0], q - other[0]
+        skip = max(0, i - p, j - q)
+        if skip >= k:
+            continue
+        p, q = p + skip, q + skip
+        if p > i and q > j:
+            equal += sum(m.size for m in difflib.SequenceMatcher(None, x[i:p], y[j:q], autojunk=False).get_matching_blocks())
+        equal += k - skip
+        i, j = p + k - skip, q + k - skip
+    return equal
+
+
+def _chains(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for pos, other, at in zip(pdf["pos"], pdf["other_block"], pdf["other_pos"]):
@@ -115,7 +144,7 @@ def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mine[0].append(p)
                 mine[1].append(a)
             out.append([
-                {"other": o, "pos": [ps[i] for i in chain], "other_pos": [qs[i] for i in chain]}
+                {"other": o, "pieces": [{"first": a, "last": b} for a, b in exact_pieces([ps[i] for i in chain], [qs[i] for i in chain], k)]}
                 for o, (ps, qs) in sorted(by.items())
                 for chain in chain_matches(ps, qs)
             ])
@@ -127,7 +156,7 @@ def chained(texts: DataFrame, k: int, heavy_floor: int = 200_000) -> DataFrame:
     per_block = matches(texts, k, heavy_floor).groupBy("block_id").agg(
         F.collect_list("pos").alias("pos"), F.collect_list("other_block").alias("other_block"), F.collect_list("other_pos").alias("other_pos")
     )
-    return per_block.mapInPandas(_chains, CHAINS)
+    return per_block.mapInPandas(partial(_chains, k=k), CHAINS)
 
 
 def shared_spans(blocks: DataFrame, k: int = 6, heavy_floor: int = 200_000) -> DataFrame:
@@ -139,37 +168,37 @@ def shared_spans(blocks: DataFrame, k: int = 6, heavy_floor: int = 200_000) -> D
     start or source take no part, shorter blocks have no spans, exact copies of
     a row count once and an empty table gives no rows.
     """
-    texts = distinct_blocks(blocks)
-    return _runs(chained(texts, k, heavy_floor), texts, k)
+    texts = usable_blocks(blocks)
+    return _runs(chained(texts, k, heavy_floor), texts)
 
 
-def _runs(chains: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The lines under the matches of all chains, as maximal runs."""
-    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("chains", lambda c: c["pos"]))))
+def _runs(chains: DataFrame, texts: DataFrame) -> DataFrame:
+    """The exact pieces of all chains, as maximal runs."""
+    pieces = F.array_sort(F.array_distinct(F.flatten(F.transform("chains", lambda c: c["pieces"]))))
     step = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
-    def grow(acc, p):
-        end = p + (k - 1)
+    def grow(acc, piece):
+        p, end = piece["first"], F.greatest(piece["last"], acc["last"])
         closed = F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
         fresh, joined = acc["first"].isNull(), p <= acc["last"] + 1
         return F.when(fresh, F.struct(acc["done"].alias("done"), p.alias("first"), end.alias("last"))).when(
             joined, F.struct(acc["done"].alias("done"), acc["first"].alias("first"), end.alias("last"))
-        ).otherwise(F.struct(closed.alias("done"), p.alias("first"), end.alias("last")))
+        ).otherwise(F.struct(closed.alias("done"), p.alias("first"), piece["last"].alias("last")))
 
     def close(acc):
         return F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
 
-    runs = chains.select("block_id", F.explode(F.aggregate(starts, step, grow, close)).alias("r"))
-    return runs.join(texts.select("block_id", "start_line", F.size("lines").alias("lines")), "block_id").select(
+    runs = chains.select("block_id", F.explode(F.aggregate(pieces, step, grow, close)).alias("r"))
+    return runs.join(texts.select("block_id", "start_line", F.size("lines").alias("lines")).distinct(), "block_id").select(
         "block_id", (F.col("start_line") + F.col("r.first")).alias("first_line"), (F.col("start_line") + F.col("r.last")).alias("last_line"), "lines"
     )
 
 
 def shared_share(blocks: DataFrame, k: int = 6) -> DataFrame:
     """How much of every block stands in blocks of other files: block_id, lines, shared_lines, share."""
-    texts = distinct_blocks(blocks)
-    spans = _runs(chained(texts, k), texts, k).groupBy("block_id").agg(F.sum(F.col("last_line") - F.col("first_line") + 1).alias("shared_lines"))
-    return texts.select("block_id", F.size("lines").cast("bigint").alias("lines")).join(spans, "block_id", "left").select(
+    texts = usable_blocks(blocks)
+    spans = _runs(chained(texts, k), texts).groupBy("block_id").agg(F.sum(F.col("last_line") - F.col("first_line") + 1).alias("shared_lines"))
+    return texts.select("block_id", F.size("lines").cast("bigint").alias("lines")).distinct().join(spans, "block_id", "left").select(
         "block_id", "lines", F.coalesce("shared_lines", F.lit(0)).alias("shared_lines"), F.round(F.coalesce("shared_lines", F.lit(0)) / F.col("lines"), 6).alias("share")
     )
 
@@ -186,7 +215,7 @@ def pair_chains(reps: DataFrame, k: int) -> DataFrame:
     diagonal = occ.select(F.col("id.block_id").alias("a"), F.col("id.block_id").alias("b"), F.col("id.pos").alias("p"), F.col("id.pos").alias("q"))
     every = met.union(within.select("a", "b", "q", "p")).union(diagonal)
     ends = lambda s: reps.select(F.col("block_id").alias(s), F.col("lo.path").alias(f"lo_{s}"), F.col("hi.path").alias(f"hi_{s}"))
-    apart = every.groupBy("a", "b").agg(F.collect_list("p").alias("pos"), F.collect_list("q").alias("other_pos")).join(ends("a"), "a").join(ends("b"), "b").where("not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b)")
+    apart = every.groupBy("a", "b").agg(F.collect_list("p").alias("pos"), F.collect_list("q").alias("other_pos")).join(ends("a").hint("merge"), "a").join(ends("b").hint("merge"), "b").where("not (lo_a = hi_a and lo_b = hi_b and lo_a = lo_b)")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,32 +237,32 @@ def fuzzy_passages(blocks: DataFrame, k: int = 6) -> DataFrame:
     own file). Lines between two seeds of a chain are aligned line by line, so
     a passage with edited lines inside is one passage.
     """
-    texts = distinct_blocks(blocks).withColumn("text", F.unhex(F.md5(F.array_join("lines", "\n"))))
+    texts = usable_blocks(blocks).withColumn("text", F.unhex(F.md5(F.array_join("lines", "\n"))))
     place = F.struct("path", "block_id", "start_line")
     reps = materialize(texts.groupBy("text").agg(F.min("block_id").alias("block_id"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.first("lines").alias("lines")), "texts")
-    members = texts.join(reps.select("text", F.col("block_id").alias("a")), "text").select("a", "block_id", "path", "start_line")
+    members = texts.join(reps.select("text", F.col("block_id").alias("a")), "text").select("a", "block_id", "path", "start_line").distinct()
     one = pair_chains(reps, k)
     c = one.union(one.where("a <> b").select("b", "a", "other_pos", "pos"))
     mine = reps.select(F.col("block_id").alias("a"), "lines")
     theirs = reps.select(F.col("block_id").alias("b"), F.col("lines").alias("other_lines"))
     first, last = F.element_at("pos", 1), F.element_at("pos", -1) + k
     ofirst, olast = F.element_at("other_pos", 1), F.element_at("other_pos", -1) + k
-    cut = c.join(mine, "a").join(theirs, "b").select(
-        "a", "b", "pos", first.alias("first"), last.alias("last"), ofirst.alias("ofirst"), olast.alias("olast"),
+    cut = c.join(mine.hint("merge"), "a").join(theirs.hint("merge"), "b").select(  # lists of lines are never broadcast by their packed size
+        "a", "b", "pos", "other_pos", first.alias("first"), last.alias("last"), ofirst.alias("ofirst"), olast.alias("olast"),
         F.slice("lines", first + 1, last - first).alias("x"), F.slice("other_lines", ofirst + 1, olast - ofirst).alias("y"),
     )
 
     def align(batches):
         for pdf in batches:
             exact, equal = [], []
-            for pos, a, b in zip(pdf["pos"], pdf["x"], pdf["y"]):
-                exact.append(len({p + i for p in pos.tolist() for i in range(k)}))
-                a, b = list(a), list(b)
-                equal.append(len(a) if a == b else sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()))
-            yield pdf.drop(columns=["pos", "x", "y"]).assign(exact_lines=exact, equal_lines=equal)
+            for pos, other, a, b in zip(pdf["pos"], pdf["other_pos"], pdf["x"], pdf["y"]):
+                pos = pos.tolist()
+                exact.append(sum(min(k, q - p) for p, q in zip(pos, pos[1:])) + k)
+                equal.append(equal_lines(pos, other.tolist(), k, list(a), list(b)))
+            yield pdf.drop(columns=["pos", "other_pos", "x", "y"]).assign(exact_lines=exact, equal_lines=equal)
 
     aligned = cut.mapInPandas(align, "a bigint, b bigint, first int, last int, ofirst int, olast int, exact_lines int, equal_lines int")
-    met = aligned.join(reps.select(F.col("block_id").alias("b"), "lo", "hi"), "b").join(members, "a")
+    met = aligned.join(reps.select(F.col("block_id").alias("b"), "lo", "hi").hint("merge"), "b").join(members.hint("merge"), "a")
     other = F.when(F.col("path") != F.col("lo.path"), F.col("lo")).when(F.col("path") != F.col("hi.path"), F.col("hi"))
     return met.withColumn("o", other).where("o is not null").select(
         "block_id", (F.col("start_line") + F.col("first")).alias("first_line"), (F.col("start_line") + F.col("last") - 1).alias("last_line"), F.col("o.block_id").alias("other_block"),
