@@ -1,12 +1,16 @@
 """Processing only new or changed records, with a versioned state that is swapped in one step.
 
 The state holds, per key, the order and fingerprint of the latest record seen
-by the last successful run. A run reads only the records that became visible
-since then, merges them into the state in one shuffle and marks the keys whose
-fingerprint is new or different. It writes the next version beside the current
-one and then renames a small pointer file. A run that dies before the rename
-leaves the old version in force, so the next run selects the same records
-again; a run that is repeated after the rename is recognised by its token.
+by the last successful run. It is a base and the deltas of the runs since. A run
+reads only the records that became visible since the last one, looks their keys
+up in the state and writes a delta: the keys whose latest record moved, marked
+where the fingerprint is new or different. While the new keys are few (a checked
+number) they are broadcast, so the state is scanned but neither shuffled nor
+written again; when the deltas have outgrown the base, they are merged into a new
+one, so writing stays in proportion to what changed. A small pointer file names
+the parts in force and is renamed last. A run that dies before the rename leaves
+the old state in force, so the next run selects the same records again; a run
+that is repeated after the rename is recognised by its token.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.session import drop_path, read_text, shared_dir, swap_text
+from codeloom.session import counted_write, drop_path, read_text, shared_dir, swap_text
 
 
 def digest_value(col: Column) -> Column:
@@ -34,12 +38,16 @@ def content_fingerprint(digest: Column, targets: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x01", digest_value(digest), F.concat_ws("\x00", target_set(targets)))))
 
 
+KEYS_BROADCAST = 200_000
+MOST_DELTAS = 64
+STATE = "key string, ord struct<at:timestamp,id:bigint>, fp binary, changed boolean"
+
+
 class ChangeState:
     """Versioned key → (order, fingerprint) state in a folder.
 
-    ``root/CURRENT`` names the version in force and the token of the run that
-    made it. Each version is partitioned by ``changed``, so the keys changed by
-    a run can be read without touching the rest.
+    ``root/CURRENT`` names the base and the deltas in force, and the version
+    that each run made. ``v…`` holds the delta of a run, ``b…`` a base.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -47,13 +55,26 @@ class ChangeState:
 
     def pointer(self) -> dict:
         text = read_text(self.spark, f"{self.root}/CURRENT")
-        return json.loads(text) if text else {"version": 0, "token": None, "runs": {}}
+        return json.loads(text) if text else {"version": 0, "token": None, "runs": {}, "base": 0, "base_rows": 0, "deltas": []}
 
-    def _version(self, n: int) -> str:
+    def _delta(self, n: int) -> str:
         return f"{self.root}/v{n:06d}"
 
+    def _base(self, n: int) -> str:
+        return f"{self.root}/b{n:06d}"
+
+    def state(self, now: dict) -> DataFrame | None:
+        """The rows of the base and the deltas in force; of a key with several the greatest counts."""
+        paths = ([self._base(now["base"])] if now["base"] else []) + [self._delta(n) for n, _ in now["deltas"]]
+        return self.spark.read.schema(STATE).parquet(*paths).select("key", "ord", "fp") if paths else None
+
+    def _merge(self, now: dict, path: str) -> int:
+        entry = F.max(F.struct("ord", "fp")).alias("e")
+        merged = self.state(now).groupBy("key").agg(entry).select("key", "e.ord", "e.fp", F.lit(False).alias("changed"))
+        return counted_write(merged, path)
+
     def advance(self, token: str, rows: DataFrame, *, rebuild: bool = False, fail_before_swap: bool = False) -> bool:
-        """Merge ``rows`` (key, ord, fp) and swap the version; False if the token was already applied.
+        """Merge ``rows`` (key, ord, fp) and swap the pointer; False if the token was already applied.
 
         With ``rebuild`` the rows are the whole of what the run can see and keys
         without a row leave the state. ``fail_before_swap`` is for tests.
@@ -61,33 +82,33 @@ class ChangeState:
         now = self.pointer()
         if token in now["runs"]:
             return False
-        fresh = rows.select("key", "ord", "fp", F.lit(False).alias("old"))
-        both = fresh
-        if now["version"]:
-            state = self.spark.read.schema("key string, ord struct<at:timestamp,id:bigint>, fp binary, changed boolean").parquet(self._version(now["version"]))
-            both = fresh.unionByName(state.select("key", "ord", "fp", F.lit(True).alias("old")))
+        n = now["version"] + 1
+        both = rows.select("key", "ord", "fp", F.lit(False).alias("old"))
+        state = self.state(now)
+        if state is not None:
+            if not rebuild and rows.count() <= KEYS_BROADCAST:
+                state = state.join(F.broadcast(rows.select("key").distinct()), "key", "left_semi")
+            both = both.unionByName(state.withColumn("old", F.lit(True)))
         entry = F.struct("ord", "fp")
-        current = F.max(F.when(~F.col("old"), entry)) if rebuild else F.max(entry)
-        merged = (
-            both.groupBy("key")
-            .agg(current.alias("cur"), F.max(F.when(F.col("old"), entry)).alias("was"))
-            .where(F.col("cur").isNotNull())
-            .select("key", "cur.ord", "cur.fp", (~F.col("cur.fp").eqNullSafe(F.col("was.fp"))).alias("changed"))
-        )
-        nxt = now["version"] + 1
-        merged.write.mode("overwrite").partitionBy("changed").parquet(self._version(nxt))
+        met = both.groupBy("key").agg(F.max(F.when(~F.col("old"), entry)).alias("new"), F.max(F.when(F.col("old"), entry)).alias("was")).where("new is not null")
+        moved = met if rebuild else met.where("was is null or new > was")
+        delta = moved.select("key", "new.ord", "new.fp", (~F.col("new.fp").eqNullSafe(F.col("was.fp"))).alias("changed"))
+        written = counted_write(delta, self._delta(n))
+        nxt = now | {"version": n, "token": token, "runs": now["runs"] | {token: n}, "deltas": [*now["deltas"], [n, written]]}
+        if rebuild:
+            nxt |= {"base": 0, "base_rows": 0, "deltas": [[n, written]]}
+        elif sum(k for _, k in nxt["deltas"]) > nxt["base_rows"] and len(nxt["deltas"]) > 1 or len(nxt["deltas"]) > MOST_DELTAS:
+            nxt |= {"base": n, "base_rows": self._merge(nxt, self._base(n)), "deltas": []}
         if fail_before_swap:
             raise RuntimeError("run failed before its state was swapped")
-        swap_text(self.spark, f"{self.root}/CURRENT", json.dumps({"version": nxt, "token": token, "runs": now["runs"] | {token: nxt}}))
-        if now["version"]:
-            drop_path(self.spark, f"{self._version(now['version'])}/changed=false")
+        swap_text(self.spark, f"{self.root}/CURRENT", json.dumps(nxt))
+        if now["base"] and nxt["base"] != now["base"]:
+            drop_path(self.spark, self._base(now["base"]))
         return True
 
     def changed(self, token: str) -> DataFrame:
         """The keys that the run with this token found new or changed."""
-        version = self.pointer()["runs"][token]
-        df = self.spark.read.schema("key string, ord struct<at:timestamp,id:bigint>, fp binary, changed boolean").parquet(self._version(version))
-        return df.where("changed").select("key")
+        return self.spark.read.schema(STATE).parquet(self._delta(self.pointer()["runs"][token])).where("changed").select("key")
 
 
 def stage_entries(entries: DataFrame, cutoffs: list, path: str) -> DataFrame:
@@ -109,7 +130,7 @@ def stage_entries(entries: DataFrame, cutoffs: list, path: str) -> DataFrame:
         )
         .where(F.col("slot").isNotNull())
     )
-    staged.write.partitionBy("slot").parquet(path)
+    staged.write.mode("overwrite").partitionBy("slot").parquet(path)  # a run that died while or after it wrote this starts again
     return entries.sparkSession.read.schema("key string, ord struct<at:timestamp,id:bigint>, fp binary, slot int").parquet(path)
 
 
@@ -126,6 +147,7 @@ def replay_runs(entries: DataFrame, runs: DataFrame, root: str | None = None) ->
     empty result. Duplicate rows change nothing; extra columns are ignored.
     A succeeded run without cutoff sees nothing. A cutoff that lies before
     the previous run's rebuilds the state from what that cutoff can see.
+    Called again with the same ``root`` after a failure it goes on where it stopped.
     The list of runs (one small row per run ever made) is read by the driver.
     """
     spark = entries.sparkSession

@@ -8,7 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "codeloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -94,6 +95,13 @@ def swap_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fs.makeQualified(tmp), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path)), options)
 
 
+def counted_write(df: DataFrame, path: str) -> int:
+    """Write a table in place of what a failed attempt may have left, and count its rows on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return seen.get["n"]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, label)

@@ -72,3 +72,35 @@ def test_notations(spark):
     sets = spark.createDataFrame([(["b", "a", "a", None],), (None,), ([],)], "t array<string>")
     assert [r[0] for r in sets.select(target_set(F.col("t"))).collect()] == [["a", "b"], [], []]
     assert sets.select(content_fingerprint(F.lit("x"), F.col("t")).alias("f")).distinct().count() == 2
+
+
+def test_a_small_run_writes_its_own_rows_only(spark, tmp_path):
+    state = ChangeState(spark, f"file://{tmp_path}/state")
+    rows = lambda keys, at: spark.createDataFrame([(f"k{k:04d}", T(at), at, f"{k} {at}") for k in keys], "key string, at timestamp, id bigint, h string").select("key", F.struct("at", "id").alias("ord"), F.unhex(F.md5("h")).alias("fp"))
+    held = lambda part: spark.read.parquet(f"file://{tmp_path}/state/{part}").count()
+    assert state.advance("r1", rows(range(500), 1)) and state.advance("r2", rows(range(500, 1000), 2))
+    base = state.pointer()["base"]
+    assert state.advance("r3", rows([3, 1000], 3)) and state.advance("r4", rows([3], 2))  # the last one is late
+    now = state.pointer()
+    assert now["base"] == base and held("v000003") == 2 and held("v000004") == 0
+    assert sorted(r.key for r in state.changed("r3").collect()) == ["k0003", "k1000"] and state.changed("r4").count() == 0
+    for n in range(5, 9):
+        state.advance(f"r{n}", rows(range(1000 * n, 1000 * n + 400), n))
+    assert state.pointer()["base"] > base  # the deltas outgrew the base
+    assert not state.advance("r3", rows([5], 9)) and state.state(state.pointer()).select("key").distinct().count() == 1001 + 4 * 400
+
+
+def test_replay_goes_on_after_a_crash(spark, tmp_path, monkeypatch):
+    runs = [(1, T(2), "succeeded"), (3, T(7), "succeeded"), (4, T(21), "succeeded"), (6, T(41), "succeeded")]
+    root, real, done = f"file://{tmp_path}/root", ChangeState.advance, []
+
+    def dies(self, token, rows, **more):
+        done.append(token)
+        return real(self, token, rows, fail_before_swap=len(done) == 3, **more)
+
+    entries, table = spark.createDataFrame(ENTRIES, ENTRY), spark.createDataFrame(runs, RUN)
+    monkeypatch.setattr(ChangeState, "advance", dies)
+    with pytest.raises(RuntimeError):
+        replay_runs(entries, table, root)
+    assert sorted(tuple(r) for r in replay_runs(entries, table, root).collect()) == brute(ENTRIES, runs)
+    assert sorted(tuple(r) for r in replay_runs(entries, table, root).collect()) == brute(ENTRIES, runs)
