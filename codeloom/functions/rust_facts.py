@@ -63,8 +63,23 @@ def use_tree(words: list[str], prefix: str = "") -> list[tuple[str, str]]:
     return out
 
 
+def _own_path(words: list[str], i: int) -> str | None:
+    """The path that an attribute gives to the module declared at token i."""
+    j = i - 1
+    while j >= 0 and words[j] in ("pub", "(", ")", "crate", "super", "self", "in"):
+        j -= 1
+    while j >= 0 and words[j] == "]":
+        start = j
+        while start > 0 and words[start] != "#":
+            start -= 1
+        if words[start : start + 4] == ["#", "[", "path", "="] and j - start == 5:
+            return words[start + 4].strip('"')
+        j = start - 1
+    return None
+
+
 def rust_facts(source: str) -> tuple[list[str], list[tuple[str, str]], list[str], int]:
-    """(public names, (module, name) imports, child modules, number of public functions)."""
+    """(public names, (module, name) imports, child modules, number of public functions). A module with a path of its own is ``@`` and that path."""
     toks = rust_tokens(source)
     words = [t[1] for t in toks]
     exports, imports, mods, functions, depth = [], [], [], 0, 0
@@ -91,6 +106,7 @@ def rust_facts(source: str) -> tuple[list[str], list[tuple[str, str]], list[str]
             imports += use_tree(words[i + 1 : j])
             i = j
         elif w == "mod" and i + 2 < len(words) and words[i + 2] == ";":
-            mods.append(words[i + 1])
+            own = _own_path(words, i)
+            mods.append(f"@{own}" if own else words[i + 1])
         i += 1
     return exports, imports, mods, functions

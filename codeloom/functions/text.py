@@ -122,6 +122,13 @@ def markdown_escape(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"([|`*_<>\[\]])", r"\\$1"), r"[\r\n]+", " ")
 
 
+def markdown_cell(c: Column) -> Column:
+    """Text for a cell of a table."""
+    for a, b in (("|", "\\|"), ("[", "\\["), ("]", "\\]"), ("`", "\\`"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(c, r"[\r\n]", " ")
+
+
 def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, r"\x1B(?:\[[0-?]*[ -/]*[@-~]|\][^\x07]*\x07|[@-Z\\-_])", "")
 

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import file_name, jaccard, let, normalized, parent_dir, round2, text_lines, words
+from codeloom.functions.fingerprints import text_prints, window_prints
+from codeloom.functions.text import file_name, jaccard, parent_dir, round2
 from codeloom.operators.graph import components
 from codeloom.operators.pairs import bucket_pairs
 from codeloom.operators.skew import join_per_key
@@ -17,26 +18,6 @@ BLOCK_LINES, BLOCK_LIKE, FRAGMENT_LIKE, TOKENS_A_LINE, MIRROR_FILES = 5, 0.70, 0
 WINDOWS = (30, 20, 15, 12, 10, 8, 7, 6, 5)
 
 
-def winnowed(tokens: Column, k: int = K, w: int = W) -> Column:
-    """The sorted set of the least hash of every window of ``w`` k-grams; empty with fewer than ``k`` tokens.
-
-    k-grams are ordered by their MD5 digest in hexadecimal.
-    """
-
-    def grams(t: Column) -> Column:
-        n = F.size(t) - k + 1
-        return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.md5(F.array_join(F.slice(t, i, k), " "))))
-
-    return let(let(tokens, grams), lambda g: window_minima(g, w))
-
-
-def window_minima(grams: Column, w: int = W) -> Column:
-    """The sorted set of the least element of each window; a shorter list is one window."""
-    wide = F.least(F.lit(w), F.size(grams))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(grams) - wide + 1, F.lit(1)))
-    return F.when(F.size(grams) == 0, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(grams, i, wide))))))
-
-
 def kgram_hashes(tokens: list[str], k: int = K) -> list[int]:
     """64-bit k-gram hashes in wrapping arithmetic: FNV-style over the bytes of a token, then base 31 over the tokens."""
     mask = 0xFFFFFFFFFFFFFFFF
@@ -77,7 +58,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     heads = materialize(filled.groupBy("fp").agg(F.min("id").alias("class"), F.min_by("fps", "id").alias("fps"), F.min("kind").alias("kind")), "fingerprints")
     members = filled.select("id", "fp").join(heads.select("fp", "class"), "fp").select("id", "class")
     n = F.size("fps")
-    prefix = heads.select(F.explode(F.slice("fps", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("f"), "kind", F.col("class").alias("id")).select(F.concat("kind", "f").alias("bucket"), "id")
+    prefix = heads.select(F.explode(F.slice("fps", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("f"), "kind", F.col("class").alias("id")).select(F.concat_ws("|", "kind", "f").alias("bucket"), "id")
     total = heads.agg(F.sum(F.size("fps"))).first()[0] or 0
     a = heads.select(F.col("class").alias("a"), F.col("fps").alias("fa"))
     b = heads.select(F.col("class").alias("b"), F.col("fps").alias("fb"))
@@ -88,8 +69,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
 
 def block_fingerprints(blocks: DataFrame) -> DataFrame:
     """id, fps of the blocks of BLOCK_LINES lines or more."""
-    kept = blocks.where((F.col("end_line") - F.col("start_line") + 1 >= BLOCK_LINES) & F.col("source").isNotNull())
-    return kept.select(F.col("block_id").alias("id"), F.col("source")).distinct().select("id", winnowed(words(normalized(F.col("source")))).alias("fps"))
+    kept = blocks.where((F.col("end_line") - F.col("start_line") + 1 >= BLOCK_LINES) & F.col("source").isNotNull()).select(F.col("block_id").alias("id"), "source")
+    return kept.mapInArrow(text_prints(K, W), f"id {kept.schema['id'].dataType.simpleString()}, fps array<bigint>").distinct()
 
 
 def block_clones(blocks: DataFrame, threshold: float = BLOCK_LIKE) -> tuple[DataFrame, DataFrame]:
@@ -137,13 +118,8 @@ def located_issues(members: DataFrame, pairs: DataFrame, places: DataFrame) -> D
 
 def fragments(files: DataFrame, sizes=WINDOWS) -> DataFrame:
     """path, start_line, end_line, fps of sliding windows of lines: step 4 for more than ten lines, else 2; windows with fewer than two words a line are dropped."""
-    texts = files.where("path is not null and source is not null").select("path", text_lines(F.col("source")).alias("lines"))
-    spec = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(4 if s > 10 else 2).alias("step")) for s in sizes])
-    cut = texts.select("path", "lines", F.explode(spec).alias("w")).where(F.size("lines") >= F.col("w.size"))
-    cut = cut.select("path", "lines", "w.size", F.explode(F.sequence(F.lit(0), F.size("lines") - F.col("w.size"), F.col("w.step"))).alias("at"))
-    text = F.array_join(F.slice("lines", F.col("at") + 1, F.col("size")), "\n")
-    toks = cut.select("path", (F.col("at") + 1).cast("bigint").alias("start_line"), (F.col("at") + F.col("size")).cast("bigint").alias("end_line"), words(normalized(text)).alias("toks"))
-    return toks.where(F.size("toks") >= 2 * (F.col("end_line") - F.col("start_line") + 1)).select("path", "start_line", "end_line", winnowed(F.col("toks")).alias("fps")).where(F.size("fps") > 0)
+    texts = files.where("path is not null and source is not null").select("path", "source")
+    return texts.mapInArrow(window_prints(tuple(sizes), K, W), "path string, start_line bigint, end_line bigint, fps array<bigint>").distinct()
 
 
 def fragment_matches(files: DataFrame, sizes=WINDOWS, threshold: float = FRAGMENT_LIKE) -> DataFrame:

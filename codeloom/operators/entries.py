@@ -9,39 +9,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import file_name, normalize_entry
+from codeloom.operators.prefix import prefix_join
 
 # Matcher kinds: file (exact name anywhere), prefix, file_has, path_has, dir_stems (folder and stem), prefix_file.
 Matcher = tuple
 
 # What frameworks look for. The generic profile always applies.
-TESTS = (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("prefix", "tests/e2e/"))
-STORIES = (("file_has", ".stories."), ("file_has", ".story."))
 PROFILES = {
-    "generic": {
-        "markers": (), "deps": (), "entry": (),
-        "implicit": (
-            *TESTS, ("prefix", "cypress/"), ("prefix", "scripts/"), ("prefix", "examples/"),
-            *[("file", f"{tool}.config.{e}") for tool in ("jest", "vitest", "playwright", "postcss", "tailwind", "webpack", "vite", "prettier") for e in ("ts", "js")],
-            *[("file", f"eslint.config.{e}") for e in ("js", "ts", "mjs")],
-            ("file_has", "vitest."), ("file_has", ".setup."), ("path_has", "migrations/"), ("path_has", "/generated/"), ("prefix", "tests/"), ("prefix", "__mocks__/"), *STORIES, ("path_has", "/drizzle/"), ("file", "schema.prisma"),
-        ),
-    },
     "nextjs": {
         "markers": ("next.config.ts", "next.config.js", "next.config.mjs"), "deps": ("next",),
         "entry": (
-            *[("file", f"next.config.{e}") for e in ("ts", "js", "mjs")], ("file", "middleware.ts"), ("file", "middleware.js"),
+            ("file", "next.config.ts"), ("file", "next.config.js"), ("file", "next.config.mjs"), ("file", "middleware.ts"), ("file", "middleware.js"),
             ("dir_stems", "app", ("page", "layout", "route", "loading", "error", "not-found", "template", "default", "global-error")),
             ("path_has", "/pages/"), ("prefix", "pages/"), ("prefix", "src/pages/"),
         ),
         "implicit": (
-            *TESTS, ("prefix", "scripts/"), ("prefix", "examples/"), *[("file", f"{tool}.config.{e}") for tool in ("playwright", "postcss", "tailwind") for e in ("ts", "js")], ("path_has", "/generated/"), ("path_has", "payload-types"), *STORIES,
-            ("path_has", "/drizzle/"), ("file", "schema.prisma"), ("file", ".storybook/preview.tsx"), ("file", ".storybook/preview.ts"), ("file", ".storybook/main.ts"), ("file", "instrumentation.ts"), ("file", "instrumentation.js"),
+            ("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("prefix", "tests/e2e/"), ("prefix", "scripts/"), ("prefix", "examples/"),
+            ("file", "playwright.config.ts"), ("file", "playwright.config.js"), ("file", "postcss.config.js"), ("file", "postcss.config.ts"), ("file", "tailwind.config.ts"), ("file", "tailwind.config.js"),
+            ("path_has", "/generated/"), ("path_has", "payload-types"), ("file_has", ".stories."), ("file_has", ".story."), ("path_has", "/drizzle/"), ("file", "schema.prisma"),
+            ("file", ".storybook/preview.tsx"), ("file", ".storybook/preview.ts"), ("file", ".storybook/main.ts"), ("file", "instrumentation.ts"), ("file", "instrumentation.js"),
         ),
     },
     "payload": {
         "markers": ("payload.config.ts", "payload.config.js", "src/payload.config.ts", "src/payload.config.js"), "deps": ("payload",), "entry": (("file", "payload.config.ts"), ("file", "payload.config.js")),
         "implicit": (
-            *[("prefix_file", f"src/{d}/", ("index.ts", "config.ts")) for d in ("collections", "globals", "blocks")],
+            ("prefix_file", "src/collections/", ("index.ts", "config.ts")), ("prefix_file", "src/globals/", ("index.ts", "config.ts")), ("prefix_file", "src/blocks/", ("index.ts", "config.ts")),
             ("prefix", "src/endpoints/"), ("prefix", "endpoints/"), ("path_has", "migrations/"), ("path_has", "seed"), ("path_has", "payload-generated"), ("path_has", "payload-types"),
         ),
     },
@@ -73,6 +65,17 @@ PROFILES = {
         "markers": ("astro.config.mjs", "astro.config.ts"), "deps": ("astro",), "entry": (("prefix", "src/pages/"), ("prefix", "src/content/")),
         "implicit": (("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("path_has", "/generated/")),
     },
+    "generic": {
+        "markers": (), "deps": (), "entry": (),
+        "implicit": (
+            ("file_has", ".test."), ("file_has", ".spec."), ("prefix", "e2e/"), ("prefix", "tests/e2e/"), ("prefix", "cypress/"), ("prefix", "scripts/"), ("prefix", "examples/"),
+            ("file", "jest.config.ts"), ("file", "jest.config.js"), ("file", "vitest.config.ts"), ("file", "vitest.config.js"), ("file_has", "vitest."), ("file_has", ".setup."),
+            ("file", "playwright.config.ts"), ("file", "playwright.config.js"), ("file", "postcss.config.js"), ("file", "postcss.config.ts"), ("file", "tailwind.config.ts"), ("file", "tailwind.config.js"),
+            ("file", "webpack.config.ts"), ("file", "webpack.config.js"), ("file", "vite.config.ts"), ("file", "vite.config.js"), ("file", "eslint.config.js"), ("file", "eslint.config.ts"), ("file", "eslint.config.mjs"),
+            ("file", "prettier.config.js"), ("file", "prettier.config.ts"), ("path_has", "migrations/"), ("path_has", "/generated/"), ("prefix", "tests/"), ("prefix", "__mocks__/"),
+            ("file_has", ".stories."), ("file_has", ".story."), ("path_has", "/drizzle/"), ("file", "schema.prisma"),
+        ),
+    },
 }
 # Beginnings of lower-case paths that tools load, and the files that are entries by default.
 TOOLING_PREFIXES = (".claude/hooks", ".claude/skills", "eslint-plugins", "eslint-rules", ".eslint-rules", "scripts", "tools", "gulpfile", "gruntfile")
@@ -102,17 +105,6 @@ def matches_any(path: Column, matchers) -> Column:
     return reduce(lambda a, m: a | matches(path, m), matchers, F.lit(False))
 
 
-def detect_profiles(files: DataFrame, deps: DataFrame | None = None) -> list[str]:
-    """Names of the profiles whose marker file or package is there, the generic one last. One small aggregate row reaches the driver."""
-    names = [n for n in PROFILES if n != "generic"]
-    seen = files.agg(*[F.coalesce(F.bool_or(F.col("path").isin(*PROFILES[n]["markers"])), F.lit(False)).alias(n) for n in names]).first()
-    found = {n for n in names if seen[n]}
-    if deps is not None:
-        dep = deps.agg(*[(F.coalesce(F.bool_or(F.col("package").isin(*PROFILES[n]["deps"])), F.lit(False)) if PROFILES[n]["deps"] else F.lit(False)).alias(n) for n in names]).first()
-        found |= {n for n in names if dep[n]}
-    return [n for n in names if n in found] + ["generic"]
-
-
 def entry_points(files: DataFrame, profiles: list[str], declared: DataFrame | None = None, public: DataFrame | None = None) -> DataFrame:
     """path, class (framework, implicit, public_api), one row for each class of a file.
 
@@ -132,17 +124,10 @@ def entry_points(files: DataFrame, profiles: list[str], declared: DataFrame | No
     if declared is not None:
         found = found.unionByName(declared.select(normalize_entry(F.col("path")).alias("path"), "class").join(paths, "path", "left_semi"))
     if public is not None:
-        found = found.unionByName(paths.join(F.broadcast(public.select("prefix").distinct()), path.startswith(F.col("prefix")), "left_semi").select("path", F.lit("public_api").alias("class")))
+        found = found.unionByName(prefix_join(paths, "path", public.select("prefix").distinct(), "prefix", "left_semi").select("path", F.lit("public_api").alias("class")))
     return found.distinct()
 
 
 def implicit_only(entries: DataFrame) -> DataFrame:
     """Entries of any class that are no framework entries."""
     return entries.select("path").distinct().join(entries.where(F.col("class") == "framework").select("path"), "path", "left_anti")
-
-
-def monorepo_kind(files: DataFrame) -> str | None:
-    """pnpm, turborepo, nx or npm, by the files at the root, in this order."""
-    marks = (("pnpm", "pnpm-workspace.yaml"), ("turborepo", "turbo.json"), ("nx", "nx.json"), ("npm", "package-lock.json"))
-    seen = files.agg(*[F.coalesce(F.bool_or(F.col("path") == m), F.lit(False)).alias(k) for k, m in marks]).first()
-    return next((k for k, _ in marks if seen[k]), None)

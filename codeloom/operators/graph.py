@@ -7,39 +7,40 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import join_per_key
-from codeloom.session import drop_path, shared_dir
+from codeloom.session import counted_write, drop_path, shared_dir
 
 UNREACHABLE = "not reachable from any entry point"
 FRAMEWORK_DEAD = "implicit entry point not reachable from runtime"
 
 
-def _counted_write(df: DataFrame, path: str) -> int:
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return seen.get["n"]
+HOPS = 4  # edges followed in one job
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """Nodes reachable from ``seeds`` (node) over ``edges`` (source, target), seeds included.
 
-    A frontier loop: each round joins only the newest nodes with the edges and
-    keeps those not seen before. Frontiers are written to the shared folder,
+    A frontier loop: each round follows HOPS edges from the newest nodes and
+    keeps the nodes not seen before. Frontiers are written to the shared folder,
     so a lost executor costs one round. Nulls are ignored; empty inputs give
-    what the seeds give.
+    what the seeds give. Raises if nodes are still found after ``most_rounds`` rounds.
     """
     spark = edges.sparkSession
     root = shared_dir(spark, "reach")
     e = edges.where("source is not null and target is not null").select("source", "target").distinct()
     e.write.parquet(f"{root}/edges")
     e = spark.read.schema("source string, target string").parquet(f"{root}/edges")
-    n = _counted_write(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct(), f"{root}/reached/r=0")
-    for r in range(1, most_rounds):
-        if not n:
-            break
+    n = counted_write(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct(), f"{root}/reached/r=0")
+    rounds = 0
+    while n:
+        rounds += 1
+        if rounds > most_rounds:
+            raise RuntimeError("reachability did not settle")
         reached = spark.read.schema("node string, r int").parquet(f"{root}/reached")
-        newest = reached.where(F.col("r") == r - 1).select("node")
-        step = e.join(newest, e["source"] == newest["node"], "left_semi").select(F.col("target").alias("node")).distinct()
-        n = _counted_write(step.join(reached.select("node"), "node", "left_anti"), f"{root}/reached/r={r}")
+        step, found = reached.where(F.col("r") == rounds - 1).select("node"), None
+        for _ in range(HOPS):
+            step = e.join(step, e["source"] == step["node"], "left_semi").select(F.col("target").alias("node")).distinct()
+            found = step if found is None else found.union(step)
+        n = counted_write(found.distinct().join(reached.select("node"), "node", "left_anti"), f"{root}/reached/r={rounds}")
     return spark.read.schema("node string, r int").parquet(f"{root}/reached").select("node")
 
 
@@ -70,22 +71,24 @@ def _with_loc(dead: DataFrame, loc: DataFrame, confidence: float, reason: str) -
 def trim_acyclic(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """The edges between nodes that can reach a cycle: targets without edges of their own are dropped, round by round.
 
-    Sinks lie on no cycle and don't change where a search enters one.
+    Sinks lie on no cycle and don't change where a search enters one. Raises if
+    edges are still dropped after ``most_rounds`` rounds.
     """
     spark = edges.sparkSession
     root = shared_dir(spark, "trim")
     now = edges.where("source is not null and target is not null and source <> target").select("source", "target").distinct()
     before = None
     for r in range(most_rounds):
-        n = _counted_write(now, f"{root}/e{r}")
+        n = counted_write(now, f"{root}/e{r}")
         now = spark.read.schema("source string, target string").parquet(f"{root}/e{r}")
         if r:
             drop_path(spark, f"{root}/e{r - 1}")
         if n == before or not n:
-            break
+            return now
         before = n
-        now = now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
-    return now
+        for _ in range(HOPS):
+            now = now.join(now.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+    raise RuntimeError("trimming did not settle")
 
 
 def cycles_of(targets: dict[str, list[str]]) -> list[list[str]]:
@@ -147,7 +150,7 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     root = shared_dir(spark, "components")
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = both.union(both.select("b", "a")).distinct()
-    total = _counted_write(both, f"{root}/edges")
+    total = counted_write(both, f"{root}/edges")
     both = spark.read.schema("a string, b string").parquet(f"{root}/edges")
     label = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("held")).select(F.col("a").alias("name"), F.least("a", "m").alias("group"), "held")
     before = None
@@ -178,22 +181,25 @@ def neighbourhood(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return c.union(out).union(into).where("path is not null").distinct()
 
 
-def used_through_reexports(unused: DataFrame, imported: DataFrame, reexports: DataFrame, most_rounds: int = 64) -> DataFrame:
+def used_through_reexports(unused: DataFrame, imported: DataFrame, reexports: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """Of ``unused`` (path, name), those imported through a chain of barrels that re-export them.
 
     imported: target, name; reexports: barrel, target, name (``*`` is all).
-    The frontier carries (origin, file, name) and stops where nothing new comes.
+    The frontier carries (origin, file, name) and stops where nothing new comes;
+    raises if something still comes after ``most_rounds`` rounds.
     """
     spark = unused.sparkSession
     root = shared_dir(spark, "chains")
     links = reexports.select("barrel", F.col("target").alias("file"), F.col("name").alias("via")).distinct()
-    _counted_write(unused.select("path", "name", F.col("path").alias("file")).distinct(), f"{root}/seen/r=0")
-    for r in range(1, most_rounds):
+    n, r = counted_write(unused.select("path", "name", F.col("path").alias("file")).distinct(), f"{root}/seen/r=0"), 0
+    while n:
+        r += 1
+        if r > most_rounds:
+            raise RuntimeError("re-export chains did not settle")
         seen = spark.read.schema("path string, name string, file string, r int").parquet(f"{root}/seen")
         newest = seen.where(F.col("r") == r - 1).drop("r")
         step = newest.join(links, "file").where((F.col("via") == "*") | (F.col("via") == F.col("name"))).select("path", "name", F.col("barrel").alias("file")).distinct()
-        if not _counted_write(step.join(seen.drop("r"), ["path", "name", "file"], "left_anti"), f"{root}/seen/r={r}"):
-            break
+        n = counted_write(step.join(seen.drop("r"), ["path", "name", "file"], "left_anti"), f"{root}/seen/r={r}")
     seen = spark.read.schema("path string, name string, file string, r int").parquet(f"{root}/seen")
     hit = imported.select(F.col("target").alias("file"), "name").distinct()
     return seen.join(hit, ["file", "name"], "left_semi").select("path", "name").distinct()

@@ -64,14 +64,15 @@ class FileRule:
     confidence: float
     message: str
     exclusions: tuple[str, ...] = ()
+    profile: str = "generic"
 
 
 # The framework rules.
 FILE_RULES = (
-    FileRule("nextjs-client-types-only", "all", ("'use client'", "export type", "export interface"), "warning", 0.8, "a client file that only exports types"),
-    FileRule("nextjs-metadata-in-client", "all", ("'use client'", "export const metadata"), "warning", 0.85, "`metadata` in a client file is ignored"),
-    FileRule("nextjs-static-params-location", "but_not", ("generateStaticParams",), "warning", 0.75, "`generateStaticParams` works in pages and routes only", ("/page.tsx", "/route.ts", "page.ts", "route.ts")),
-    FileRule("nestjs-body-without-dto", "but_not", ("@Body()",), "warning", 0.75, "request body without a validated class", ("CreateDto", "UpdateDto", "DTO", "Dto", ".dto")),
+    FileRule("nextjs-client-types-only", "all", ("'use client'", "export type", "export interface"), "warning", 0.8, "a client file that only exports types", profile="nextjs"),
+    FileRule("nextjs-metadata-in-client", "all", ("'use client'", "export const metadata"), "warning", 0.85, "`metadata` in a client file is ignored", profile="nextjs"),
+    FileRule("nextjs-static-params-location", "but_not", ("generateStaticParams",), "warning", 0.75, "`generateStaticParams` works in pages and routes only", ("/page.tsx", "/route.ts", "page.ts", "route.ts"), profile="nextjs"),
+    FileRule("nestjs-body-without-dto", "but_not", ("@Body()",), "warning", 0.75, "request body without a validated class", ("CreateDto", "UpdateDto", "DTO", "Dto", ".dto"), profile="nestjs"),
 )
 
 
@@ -121,6 +122,8 @@ def line_issues(files: DataFrame, rules=LINE_RULES) -> DataFrame:
 
 def file_issues(files: DataFrame, rules=FILE_RULES) -> DataFrame:
     """Framework rules, once for each file, at the first line with the needle."""
+    if not rules:
+        return files.select("path").limit(0).select(F.expr("cast(null as string) as file"), F.expr("0L as line"), *[F.expr(f"cast(null as {t}) as {c}") for c, t in (("rule", "string"), ("severity", "string"), ("message", "string"), ("confidence", "double"), ("snippet", "string"))])
     src, path = F.col("source"), F.col("path")
     texts = files.where("path is not null and source is not null").where(~is_test_file(path))
     found = []

@@ -82,6 +82,24 @@ def apply_baseline(issues: DataFrame, baseline: DataFrame) -> DataFrame:
     return issues.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti")
 
 
+CATEGORIES = {
+    "dead_code": "dead_code", "unused_exports": "unused_export", "unused_types": "unused_type", "gotchas": "gotcha", "circular_dependencies": "circular_dependency", "unused_dependencies": "unused_dependency",
+    "unlisted_dependencies": "unlisted_dependency", "unresolved_imports": "unresolved_import", "duplicate_exports": "duplicate_export", "duplicate_code": "duplicate_code",
+}
+
+
+def without_baselined(issues: dict[str, DataFrame], baseline: DataFrame) -> dict[str, DataFrame]:
+    """The issues of each category whose fingerprint is not in the baseline; categories that are never baselined stay whole."""
+    prints = baseline.select(F.col("fingerprint").alias("_print")).distinct()
+    keyed = {k: BASELINE_KEYS.get(CATEGORIES.get(k, k)) for k in issues}
+    return {k: df if keyed[k] is None else df.withColumn("_print", F.expr(keyed[k])).join(prints, "_print", "left_anti").drop("_print") for k, df in issues.items()}
+
+
+def analysis_keys(issues: dict[str, DataFrame]) -> DataFrame:
+    """category, key, fingerprint of all issues of an analysis; plug-in issues have no identity."""
+    return all_keys({CATEGORIES[k]: df for k, df in issues.items() if k in CATEGORIES})
+
+
 def suppressed(issues: DataFrame, baseline: DataFrame) -> DataFrame:
     """One row: how many issues the baseline removes."""
     return issues.join(baseline.select("fingerprint").distinct(), "fingerprint", "left_semi").agg(F.count(F.lit(1)).alias("suppressed"))

@@ -102,7 +102,7 @@ class Registry:
         """Unified issues with those of the ``post_analysis`` hooks, which take and give unified issues."""
         for plugin in self.active("post_analysis"):
             mine = plugin.hooks["post_analysis"](issues)
-            issues = mine if plugin.mode == "override" else issues.unionByName(mine)
+            issues = mine if plugin.mode == "override" else issues.unionByName(mine, allowMissingColumns=True)
         return issues
 
     def format(self, kind: str, built_in: Callable, *args) -> str:

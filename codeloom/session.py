@@ -52,25 +52,26 @@ def cleanup(spark: SparkSession) -> None:
     spark.sparkContext._codeloom_shipped = False
 
 
-def _fs(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a location."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hpath
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    fs, hpath = _fs(spark, path)
+    fs, hpath = filesystem(spark, path)
     fs.delete(hpath, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, hpath = _fs(spark, path)
+    fs, hpath = filesystem(spark, path)
     return fs.exists(hpath)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The content of a small file, or None where there is none."""
-    fs, hpath = _fs(spark, path)
+    fs, hpath = filesystem(spark, path)
     if not fs.exists(hpath):
         return None
     stream = fs.open(hpath)
@@ -82,7 +83,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 def swap_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file in one step: write beside it, then rename over it."""
-    fs, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    fs, tmp = filesystem(spark, f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -119,7 +120,7 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted(home.rglob("*.py")):
             z.write(p, f"{home.name}/{p.relative_to(home)}")
     target = f"{shared_dir(spark, 'package')}/codeloom.zip"
-    fs, hpath = _fs(spark, target)
+    fs, hpath = filesystem(spark, target)
     out = fs.create(hpath, True)
     out.write(bytearray(data.getvalue()))
     out.close()

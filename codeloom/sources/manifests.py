@@ -7,11 +7,12 @@ import posixpath
 import re
 import tomllib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECTIONS = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
-JSONC = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?(?:\*/|$)')
+# a string, a comment, or a comma with only white space and comments before its closing bracket
+JSONC = re.compile(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?(?:\*/|$)|,(?=(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*[}\]])')
 ROOT_ALIASES = "array<struct<scope_dir:string,ord:int,prefix:string,target:string>>"
 
 
@@ -24,11 +25,11 @@ def package_deps(manifests: DataFrame, sections=SECTIONS) -> DataFrame:
 
 
 def strip_jsonc(text: str) -> str:
-    """Without comments and trailing commas; comment marks inside strings stay."""
-    return re.sub(r",(\s*[}\]])", r"\1", JSONC.sub(lambda m: m[1] or " ", text))
+    """Without comments and trailing commas, in one pass; strings stay as they are."""
+    return JSONC.sub(lambda m: m[1] or ("" if m[0] == "," else " "), text)
 
 
-def _load(text: str):
+def load_json(text: str):
     try:
         return json.loads(text)
     except ValueError:
@@ -42,7 +43,7 @@ def tsconfig_aliases(path: str, text: str) -> list[tuple[str | None, int, str, s
     scoped to their folder and rebased on it and ``baseUrl``. Absolute targets
     and targets that climb out are refused.
     """
-    data = _load(strip_jsonc(text))
+    data = load_json(strip_jsonc(text))
     options = (data or {}).get("compilerOptions") if isinstance(data, dict) else None
     paths = (options or {}).get("paths") if isinstance(options, dict) else None
     if not isinstance(paths, dict):
@@ -77,9 +78,9 @@ def _first_string(value) -> str | None:
 
 def workspace_aliases(path: str, text: str) -> list[tuple[str, str]]:
     """(prefix, target) of a scoped package in the tree: its name, its name with a slash, and each key of ``exports``."""
-    data = _load(text)
+    data = load_json(text)
     name = data.get("name") if isinstance(data, dict) else None
-    if not isinstance(name, str) or not name.startswith("@"):
+    if not isinstance(name, str) or not (name.startswith("@") or "/" in name):
         return []
     here = posixpath.dirname(path)
     place = here + "/" if here else ""
@@ -96,45 +97,26 @@ def workspace_aliases(path: str, text: str) -> list[tuple[str, str]]:
 
 def is_published(path: str, text: str) -> bool:
     """A named package below ``packages/`` that is not private."""
-    data = _load(text)
+    data = load_json(text)
     return path.startswith("packages/") and isinstance(data, dict) and isinstance(data.get("name"), str) and data.get("private") is not True
 
 
-def _strings(value) -> list[str]:
-    if isinstance(value, str):
-        return [value]
-    return [s for v in (value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()) for s in _strings(v)]
+def declared_crates(manifests: DataFrame) -> DataFrame:
+    """path, class of the targets that crates name."""
 
+    def run(batches):
+        import pandas as pd
 
-def declared_entries(path: str, text: str) -> list[tuple[str, str]]:
-    """(path, class) of what a manifest names as an entry.
+        for pdf in batches:
+            out = [x for path, text in zip(pdf["path"], pdf["source"]) for x in cargo_targets(path, text)]
+            yield pd.DataFrame(out, columns=["path", "class"])
 
-    A root package's ``main``, ``module``, ``browser`` and ``exports`` are
-    framework entries. Those of a workspace package are public API, its main
-    files framework entries too. A ``project.json`` gives its build's main file,
-    and a tsconfig its ``files``.
-    """
-    data = _load(strip_jsonc(text))
-    if not isinstance(data, dict):
-        return []
-    here, name = posixpath.dirname(path), posixpath.basename(path)
-    join = lambda p: posixpath.normpath(posixpath.join(here, p))
-    if name == "project.json":
-        found = [t.get("options", {}).get("main") for t in data.get("targets", {}).values() if isinstance(t, dict)]
-        return [(posixpath.normpath(m), "framework") for m in found if isinstance(m, str)]
-    if name.startswith("tsconfig"):
-        return [(join(f), "framework") for f in data.get("files", []) if isinstance(f, str)]
-    if name != "package.json":
-        return []
-    main = [join(data[k]) for k in ("main", "module", "browser") if isinstance(data.get(k), str)]
-    exported = [join(x) for x in _strings(data.get("exports")) if "*" not in x]
-    if not here:
-        return [(m, "framework") for m in main + exported]
-    return [(m, "framework") for m in main] + [(m, "public_api") for m in main + exported]
+    rows = manifests.where(F.col("path").rlike(r"(^|/)Cargo\.toml$") & F.col("source").isNotNull())
+    return rows.select("path", "source").mapInPandas(run, "path string, class string").distinct()
 
 
-def declared(manifests: DataFrame) -> DataFrame:
-    """path, class over all manifests (path, source), crates included."""
+def crate_names(manifests: DataFrame) -> DataFrame:
+    """root, name: the source folder of a crate and the name in its ``[package]``."""
 
     def run(batches):
         import pandas as pd
@@ -142,10 +124,17 @@ def declared(manifests: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for path, text in zip(pdf["path"], pdf["source"]):
-                out += cargo_targets(path, text) if path.endswith("Cargo.toml") else declared_entries(path, text)
-            yield pd.DataFrame(out, columns=["path", "class"])
+                try:
+                    name = (tomllib.loads(text).get("package") or {}).get("name")
+                except (tomllib.TOMLDecodeError, AttributeError):
+                    name = None
+                if isinstance(name, str):
+                    here = posixpath.dirname(path)
+                    out.append((f"{here}/src" if here else "src", name))
+            yield pd.DataFrame(out, columns=["root", "name"])
 
-    return manifests.where("path is not null and source is not null").select("path", "source").mapInPandas(run, "path string, class string").distinct()
+    rows = manifests.where(F.col("path").rlike(r"(^|/)Cargo\.toml$") & F.col("source").isNotNull())
+    return rows.select("path", "source").mapInPandas(run, "root string, name string").distinct()
 
 
 def cargo_targets(path: str, text: str) -> list[tuple[str, str]]:
@@ -166,15 +155,32 @@ def cargo_targets(path: str, text: str) -> list[tuple[str, str]]:
 
 
 def workspace_globs(text: str) -> list[str]:
-    """Prefixes of the ``packages:`` list of a workspace YAML, in block or flow form; ``x/*`` gives ``x/``, exclusions are dropped."""
-    m = re.search(r"^packages:\s*(\[[^\]]*\]|(?:\s*\n\s*-[^\n]*)+)", text, re.M)
-    found = re.findall(r"['\"]?([^\s'\",\[\]]+)['\"]?", re.sub(r"^\s*-\s*", " ", m[1], flags=re.M)) if m else []
-    return [g.rstrip("*") for g in found if not g.startswith(("!", "-"))]
+    """Folders of the ``packages:`` list of a workspace YAML, in block or flow form; ``x/*`` gives ``x/``, exclusions are dropped."""
+    m = re.search(r"^packages:[^\S\n]*(\[[^\]]*\]|(?:[^\S\n]*(?:#[^\n]*)?\n(?:\s*-[^\n]*|[ \t]*#[^\n]*|\s*$)?)+)", text, re.M)
+    if not m:
+        return []
+    items = m[1].strip("[]").split(",") if m[1].startswith("[") else [x.strip()[1:] for x in m[1].split("\n") if x.strip().startswith("-")]
+    found = [x.strip().strip("\"").strip("'") for x in items]
+    return [re.sub(r"/\*\*?/?$", "/", g) for g in found if g and not g.startswith("!")]
+
+
+TSCONFIG_DEPTH, PACKAGE_DEPTH = 6, 5
+# Parts of paths of configurations that are generated or belong to fixtures.
+UNREAD_CONFIGS = ("node_modules", ".svelte-kit", "dist/", ".next/", ".nuxt/", "fixtures/", "test-fixtures", "__test__")
+
+
+def _configures(path: Column) -> Column:
+    """Whether aliases are read from a manifest: not too deep, generated or a fixture's."""
+    depth = F.size(F.split(path, "/"))
+    config = path.rlike(r"(^|/)tsconfig[^/]*\.json$") & (depth <= TSCONFIG_DEPTH)
+    for part in UNREAD_CONFIGS:
+        config = config & ~path.contains(part)
+    return (path == "tsconfig.json") | config | (path.rlike(r"(^|/)package\.json$") & (depth <= PACKAGE_DEPTH) & ~path.contains("node_modules"))
 
 
 def aliases(manifests: DataFrame) -> DataFrame:
     """scope_dir, ord, prefix, target from all configuration files (path, source), scoped ones with their folder, in the order that resolution tries them."""
-    rows = manifests.where(F.col("path").rlike(r"(^|/)(tsconfig[^/]*|package)\.json$") & F.col("source").isNotNull())
+    rows = manifests.where(F.col("source").isNotNull() & _configures(F.col("path")))
 
     def run(batches):
         import pandas as pd

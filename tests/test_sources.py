@@ -10,7 +10,7 @@ from codeloom.plans import core_queries, fix, reports
 from codeloom.plans.analyze import analyze
 from codeloom.registry import Plugin, Registry
 from codeloom.session import swap_text
-from codeloom.sources import manifests, scan, snapshots
+from codeloom.sources import manifests, scan, snapshots, workspaces
 from codeloom.streaming.watch import Watcher
 
 SRC = "path string, language string, source string"
@@ -46,10 +46,8 @@ def test_manifests(spark, rows):
     assert manifests.is_published("packages/ui/package.json", package) and not manifests.is_published("apps/x/package.json", package)
     assert manifests.workspace_globs("packages:\n  - 'apps/*'\n  - \"libs/*\"\nother: 1\n") == ["apps/", "libs/"] and manifests.workspace_globs("packages: ['a/*', b/*]\n") == ["a/", "b/"]
     assert manifests.cargo_targets("c/Cargo.toml", '[lib]\npath = "src/l.rs"\n[[bin]]\nname = "b"\n[[test]]\nname="t"\npath = "tests/t.rs"\n') == [("c/src/l.rs", "framework"), ("c/src/bin/b.rs", "framework"), ("c/tests/t.rs", "implicit")]
-    assert manifests.declared_entries("package.json", '{"main": "./lib/a.js", "exports": {".": {"import": "./lib/b.js"}, "./*": "./lib/*.js"}}') == [("lib/a.js", "framework"), ("lib/b.js", "framework")]
-    assert manifests.declared_entries("packages/u/package.json", '{"module": "src/i.ts"}') == [("packages/u/src/i.ts", "framework"), ("packages/u/src/i.ts", "public_api")]
-    assert manifests.declared_entries("apps/x/project.json", '{"targets": {"build": {"options": {"main": "apps/x/src/main.ts"}}}}') == [("apps/x/src/main.ts", "framework")]
-    assert rows(manifests.declared(spark.createDataFrame([("tsconfig.json", '{"files": ["./a.ts"]}'), ("c/Cargo.toml", '[lib]\npath = "l.rs"'), ("bad/package.json", "{"), ("x", None)], "path string, source string"))) == [("a.ts", "framework"), ("c/l.rs", "framework")]
+    assert rows(manifests.declared_crates(spark.createDataFrame([("c/Cargo.toml", '[lib]\npath = "l.rs"'), ("bad/Cargo.toml", "["), ("Cargo.toml", None)], "path string, source string"))) == [("c/l.rs", "framework")]
+    assert manifests.strip_jsonc('{"a": "x,]y // no", /* c */ "b": [1, 2, // d\n ], }').replace(" ", "").replace("\n", "") == '{"a":"x,]y//no","b":[1,2]}'
     df = spark.createDataFrame([("package.json", package), ("bad/package.json", "{")], "path string, source string")
     assert rows(manifests.package_deps(df)) == [("package.json", "dependencies", "a"), ("package.json", "optionalDependencies", "b")]
     assert manifests.aliases(spark.createDataFrame([("tsconfig.json", text), ("packages/ui/package.json", package)], "path string, source string")).count() == 7
@@ -237,11 +235,48 @@ def test_given_pairs_in_either_order(spark, tmp_path):
 
 def test_entries(spark, rows):
     files = spark.createDataFrame([(p,) for p in ("next.config.js", "src/app/blog/page.tsx", "src/a.test.ts", "src/index.ts", "scripts/x.ts", "packages/ui/src/b.ts", "src/q.ts", "src/bin/t.rs")], "path string")
-    profiles = entries.detect_profiles(files)
+    profiles = workspaces.detect_frameworks(files, spark.createDataFrame([], "path string, source string"))
     assert profiles == ["nextjs", "generic"]
     got = rows(entries.entry_points(files, profiles, spark.createDataFrame([("./src/q.ts", "framework"), ("gone.ts", "framework")], "path string, class string"), spark.createDataFrame([("packages/ui/",)], "prefix string")))
     assert got == sorted([("next.config.js", "framework"), ("packages/ui/src/b.ts", "public_api"), ("scripts/x.ts", "implicit"), ("src/a.test.ts", "implicit"), ("src/app/blog/page.tsx", "framework"), ("src/bin/t.rs", "framework"), ("src/index.ts", "framework"), ("src/q.ts", "framework")], key=str)
-    assert entries.monorepo_kind(spark.createDataFrame([("turbo.json",)], "path string")) == "turborepo"
+
+
+def test_monorepos(spark, rows):
+    def of(**texts):
+        return spark.createDataFrame([(p.replace("_", ".", 1).replace("__", "-"), t) for p, t in texts.items()], "path string, source string")
+
+    kind = lambda **t: workspaces.monorepo(of(**t))
+    assert kind(package_json='{"workspaces": ["packages/*", "apps/**"]}') == ("npm/yarn", ["packages/", "apps/"])
+    assert kind(package_json='{"workspaces": {"packages": ["libs/*"]}}', turbo_json="{}") == ("turborepo", ["libs/"])
+    assert kind(package_json='{"devDependencies": {"nx": "1"}}') == ("nx", []) and kind(package_json="{}") == (None, []) and kind(package_json="{bad") == (None, [])
+    assert workspaces.monorepo(spark.createDataFrame([("pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n"), ("turbo.json", "{}")], "path string, source string")) == ("pnpm", ["packages/"])
+    assert workspaces.monorepo(spark.createDataFrame([("package-lock.json", "{}")], "path string, source string")) == (None, [])
+    assert workspaces.nx_plugins(of(package_json='{"dependencies": {"@nrwl/react": "1", "@nx/react": "1", "@nx/js": "1"}}')) == ["nx-react", "nx-js"]
+
+
+WORKSPACE = [
+    ("package.json", '{"name": "root", "main": "./lib/a.js", "exports": {".": "src/kept.ts", "./x": "./src/b.ts"}, "workspaces": ["packages/*"]}'), ("tsconfig.json", '{"files": ["src/t.ts"]}'),
+    ("packages/ui/package.json", '{"name": "@r/ui", "module": "./dist/main.js", "exports": {".": {"import": "./src/api.js"}}, "dependencies": {"vue": "3"}}'),
+    ("packages/app/package.json", '{"name": "app", "private": true, "main": "src/start"}'), ("packages/app/project.json", '{"projectType": "library", "targets": {"build": {"options": {"main": "./src/nx.ts"}}}}'),
+    ("packages/tool/project.json", '{"sourceRoot": "code"}'), ("packages/.hidden/package.json", '{"name": "h", "main": "m.ts"}'), ("packages/bad/package.json", "{"),
+]
+SOURCES = ["lib/a.ts", "src/kept.ts", "src/b.ts", "src/t.ts", "packages/ui/dist/main.ts", "packages/ui/src/api.ts", "packages/ui/src/index.ts", "packages/ui-kit/x.ts", "packages/app/src/start/index.ts", "packages/app/src/nx.ts", "packages/tool/code/main.ts", "packages/.hidden/m.ts"]
+
+
+def test_workspace_entries(spark, rows):
+    texts, files = spark.createDataFrame(WORKSPACE, "path string, source string"), spark.createDataFrame([(p,) for p in SOURCES], "path string")
+    kind, prefixes = workspaces.monorepo(texts)
+    assert (kind, prefixes) == ("npm/yarn", ["packages/"])
+    assert rows(workspaces.declared_by_manifests(texts, files, prefixes)) == sorted([
+        ("lib/a.ts", "framework"), ("src/kept.ts", "framework"), ("src/t.ts", "framework"), ("packages/ui/dist/main.ts", "framework"), ("packages/ui/dist/main.ts", "public_api"), ("packages/ui/src/api.ts", "public_api"),
+        ("packages/ui/src/index.ts", "framework"), ("packages/app/src/start/index.ts", "framework"), ("packages/app/src/start/index.ts", "public_api"), ("packages/app/src/nx.ts", "framework"), ("packages/app/src/nx.ts", "public_api"),
+        ("packages/tool/code/main.ts", "framework"),
+    ], key=str)
+    assert rows(workspaces.published_dirs(texts)) == [("packages/.hidden",), ("packages/ui",)]
+    api = rows(entries.entry_points(files, [], None, workspaces.published_dirs(texts)).where("class = 'public_api'").select("path"))
+    assert api == [("packages/.hidden/m.ts",), ("packages/ui-kit/x.ts",), ("packages/ui/dist/main.ts",), ("packages/ui/src/api.ts",), ("packages/ui/src/index.ts",)]  # a folder's name is a beginning, with or without its slash
+    assert workspaces.detect_frameworks(files, texts) == ["vue", "generic"]
+    assert workspaces.detect_frameworks(spark.createDataFrame([("web/astro.config.ts",), ("tools/angular.json",), ("a/b/vue.config.js",)], "path string"), texts.limit(0)) == ["astro", "generic"]
 
 
 PROJECT = [
@@ -250,7 +285,22 @@ PROJECT = [
 ]
 
 
-def test_analysis_reports_and_fixes(spark, rows):
+def test_reports_hold_every_issue(spark, rows):
+    many = spark.range(20_000).select(F.concat(F.lit("f"), "id", F.lit(".ts")).alias("path"), F.lit("n\u0001'\n").alias("name"))
+    told = json.loads(reports.sarif({"unused_exports": many}))["runs"][0]["results"]
+    assert len({r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in told}) == 20_000 and all("\n" not in r["message"]["text"] for r in told[:10])
+    changes = spark.range(3_000).select(F.lit("new").alias("status"), F.lit("gotcha").alias("category"), F.format_string("f%05d|x", "id").alias("key")).union(spark.createDataFrame([("persisting", "gotcha", "p")], "status string, category string, key string"))
+    net = spark.createDataFrame([("gotcha", 3000, 0, 3000)], "category string, new bigint, fixed bigint, net bigint")
+    text = reports.diff_markdown(changes, net)
+    assert text.count("| gotcha | f") == 3_000 and "f00007\\|x" in text and "+3000" in text and text.index("## new") < text.index("## persisting")
+    assert len(json.loads(reports.diff_json(changes))["new_issues"]) == 3_000
+    star = spark.createDataFrame([("src/hub.ts", f"src/a/l{i:02d}.ts") for i in range(40)] + [("src/far/x.ts", "src/far/y.ts")], "source string, target string")
+    issues = spark.createDataFrame([("dead_code", "src/hub.ts", ["src/hub.ts"])], "category string, file string, files array<string>")
+    chart = reports.mermaid(star, issues)
+    assert chart.count("-->") == 40 and "y.ts" not in chart and 'subgraph "a"' in chart and " dead" in chart
+
+
+def test_analysis_reports_and_fixes(spark, rows, tmp_path):
     registry = Registry()
     demo = registry.add(Plugin("demo", ("typescript",)))
     demo.hook("analyze_file")(lambda path, source, language: [{"rule": "r", "line": 1}] if "dead" in path else (_ for _ in ()).throw(ValueError("no")) if "live" in path else [])
@@ -265,16 +315,19 @@ def test_analysis_reports_and_fixes(spark, rows):
     assert rows(a.issues["duplicate_exports"]) == [("idle", ("src/dead.ts", "src/live.ts"))] and a.issues["unresolved_imports"].count() == 0
     assert sorted(r.rule for r in a.issues["plugin_issues"].collect()) == ["plugin-error", "r"]
     s = a.summary().first()
-    assert (s.total_files, s.dead_code, s.unused_exports, s.gotchas, s.health_score) == (5, 1, 3, 1, 86.0)
+    assert (s.total_files, s.dead_code, s.unused_exports, s.gotchas, s.unlisted_dependencies, s.unused_dependencies, s.duplicate_exports, s.plugin_issues, s.total_types) == (5, 1, 3, 1, 1, 1, 1, 2, 1) and s.health_score == 82.0
+    assert {r["file"]: r["issues"] for r in summary.issues_per_file(a.unified).collect()} == {"src/dead.ts": 4, "src/live.ts": 1, "src/index.ts": 2, "src/a.ts": 1, "src/b.ts": 1}
     assert summary.has_issues(a.issues) and not summary.has_issues({})
     chained = [("src/index.ts", "typescript", "import { deepest } from './mid';\n"), ("src/mid.ts", "typescript", "export * from './far';\n"), ("src/far.ts", "typescript", "export const deepest = 1;\nexport const idle = 1;\n")]
     plain, deep = (analyze(spark.createDataFrame(chained, SRC), deep=d).issues["unused_exports"].select("path", "name") for d in (False, True))
     assert rows(plain) == [("src/far.ts", "deepest"), ("src/far.ts", "idle")] and rows(deep) == [("src/far.ts", "idle")]
     total, issues = a.summary(), a.unified
-    assert json.loads(reports.json_report(total, issues))["summary"]["dead_code"] == 1
-    assert json.loads(reports.sarif(issues))["version"] == "2.1.0"
+    told = json.loads(reports.json_report(a))
+    assert told["summary"]["dead_code"] == 1 and told["detected_frameworks"] == [] and [x["path"] for x in told["issues"]["dead_code"]] == ["src/dead.ts"] and set(told["issues"]) == set(a.issues)
+    found = json.loads(reports.sarif(a.issues, f"file://{tmp_path}/x.sarif") and (tmp_path / "x.sarif").read_text())["runs"][0]
+    assert len(found["results"]) == sum(df.count() for k, df in a.issues.items() if k != "plugin_issues") and {r["ruleId"] for r in found["results"]} <= {r["id"] for r in found["tool"]["driver"]["rules"]}
     assert "src/dead.ts" in reports.markdown(total, issues) and "</script>" in reports.html(total, issues)
-    assert len(json.loads(reports.ai_report(total, issues))["top_issues"]) == issues.count()
+    assert len(json.loads(reports.ai_report(total, issues))["top_issues"]) == issues.where("impact is not null").count()
     assert reports.context(total, issues).count("\n") == 3 and reports.mermaid(a.edges, issues).startswith("graph LR")
     assert len(reports.pr_comment(total, issues).split("\n")) <= 6 and "health" in reports.dashboard(total, issues)
     assert [r[0] for r in reports.fix_hints(issues).collect()][0].startswith("# delete src/dead.ts")
