@@ -21,7 +21,7 @@ DIFF_KEYS = {
     "unused_type": "concat(path, '::', name)",
     "duplicate_code": "concat(file_a, ':L', start_a, '-', end_a, '::', file_b, ':L', start_b, '-', end_b)",
     "gotcha": "concat(file, ':', line, ':', rule)",
-    "circular_dependency": "concat_ws(' → ', files)",
+    "circular_dependency": "concat_ws('→', files)",
     "duplicate_export": "concat(name, '::', concat_ws(',', locations))",
     "unresolved_import": "concat(source, '::', spec)",
     "unused_dependency": "package",

@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from codeloom.functions.predicates import TEST_FIXTURE_ENDS, TEST_FIXTURE_PARTS
-from codeloom.operators.entries import DEFAULT_ENTRIES, PROFILES, TOOLING_PREFIXES
-from codeloom.operators.lint import LINE_RULES
+from codeloom.operators.clones import WINDOWS
 from codeloom.operators.summary import AT_RISK, SCORED
 from codeloom.sources.scan import LANGUAGES, SKIPPED_DIRS
 
 
-def _q(s: str) -> str:
+def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _list(xs) -> str:
-    return "(" + ", ".join(_q(x) for x in xs) + ")"
+def word_list(xs) -> str:
+    return "(" + ", ".join(quoted(x) for x in xs) + ")"
 
 
 P1_FOUND = r"""
@@ -74,31 +73,25 @@ SCRIPT_FILE = "regexp_matches(lower(path), '/(examples|example|scripts|server|cl
 COMMENT = r"regexp_matches(text, '^\s*(//|\*|/\*)')"
 
 
-def _rule_sql(r) -> str:
-    hits = " OR ".join(f"contains(text, {_q(n)})" for n in r.needles)
+def rule_sql(r) -> str:
+    hits = " OR ".join(f"contains(text, {quoted(n)})" for n in r.needles)
     if r.macro:
         bare = r"""regexp_replace(regexp_replace(text, 'r"[^"]*"', '', 'g'), '"(?:[^"\\]|\\.)*(?:"|$)', '', 'g')"""
-        hits = f"regexp_matches({bare}, '(^|[^A-Za-z0-9_])' || regexp_escape({_q(r.needles[0])}))"
+        hits = f"regexp_matches({bare}, '(^|[^A-Za-z0-9_])' || regexp_escape({quoted(r.needles[0])}))"
     where = f"({hits})"
-    tail = f"substr(text, strpos(text, {_q(r.needles[0])}))" if r.after_needle else "text"
+    tail = f"substr(text, strpos(text, {quoted(r.needles[0])}))" if r.after_needle else "text"
     for x in r.exclusions:
-        where += f" AND NOT contains({tail}, {_q(x)})"
+        where += f" AND NOT contains({tail}, {quoted(x)})"
+    if r.rule == "rust-panic":
+        where += r" AND NOT regexp_matches(split_part(text, 'panic!(', 1), 'unwrap_or_else\(|ok_or_else\(')"
     where += f" AND {'' if r.comment else 'NOT '}{COMMENT}"
     if r.family != "any":
         where += r" AND regexp_matches(path, '\.(ts|tsx|js|jsx)$')" if r.family == "js" else r" AND regexp_matches(path, '\.rs$')"
     if r.skip_examples:
         where += f" AND NOT {SCRIPT_FILE}"
-    return f"SELECT path AS file, line::BIGINT AS line, {_q(r.rule)} AS rule, {_q(r.severity)} AS severity, {r.confidence}::DOUBLE AS confidence FROM line WHERE NOT {TEST_FILE} AND {where}"
+    return f"SELECT path AS file, line::BIGINT AS line, {quoted(r.rule)} AS rule, {quoted(r.severity)} AS severity, {r.confidence}::DOUBLE AS confidence FROM line WHERE NOT {TEST_FILE} AND {where}"
 
 
-LINE_RULES_SQL = f"WITH {LINE} " + " UNION ALL ".join(_rule_sql(r) for r in LINE_RULES)
-
-FILE_RULES = f"""WITH {LINE}, t AS (SELECT * FROM src WHERE NOT {TEST_FILE}), l AS (SELECT * FROM line WHERE NOT {TEST_FILE}),
-f AS (SELECT path, 'imports-and-exports' AS rule, 'import ' AS needle FROM t WHERE contains(source, 'import ') AND contains(source, 'export const')
- UNION ALL SELECT path, 'any-loop', CASE WHEN contains(source, 'while (') THEN 'while (' ELSE 'for (const' END FROM t WHERE contains(source, 'while (') OR contains(source, 'for (const')
- UNION ALL SELECT path, 'catch-not-in-tests', 'catch (' FROM t WHERE contains(source, 'catch (') AND NOT contains(source, '/lib/') AND NOT contains(source, 'finally') AND NOT contains(path, '/lib/') AND NOT contains(path, 'finally'))
-SELECT f.path AS file, min(l.line)::BIGINT AS line, f.rule FROM f JOIN l ON l.path = f.path AND contains(l.text, f.needle) GROUP BY f.path, f.rule"""
-
 LOOKAHEAD = """SELECT event_id, user_id FROM (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS a FROM events)
 WHERE event_type = 'error' AND coalesce(a, 0) = 0"""
 
@@ -124,7 +117,8 @@ ISSUE = BLOCK + """,
 place AS (SELECT id, any_value(path) AS file, any_value(start_line) AS s, any_value(end_line) AS e FROM blk GROUP BY id),
 copies AS (SELECT m.class, p.file, p.id FROM member m JOIN place p USING (id)),
 ends AS (SELECT class, arg_min(file, (file, id)) AS lof, arg_min(id, (file, id)) AS loi, arg_max(file, (file, id)) AS hif, arg_max(id, (file, id)) AS hii FROM copies GROUP BY class),
-link AS (SELECT a, b FROM close UNION SELECT DISTINCT least(c.id, o), greatest(c.id, o) FROM (SELECT c.id, CASE WHEN c.file <> e.lof THEN e.loi ELSE e.hii END AS o FROM copies c JOIN ends e USING (class) WHERE e.lof <> e.hif) c),
+near AS (SELECT a AS class, b AS other FROM close UNION ALL SELECT b, a FROM close UNION ALL SELECT class, class FROM ends WHERE lof <> hif),
+link AS (SELECT DISTINCT least(id, o) AS a, greatest(id, o) AS b FROM (SELECT c.id, CASE WHEN c.file <> e.lof THEN e.loi WHEN c.file <> e.hif THEN e.hii END AS o FROM near n JOIN copies c ON c.class = n.class JOIN ends e ON e.class = n.other) WHERE o IS NOT NULL),
 issue AS (SELECT row_number() OVER (ORDER BY l.a, l.b) AS i, x.file AS fa, x.s AS sa, x.e AS ea, y.file AS fb, y.s AS sb, y.e AS eb, least(x.e - x.s, y.e - y.s) + 1 AS span
   FROM link l JOIN place x ON x.id = l.a JOIN place y ON y.id = l.b WHERE x.file <> y.file),
 locs AS (SELECT i, span, fa AS file, sa AS s, ea AS e FROM issue UNION SELECT i, span, fb, sb, eb FROM issue),
@@ -137,6 +131,25 @@ DUP_STATS = f"""WITH RECURSIVE {ISSUE}, sz AS (SELECT g, count(*) AS n, min(e -
 u AS (SELECT count(*) AS n FROM (SELECT DISTINCT file, unnest(range(s, e + 1)) FROM inst SEMI JOIN sz USING (g))), t AS (SELECT sum(total_lines)::BIGINT AS t FROM ({LINE_METRICS}))
 SELECT t AS total_lines, least((SELECT n FROM u), sum(span * n))::BIGINT AS duplicated_lines, round(least((SELECT n FROM u), sum(span * n)) / t * 100, 6) AS duplication_percentage, count(*) AS clone_groups, sum(n)::BIGINT AS clone_instances FROM sz, t GROUP BY t"""
 
+WINDOW_SIZES = ", ".join(f"({s}, {4 if s > 10 else 2})" for s in WINDOWS)
+FRAGMENTS = f"""{SRC}, txt AS (SELECT path, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT path, string_split(regexp_replace(source, '\\r\\n', chr(10), 'g'), chr(10)) AS l FROM src)),
+win AS (SELECT path, l, s, unnest(range(1, len(l) - s + 2, step)) AS a FROM txt, (VALUES {WINDOW_SIZES}) w(s, step) WHERE len(l) >= s),
+cut AS (SELECT DISTINCT path, a AS start, a + s - 1 AS stop, array_to_string(l[a:a + s - 1], chr(10)) AS source FROM win),
+frag AS (SELECT path || chr(9) || lpad(start::VARCHAR, 9, '0') || chr(9) || lpad(stop::VARCHAR, 9, '0') AS id, path, start, stop, list_filter(string_split({NORMAL.replace("{0}", "source")}, ' '), lambda x: x <> '') AS t FROM cut),
+gram AS (SELECT id, list_transform(range(1, len(t) - 6), lambda i: (stop - start) || '|' || md5(array_to_string(t[i:i + 7], ' '))) AS g FROM frag WHERE len(t) >= 2 * (stop - start + 1) AND len(t) >= 8),
+fps AS (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(len(g) - 3, 1) + 1), lambda i: list_min(g[i:i + 3])))) AS f FROM gram),
+key AS (SELECT id, md5(array_to_string(f, ',')) AS fp, f FROM fps), cls AS (SELECT fp, min(id) AS class, any_value(f) AS f FROM key GROUP BY fp), member AS (SELECT key.id, cls.class FROM key JOIN cls USING (fp)),
+one AS (SELECT class, unnest(f) AS x, len(f) AS n FROM cls),
+pair AS (SELECT p.class AS a, q.class AS b, count(*) / (any_value(p.n) + any_value(q.n) - count(*)) AS c FROM one p JOIN one q ON p.x = q.x AND p.class < q.class GROUP BY 1, 2),
+close AS (SELECT a, b, c FROM pair WHERE c >= 0.85),
+place AS (SELECT m.id, m.class, f.path AS file FROM member m JOIN frag f USING (id)),
+ends AS (SELECT class, arg_min(file, (file, id)) AS lof, arg_min(id, (file, id)) AS loi, arg_max(file, (file, id)) AS hif, arg_max(id, (file, id)) AS hii FROM place GROUP BY class),
+near AS (SELECT a AS class, b AS other, c FROM close UNION ALL SELECT b, a, c FROM close UNION ALL SELECT class, class, 1.0 FROM ends WHERE lof <> hif),
+link AS (SELECT DISTINCT least(p.id, o) AS a, greatest(p.id, o) AS b, c FROM (SELECT p.id, CASE WHEN p.file <> e.lof THEN e.loi WHEN p.file <> e.hif THEN e.hii END AS o, n.c FROM near n JOIN place p ON p.class = n.class JOIN ends e ON e.class = n.other) p WHERE o IS NOT NULL),
+match AS (SELECT CASE WHEN x.path < y.path THEN x.path ELSE y.path END AS path_a, CASE WHEN x.path < y.path THEN x.start ELSE y.start END AS start_a, CASE WHEN x.path < y.path THEN x.stop ELSE y.stop END AS end_a,
+  CASE WHEN x.path < y.path THEN y.path ELSE x.path END AS path_b, CASE WHEN x.path < y.path THEN y.start ELSE x.start END AS start_b, CASE WHEN x.path < y.path THEN y.stop ELSE x.stop END AS end_b, round(l.c * 100) / 100 AS confidence
+  FROM link l JOIN frag x ON x.id = l.a JOIN frag y ON y.id = l.b)"""
+
 IMPORTERS = f"""{LATEST}, inst AS (SELECT e.target AS g, e.source AS file, 1 AS s, coalesce(l.loc, 0) % 40 + 5 AS e FROM edge e JOIN latest l ON l.path = e.source),
 sz AS (SELECT g, min(e - s + 1) AS n FROM inst GROUP BY g HAVING count(*) >= 2)"""
 FAMILIES = f"""WITH {IMPORTERS} SELECT a.file AS file_a, b.file AS file_b, count(*) AS group_count, sum(n)::BIGINT AS lines
@@ -164,6 +177,13 @@ s AS (SELECT pattern, count(DISTINCT path) AS file_count, count(*) AS occurrence
 r AS (SELECT pattern, file_count, occurrences, round(least(greatest(log2((SELECT count(*) FROM f) / file_count) * (occurrences / file_count), 0), 10) / 10 * 100) / 100 AS info_score FROM s)
 SELECT * FROM r ORDER BY info_score * file_count DESC, pattern LIMIT 30
 """
+# the removal of patterns inside longer ones, decided in order: each step sees what the steps before it removed
+REPEATED = NGRAMS.replace("WITH f AS", "WITH RECURSIVE f AS", 1).replace("SELECT * FROM r ORDER BY", ", top AS (SELECT row_number() OVER (ORDER BY info_score * file_count DESC, pattern) AS i, * FROM r ORDER BY", 1) + """),
+step(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i + 1, CASE WHEN EXISTS (SELECT 1 FROM top p, top q WHERE p.i = s.i + 1 AND q.i <> p.i AND NOT list_contains(s.gone, q.i)
+  AND octet_length(encode(p.pattern)) < octet_length(encode(q.pattern)) AND contains(q.pattern, p.pattern) AND p.file_count / q.file_count >= 0.8) THEN list_append(s.gone, s.i + 1) ELSE s.gone END FROM step s WHERE s.i < (SELECT count(*) FROM top)),
+kept AS (SELECT * FROM top WHERE NOT list_contains((SELECT arg_max(gone, i) FROM step), top.i))
+SELECT pattern, file_count, occurrences, info_score, (SELECT array_to_string(list_sort(list(DISTINCT path))[1:5], ',') FROM k WHERE k.pattern = kept.pattern) AS example_files FROM kept
+"""
 
 NAMED = "CASE category WHEN 'unused_export' THEN 'unused_exports' WHEN 'unused_type' THEN 'unused_types' WHEN 'gotcha' THEN 'gotchas' WHEN 'circular_dependency' THEN 'circular_dependencies' ELSE category END"
 UNIFIED = f"u AS (SELECT DISTINCT issue_id, {NAMED} AS category, file, line, impact, confidence, suggested_action, reason FROM ai_issues)"
@@ -181,29 +201,25 @@ h AS (SELECT base, arg_min(f.path, o) AS target FROM (SELECT DISTINCT base FROM
 SELECT importer, CASE WHEN base LIKE 'orchard-monorepo/%' THEN '@orchard/' || substr(base, 18) ELSE base END AS spec, h.target FROM s LEFT JOIN h USING (base)"""
 
 
-def _match_sql(m) -> str:
-    kind, what = m[0], _q(m[1])
+def match_sql(m) -> str:
+    kind, what = m[0], quoted(m[1])
     name = "split_part(path, '/', -1)"
     if kind == "file":
-        return f"(path = {what} OR ends_with(path, {_q('/' + m[1])}))"
+        return f"(path = {what} OR ends_with(path, {quoted('/' + m[1])}))"
     if kind == "prefix":
         return f"starts_with(path, {what})"
     if kind == "file_has":
         return f"contains({name}, {what})"
     if kind == "path_has":
         return f"contains(path, {what})"
-    return f"(list_contains(string_split(path, '/'), {what}) AND split_part({name}, '.', 1) IN {_list(m[2])})"
-
+    if kind == "prefix_file":
+        return f"(starts_with(path, {what}) AND {name} IN {word_list(m[2])})"
+    return f"(list_contains(string_split(path, '/'), {what}) AND split_part({name}, '.', 1) IN {word_list(m[2])})"
 
-_entry = [m for p in ("generic", "nextjs") for m in PROFILES[p]["entry"]]
-_implicit = [m for p in ("generic", "nextjs") for m in PROFILES[p]["implicit"]]
-ENTRY_CLASSES = f"""WITH p AS (SELECT DISTINCT regexp_replace(path, '^[^/]+/', '') AS path FROM files)
-SELECT path, 'framework' AS class FROM p WHERE {' OR '.join(map(_match_sql, _entry))} OR path IN {_list(DEFAULT_ENTRIES)} OR regexp_matches(path, '(^|/)src/bin/.*\\.rs$')
-UNION ALL SELECT path, 'implicit' FROM p WHERE {' OR '.join(map(_match_sql, _implicit))} OR {' OR '.join(f'starts_with(lower(path), {_q(t)})' for t in TOOLING_PREFIXES)} OR regexp_matches(path, '(^|/)(build\\.rs$|tests/.*\\.rs$|benches/.*\\.rs$|examples/.*\\.rs$|fuzz/.*\\.rs$)')"""
 
-_parts = " OR ".join(f"contains(lower(path), {_q(x)})" for x in TEST_FIXTURE_PARTS) + " OR " + " OR ".join(f"ends_with(lower(path), {_q(x)})" for x in TEST_FIXTURE_ENDS)
+_parts = " OR ".join(f"contains(lower(path), {quoted(x)})" for x in TEST_FIXTURE_PARTS) + " OR " + " OR ".join(f"ends_with(lower(path), {quoted(x)})" for x in TEST_FIXTURE_ENDS)
 _langs = " ".join(f"WHEN '{e}' THEN '{lang}'" for e, lang in LANGUAGES.items())
-PREDICATES = f"""SELECT DISTINCT path, {TEST_FILE} AS test, ({_parts}) AS fixture, {SCRIPT_FILE} AS script, list_has_any(string_split(path, '/')[:-2], [{', '.join(map(_q, SKIPPED_DIRS))}]) OR len(string_split(path, '/')) > 20 AS skipped,
+PREDICATES = f"""SELECT DISTINCT path, {TEST_FILE} AS test, ({_parts}) AS fixture, {SCRIPT_FILE} AS script, list_has_any(string_split(path, '/')[:-2], [{', '.join(map(quoted, SKIPPED_DIRS))}]) OR len(string_split(path, '/')) > 20 AS skipped,
 CASE WHEN ends_with(path, '.d.ts') THEN NULL ELSE CASE split_part(path, '.', -1) {_langs} END END AS language, len(string_split(path, '/')) - 2 >= 0 AS inside, contains(path, '*/src/') AS globbed FROM files"""
 
 SCALARS = rf"""SELECT DISTINCT doc_id, sha256({NORMAL_TEXT}) AS normal, sha256(text) AS sha, len(list_filter(string_split({NORMAL_TEXT}, ' '), lambda x: x <> ''))::INT AS words,
@@ -214,7 +230,8 @@ sha256(regexp_replace(regexp_replace(text, '([|`*_<>\[\]])', '\\\1', 'g'), '[\r\
 EXPORTED = rf"""WITH {LINE}, x AS (SELECT path, ltrim(text, chr(65279)) AS text FROM line WHERE language IN {SCRIPTS} AND starts_with(ltrim(text, chr(65279)), 'export ')),
 d AS (SELECT path, regexp_extract(text, '^export (?:default )?(?:async )?(?:function\*?|class|interface|type|const|let|var) ([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS name, text FROM x)
 SELECT DISTINCT path, CASE WHEN name <> '' AND NOT name IN ('enum', 'extends') THEN name ELSE 'default' END AS name FROM d WHERE name <> '' OR starts_with(text, 'export default')
-UNION SELECT path, trim(name) FROM (SELECT path, unnest(string_split(regexp_extract(text, '^export \{{ ([^}}]*) \}}', 1), ',')) AS name FROM x) WHERE trim(name) <> ''"""
+UNION SELECT path, trim(name) FROM (SELECT path, unnest(string_split(regexp_extract(text, '^export \{{ ([^}}]*) \}}', 1), ',')) AS name FROM x) WHERE trim(name) <> ''
+UNION SELECT path, unnest(regexp_extract_all(regexp_replace(text, '//.*$', ''), '\bpub(?:\([a-z]+\))? (?:async |unsafe |default )*(?:const fn|fn|struct|enum|trait|type|const|static mut|static|mod) ([A-Za-z_][A-Za-z0-9_]*)', 1)) FROM line WHERE language = 'rust'"""
 UNUSED_TYPES = rf"""WITH {LINE}, x AS (SELECT DISTINCT path, regexp_extract(text, '^export (interface|type) ([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS kind, regexp_extract(text, '^export (interface|type) ([A-Za-z_$][A-Za-z0-9_$]*)', 2) AS name
   FROM line WHERE language IN {SCRIPTS} AND regexp_matches(text, '^export (interface|type) [A-Za-z_$]')),
 i AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_extract(text, '^\s*import\s+(?:type\s+)?(.*?)\s+from\s', 1), '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM line WHERE regexp_matches(text, '^\s*import\s'))
@@ -228,9 +245,9 @@ ORACLE = {
     "duplicate_exports": f"WITH e AS ({EXPORTED}) SELECT name, string_agg(path, ',' ORDER BY path) AS locations FROM e WHERE name NOT IN ('GET', 'POST', 'PUT', 'DELETE', 'PATCH', 'HEAD', 'OPTIONS', 'metadata', 'generateMetadata', 'dynamic', 'revalidate', 'dynamicParams', 'default', 'up', 'down', 'config') GROUP BY name HAVING count(*) > 1",
     "unused_deps": UNUSED_DEPS + "SELECT DISTINCT package, 'dependencies' AS section FROM m WHERE package NOT IN (SELECT package FROM p WHERE path LIKE '%/src/%')",
     "unlisted_deps": UNUSED_DEPS + "SELECT DISTINCT path, package FROM p WHERE package <> '' AND package NOT IN (SELECT package FROM m WHERE path LIKE '%/tests/%')",
-    "line_metrics": LINE_METRICS, "line_rules": LINE_RULES_SQL, "file_rules": FILE_RULES, "lookahead_rule": LOOKAHEAD,
+    "line_metrics": LINE_METRICS, "lookahead_rule": LOOKAHEAD,
     "blocks_found": "SELECT DISTINCT b.path, b.start_line, b.end_line FROM blocks b SEMI JOIN files f ON f.path = b.path AND f.source IS NOT NULL",
-    "block_clones": BLOCK_CLONES, "block_clone_members": BLOCK_MEMBERS, "clone_groups": CLONE_GROUPS, "dup_stats": DUP_STATS, "clone_families": FAMILIES, "mirrored_dirs": MIRRORED, "external_packages": PACKAGES, "unresolved_imports": UNRESOLVED, "ngram_patterns": NGRAMS,
+    "block_clones": BLOCK_CLONES, "block_clone_members": BLOCK_MEMBERS, "clone_groups": CLONE_GROUPS, "dup_stats": DUP_STATS, "fragment_clones": f"WITH {FRAGMENTS} SELECT * FROM match", "clone_families": FAMILIES, "mirrored_dirs": MIRRORED, "external_packages": PACKAGES, "unresolved_imports": UNRESOLVED, "ngram_patterns": NGRAMS, "repetitive_patterns": REPEATED,
     "top_issues": f"WITH {UNIFIED} SELECT issue_id, category, file, impact FROM u WHERE impact IS NOT NULL AND NOT isnan(impact) ORDER BY impact DESC, issue_id LIMIT 20",
     "files_at_risk": f"WITH {UNIFIED} SELECT file, {', '.join(f'''count(*) FILTER (WHERE category = '{c}') AS {c}''' for c in AT_RISK)} FROM u WHERE file IS NOT NULL GROUP BY file ORDER BY count(*) FILTER (WHERE category IN ('dead_code', 'unused_exports', 'unused_types', 'gotchas')) DESC, file LIMIT 10",
     "issues_per_file": f"WITH {UNIFIED} SELECT file, count(*) AS issues FROM u WHERE file IS NOT NULL GROUP BY file",
@@ -238,10 +255,10 @@ ORACLE = {
     "category_leaders": f"WITH {UNIFIED}, r AS (SELECT category, row_number() OVER (PARTITION BY category ORDER BY impact DESC, issue_id)::INT AS rank, issue_id FROM u WHERE impact IS NOT NULL AND NOT isnan(impact)) SELECT * FROM r WHERE rank <= 5",
     "first_finding": f"WITH {UNIFIED} SELECT file, line, issue_id FROM u WHERE category = 'gotchas' AND file IS NOT NULL AND line IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file ORDER BY line, issue_id) = 1",
     "confident_issues": f"WITH {UNIFIED} SELECT category, count(*) AS issues FROM u WHERE confidence IS NULL OR confidence >= 0.8 GROUP BY category",
-    "health_score": f"WITH {UNIFIED}, c AS (SELECT (SELECT count(DISTINCT path) FROM files) AS total_files, (SELECT count(*) FROM u WHERE category IN {_list(SCORED)} AND confidence >= 0.95) AS total_issues, 12.5::DOUBLE AS duplication_percentage) SELECT *, round(least(greatest(100.0::DOUBLE - total_issues / total_files * 10 - duplication_percentage * 0.3, 0), 100) * 10) / 10 AS health_score FROM c",
+    "health_score": f"WITH {UNIFIED}, c AS (SELECT (SELECT count(DISTINCT path) FROM files) AS total_files, (SELECT count(*) FROM u WHERE category IN {word_list(SCORED)} AND confidence >= 0.95) AS total_issues, 12.5::DOUBLE AS duplication_percentage) SELECT *, round(least(greatest(100.0::DOUBLE - total_issues / total_files * 10 - duplication_percentage * 0.3, 0), 100) * 10) / 10 AS health_score FROM c",
     "snapshot_diff": DIFF, "diff_net": f"SELECT category, count(*) FILTER (WHERE status = 'new') AS new, count(*) FILTER (WHERE status = 'fixed') AS fixed, count(*) FILTER (WHERE status = 'new') - count(*) FILTER (WHERE status = 'fixed') AS net FROM ({DIFF}) WHERE status <> 'persisting' GROUP BY category",
     "baseline_apply": f"WITH {SNAPSHOTS} SELECT category || '::' || key AS fingerprint FROM a ANTI JOIN b USING (category, key)",
     "guard_check": GUARD, "guard_counts": f"SELECT count(*) FILTER (WHERE status = 'ok') AS passed, count(*) FILTER (WHERE status <> 'ok') AS failed FROM ({GUARD})",
-    "alias_resolution": ALIASES, "entry_classes": ENTRY_CLASSES, "path_predicates": PREDICATES, "scalar_functions": SCALARS,
-    "watched_languages": "SELECT language, count(*) AS files FROM (SELECT path, arg_max(language, loaded_at) AS language, arg_max(source, loaded_at) AS source FROM files GROUP BY path) WHERE source IS NOT NULL AND NOT list_has_any(string_split(path, '/')[:-2], [" + ', '.join(map(_q, SKIPPED_DIRS)) + "]) GROUP BY language",
+    "alias_resolution": ALIASES, "path_predicates": PREDICATES, "scalar_functions": SCALARS,
+    "watched_languages": "SELECT language, count(*) AS files FROM (SELECT path, arg_max(language, loaded_at) AS language, arg_max(source, loaded_at) AS source FROM files GROUP BY path) WHERE source IS NOT NULL AND NOT list_has_any(string_split(path, '/')[:-2], [" + ', '.join(map(quoted, SKIPPED_DIRS)) + "]) GROUP BY language",
 }

@@ -68,7 +68,7 @@ def python_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return facts.parse_files(_files(spark, d).where(F.col("language").isin(*SCRIPTS)))
+    return facts.parse_files(_files(spark, d))
 
 
 def exported_names(spark: SparkSession, d: str) -> DataFrame:
@@ -121,19 +121,6 @@ def line_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _files(spark, d).select("path", loc.alias("loc"), total.alias("total_lines"))
 
 
-def line_rules(spark: SparkSession, d: str) -> DataFrame:
-    return lint.line_issues(_files(spark, d)).select("file", "line", "rule", "severity", "confidence")
-
-
-def callback_hell(spark: SparkSession, d: str) -> DataFrame:
-    return lint.callback_hell(_files(spark, d)).select("file", "line")
-
-
-def file_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = (lint.FileRule("imports-and-exports", "all", ("import ", "export const"), "info", 0.5, ""), lint.FileRule("any-loop", "any", ("while (", "for (const"), "info", 0.5, ""), lint.FileRule("catch-not-in-tests", "but_not", ("catch (",), "info", 0.5, "", ("/lib/", "finally")))
-    return lint.file_issues(_files(spark, d), rules).select("file", "line", "rule")
-
-
 def lookahead_rule(spark: SparkSession, d: str) -> DataFrame:
     return lint.lookahead(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error", F.col("event_type") == "purchase").select("event_id", "user_id")
 
@@ -144,10 +131,6 @@ def blocks_found(spark: SparkSession, d: str) -> DataFrame:
     return mine.join(table(spark, d, "blocks").select("path", "start_line", "end_line").distinct(), ["path", "start_line", "end_line"], "left_semi")
 
 
-def block_findings(spark: SparkSession, d: str) -> DataFrame:
-    return facts.block_findings(_facts(spark, d)).select("file", "line", "rule", "confidence")
-
-
 def _clones(spark: SparkSession, d: str):
     blocks = table(spark, d, "blocks").select("block_id", "path", "name", "start_line", "end_line", "source").distinct()
     members, pairs = clones.block_clones(blocks)
@@ -304,15 +287,6 @@ def alias_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_imports(e.select(F.col("source").alias("importer"), spec.alias("spec")), table(spark, d, "files").select("path"), aliases)
 
 
-def entry_classes(spark: SparkSession, d: str) -> DataFrame:
-    rel = table(spark, d, "files").select(F.regexp_replace("path", r"^[^/]+/", "").alias("path")).distinct()
-    return entries.entry_points(rel, ["generic", "nextjs"])
-
-
-def barrels(spark: SparkSession, d: str) -> DataFrame:
-    return detect.barrel_files(_files(spark, d))
-
-
 def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").where("text is not null").select("doc_id", "text", "path").distinct().select(
@@ -347,8 +321,8 @@ def analysis_summary(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     p1_found, dead_nodes, seeded_dead, cycles, import_cycles, import_components, python_neighbours, exported_names, external_packages, unused_types, duplicate_exports, unused_exports, unresolved_imports, unused_deps, unlisted_deps,
-    line_metrics, line_rules, callback_hell, file_rules, lookahead_rule, blocks_found, block_findings, block_clones, block_clone_members, clone_groups, clone_families, mirrored_dirs, dup_stats, fragment_clones, merged_fragments,
+    line_metrics, lookahead_rule, blocks_found, block_clones, block_clone_members, clone_groups, clone_families, mirrored_dirs, dup_stats, fragment_clones, merged_fragments,
     ngram_patterns, repetitive_patterns, ncd_pairs, ncd_search, top_issues, files_at_risk, issues_per_file, top_risk_file, category_leaders, first_finding, confident_issues, health_score, snapshot_diff, diff_net, baseline_apply,
-    guard_check, guard_counts, alias_resolution, entry_classes, barrels, scalar_functions, path_predicates, file_facts, watched_languages, analysis_summary,
+    guard_check, guard_counts, alias_resolution, scalar_functions, path_predicates, file_facts, watched_languages, analysis_summary,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -90,9 +90,11 @@ def workspace_aliases(path: str, text: str) -> list[tuple[str, str]]:
         for key, value in exported.items():
             target = _first_string(value)
             if target and key.startswith("."):
-                sub, target = key[1:].removesuffix("*"), target.removeprefix("./").removesuffix("*")
+                sub, target = key[1:].split("*")[0], target.removeprefix("./")
+                target = target.split("*")[0] if "*" in key else target
                 out.append((name + sub, place + target))
-    return [*out, (name + "/", place), (name, here)]
+    main = [(name, place + data["main"].removeprefix("./"))] if isinstance(data.get("main"), str) else []
+    return [*out, (name + "/", place), *main, (name, here)]
 
 
 def is_published(path: str, text: str) -> bool:

@@ -35,7 +35,7 @@ def is_skipped(path: Column) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), length, content of every file; binary reader, so filters on length and path prune before content is read."""
+    """path (below root), length, content of every file but empty ones, which the file reader leaves out; filters on length and path prune before content is read."""
     base = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     return raw.select(F.expr(f"substring(path, locate({_quote(base)}, path) + {len(base)})").alias("path"), "length", "content")

@@ -12,9 +12,9 @@ from codeloom.session import read_text, swap_text
 VERSION = 1
 
 
-def load_analysis(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A saved analysis; a fixed schema, so nothing is inferred."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def load_analysis(spark: SparkSession, path: str, schema: str, document: bool = False) -> DataFrame:
+    """A saved analysis, one issue a line; with ``document`` files that hold one JSON value each. A fixed schema, so nothing is inferred."""
+    return spark.read.schema(schema).option("multiLine", document).json(path)
 
 
 def save_analysis(issues: DataFrame, path: str) -> None:

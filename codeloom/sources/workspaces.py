@@ -153,7 +153,7 @@ def published_dirs(manifests: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"prefix": [p.rsplit("/", 1)[0] for p, t in zip(pdf["path"], pdf["source"]) if t is not None and is_published(p, t)]}, columns=["prefix"])
+            yield pd.DataFrame([(p.rsplit("/", 1)[0],) for p, t in zip(pdf["path"], pdf["source"]) if t is not None and is_published(p, t)], columns=["prefix"])
 
     return rows.select("path", "source").mapInPandas(run, "prefix string").distinct()
 
