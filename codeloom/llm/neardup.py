@@ -1,8 +1,8 @@
 """Near-duplicate records with small edits, by MinHash banding and verification on the full sets.
 
 Records with the same shingle set form a class, and only classes are compared.
-With 6 rows a band and 50 bands a pair at the threshold 0.7 shares a band with
-probability 1 - (1 - 0.7^6)^50 = 0.998, one at 0.75 with 0.9999. Pairs of sets
+With 5 rows a band and 35 bands a pair at the threshold 0.7 shares a band with
+probability 1 - (1 - 0.7^5)^35 = 0.998, one at 0.75 with 0.9999. Pairs of sets
 whose sizes alone rule the threshold out are dropped inside their bucket; the
 others are verified on their whole sets. Buckets that many classes share are cut
 into chunks and compared chunk by chunk, so no task holds an unbounded bucket and
@@ -27,7 +27,7 @@ from codeloom.operators.skew import join_per_key
 from codeloom.session import materialize
 
 TOKEN = re.compile(r"[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$]")
-ROWS, BANDS, SEED = 6, 50, 7
+ROWS, BANDS, SEED = 5, 35, 7
 
 
 def shingle_set(text: str, width: int = 3) -> np.ndarray:
@@ -54,13 +54,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sets: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key per band of the set's MinHash signature. The elements are hashes already, so a multiplication and an addition make a new order of them."""
+    """One 64-bit key per band of the set's MinHash signature. The elements are hashes already, so a multiplication and an addition make a new order of their upper halves."""
     factors, terms = _orders(rows * bands)
-    low = np.full(rows * bands, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(sets), 512):
-        part = sets[at : at + 512, None] * factors
+    upper = (sets >> np.uint64(32)).astype(np.uint32)
+    low = np.full(rows * bands, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(upper), 256):
+        part = upper[at : at + 256, None] * factors
         part += terms
         np.minimum(low, part.min(axis=0), out=low)
+    low = low.astype(np.uint64)
     keys = np.arange(1, bands + 1, dtype=np.uint64)
     for r in range(rows):
         keys = _mix(keys ^ low[r::rows]) + np.uint64(r)
@@ -70,7 +72,7 @@ def band_keys(sets: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndar
 @cache
 def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
+    return rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
 SETS = "id bigint, path string, fp binary, key bigint, n int, shingles array<bigint>, bands array<bigint>"
