@@ -5,8 +5,8 @@ by the last successful run. It is a base and the deltas of the runs since. A run
 reads only the records that became visible since the last one, looks their keys
 up in the state and writes a delta: the keys whose latest record moved, marked
 where the fingerprint is new or different. While the new keys are few (a checked
-number) they are broadcast, so the state is scanned but neither shuffled nor
-written again; when the deltas have outgrown the base, they are merged into a new
+number, and a small part of the state) they are broadcast, so the state is scanned
+but neither shuffled nor written again; when the deltas have outgrown the base, they are merged into a new
 one, so writing stays in proportion to what changed. A small pointer file names
 the parts in force and is renamed last. A run that dies before the rename leaves
 the old state in force, so the next run selects the same records again; a run
@@ -38,7 +38,7 @@ def content_fingerprint(digest: Column, targets: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x01", digest_value(digest), F.concat_ws("\x00", target_set(targets)))))
 
 
-KEYS_BROADCAST = 200_000
+KEYS_BROADCAST, FEW = 200_000, 20  # new rows are broadcast up to this number, and while the state has FEW times as many
 MOST_DELTAS = 64
 STATE = "key string, ord struct<at:timestamp,id:bigint>, fp binary, changed boolean"
 
@@ -86,7 +86,8 @@ class ChangeState:
         both = rows.select("key", "ord", "fp", F.lit(False).alias("old"))
         state = self.state(now)
         if state is not None:
-            if not rebuild and rows.count() <= KEYS_BROADCAST:
+            held = now["base_rows"] + sum(k for _, k in now["deltas"])
+            if not rebuild and (n_rows := rows.count()) <= KEYS_BROADCAST and FEW * n_rows <= held:
                 state = state.join(F.broadcast(rows.select("key").distinct()), "key", "left_semi")
             both = both.unionByName(state.withColumn("old", F.lit(True)))
         entry = F.struct("ord", "fp")
