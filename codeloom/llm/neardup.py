@@ -30,13 +30,21 @@ TOKEN = re.compile(r"[A-Za-z0-9_$]+|[^\sA-Za-z0-9_$]")
 ROWS, BANDS, SEED = 5, 35, 7
 
 
-def shingle_set(text: str, width: int = 3) -> np.ndarray:
+class TokenHashes(dict):
+    """token → hash, filled when asked."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token)
+        return h
+
+
+def shingle_set(text: str, width: int = 3, known: TokenHashes | None = None) -> np.ndarray:
     """The distinct runs of ``width`` tokens as sorted 64-bit hashes; empty for texts with fewer tokens."""
     tokens = TOKEN.findall(text)
     if len(tokens) < width:
         return np.empty(0, np.uint64)
-    ids = {t: xxhash.xxh3_64_intdigest(t) for t in set(tokens)}
-    h = np.array([ids[t] for t in tokens], np.uint64)
+    known = TokenHashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     out = h[: len(h) - width + 1].copy()
     for i in range(1, width):
         out ^= out >> np.uint64(29)
@@ -81,8 +89,9 @@ SETS = "id bigint, path string, fp binary, key bigint, n int, shingles array<big
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, paths, fps, keys, sizes, sets, bands = [], [], [], [], [], [], []
+        known = TokenHashes()
         for i, path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            s = shingle_set(text)
+            s = shingle_set(text, known=known)
             if len(s):
                 fp = xxhash.xxh3_128_digest(s.tobytes())
                 ids.append(i)
@@ -112,7 +121,8 @@ def similar_classes(blocks: DataFrame, threshold: float = 0.7) -> tuple[DataFram
     classes = materialize(small.groupBy("fp").agg(F.min("id").alias("class")), "classes")
     members = materialize(small.join(classes, "fp").select("id", "path", "class"), "members")
     low = lambda x, y: F.least(x["n"], y["n"]) >= threshold * F.greatest(x["n"], y["n"])
-    buckets = sets.select(F.explode("bands").alias("bucket"), F.struct("n", "key").alias("id")).distinct()
+    once = sets.groupBy("key", "n").agg(F.any_value("bands").alias("bands"))
+    buckets = once.select(F.explode("bands").alias("bucket"), F.struct("n", "key").alias("id"))
     candidates = bucket_pairs(buckets, classes.count() * BANDS, keep=low).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     candidates = materialize(candidates, "candidates")
     needed = candidates.select(F.col("a").alias("key")).union(candidates.select("b")).distinct()
