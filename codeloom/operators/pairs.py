@@ -22,12 +22,12 @@ def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor
     2 · chunk ids, whatever the size of the bucket.
     """
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
-    told = join_per_key(members, sizes, "bucket", "n", total, heavy_floor)
-    lists = told.where("parts = 1").groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    # two joins, so that the one for large buckets costs nothing where there are none
+    lists = members.join(sizes.where("parts = 1").select("bucket"), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     inner = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     near = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
     near = near.where(keep(F.col("a"), F.col("b"))) if keep else near
-    cut = told.where("parts > 1").withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cut = join_per_key(members, sizes.where("parts > 1"), "bucket", "n", total, heavy_floor).withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = cut.select("bucket", "c", F.explode(F.sequence("c", F.col("parts") - 1)).alias("d"), F.col("id").alias("x"))
     right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"), F.col("c").alias("d"), F.col("id").alias("y"))
     far = left.join(right, ["bucket", "c", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y"))).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
