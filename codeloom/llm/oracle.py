@@ -75,4 +75,16 @@ SELECT item_id, count(DISTINCT doc_id) AS documents, max(n)::INT AS longest FROM
 
 P8_PASSAGES = P8_ITEMS.replace("SELECT item_id, count(DISTINCT doc_id) AS documents, max(n)::INT AS longest FROM runs GROUP BY item_id", "SELECT doc_id, item_id, max(n)::INT AS words FROM runs GROUP BY doc_id, item_id")
 
-ORACLE = {"p2_found": P2_FOUND, "p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_groups": P7_GROUPS, "p8_items": P8_ITEMS, "p8_passages": P8_PASSAGES, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
+P10_LIMITS = r"""
+WITH once AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[-_\s]+', '_', 'g') AS source, length(text) AS chars, octet_length(encode(text)) AS bytes, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL),
+u AS (SELECT source, 'chars' AS unit, chars AS length FROM once UNION ALL SELECT source, 'bytes', bytes FROM once),
+c AS (SELECT source, unit, length, count(*) AS texts FROM u GROUP BY ALL),
+r AS (SELECT *, (sum(texts) OVER (PARTITION BY source, unit ORDER BY length DESC ROWS UNBOUNDED PRECEDING))::BIGINT AS at_risk, (sum(texts) OVER near - texts)::DOUBLE AS around FROM c WINDOW near AS (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING)),
+e AS (SELECT *, (around + 0.5::DOUBLE) / (max(at_risk) OVER (PARTITION BY source, unit ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) * 50) * at_risk AS expected FROM r),
+p AS (SELECT *, CASE WHEN texts > expected THEN -(texts * ln(texts / expected) - texts + expected) ELSE 0 END AS log_p, count(*) OVER () AS tests FROM e),
+k AS (SELECT *, row_number() OVER (ORDER BY log_p) AS k FROM p),
+last AS (SELECT max(k) AS k FROM k WHERE log_p <= ln(0.01::DOUBLE) AND log_p <= ln(0.01::DOUBLE * k / tests))
+SELECT source, unit, length::INT AS length, texts, at_risk, expected FROM k WHERE k <= (SELECT k FROM last)
+"""
+
+ORACLE = {"p10_limits": P10_LIMITS, "p2_found": P2_FOUND, "p2_shares": P2_SHARES, "p3_found": P3_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_groups": P7_GROUPS, "p8_items": P8_ITEMS, "p8_passages": P8_PASSAGES, "p8_found": P8_FOUND, "p8_clean": P8_CLEAN}
