@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.fingerprints import text_prints, window_prints
 from codeloom.functions.text import file_name, jaccard, parent_dir, round2
 from codeloom.operators.graph import components
-from codeloom.operators.pairs import bucket_pairs
+from codeloom.operators.pairs import bucket_pairs, pairs_by_bucket
 from codeloom.operators.skew import join_per_key
 from codeloom.session import materialize
 
@@ -214,9 +214,8 @@ def _pairs_in_groups(instances: DataFrame, item: Column, only: DataFrame | None
     """group_id, x, y, line_count for the distinct items of each group, x < y; ``only`` (file) restricts the instances that are paired."""
     sizes = group_sizes(instances).select("group_id", "line_count")
     kept = instances if only is None else instances.join(only, "file", "left_semi")
-    names = kept.select("group_id", item.alias("id")).distinct()
-    left = names.select("group_id", F.col("id").alias("x"))
-    return left.join(names.select("group_id", F.col("id").alias("y")), "group_id").where("x < y").join(sizes, "group_id")
+    names = materialize(kept.select(F.col("group_id").alias("bucket"), item.alias("id")).distinct(), "group-members")
+    return pairs_by_bucket(names, names.count()).select(F.col("bucket").alias("group_id"), F.col("a").alias("x"), F.col("b").alias("y")).join(sizes, "group_id")
 
 
 def clone_families(instances: DataFrame) -> DataFrame:

@@ -27,14 +27,26 @@ def bucket_pairs(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor
     inner = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     near = lists.select(F.explode(inner).alias("p")).select("p.a", "p.b")
     near = near.where(keep(F.col("a"), F.col("b"))) if keep else near
-    cut = join_per_key(members, sizes.where("parts > 1"), "bucket", "n", total, heavy_floor).withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = cut.select("bucket", "c", F.explode(F.sequence("c", F.col("parts") - 1)).alias("d"), F.col("id").alias("x"))
-    right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"), F.col("c").alias("d"), F.col("id").alias("y"))
-    far = left.join(right, ["bucket", "c", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y"))).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    far = _grid(join_per_key(members, sizes.where("parts > 1"), "bucket", "n", total, heavy_floor)).select("a", "b")
     far = far.where(keep(F.col("a"), F.col("b"))) if keep else far
     return near.union(far).distinct()
 
 
+def _grid(cut: DataFrame) -> DataFrame:
+    """(bucket, id, parts) → (bucket, a, b), a < b: the pairs of each pair of chunks."""
+    cut = cut.withColumn("c", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = cut.select("bucket", "c", F.explode(F.sequence("c", F.col("parts") - 1)).alias("d"), F.col("id").alias("x"))
+    right = cut.select("bucket", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("c"), F.col("c").alias("d"), F.col("id").alias("y"))
+    met = left.join(right, ["bucket", "c", "d"]).where((F.col("c") < F.col("d")) | (F.col("x") < F.col("y"))).where("x <> y")
+    return met.select("bucket", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def pairs_by_bucket(members: DataFrame, total: int, chunk: int = CHUNK, heavy_floor: int = 200_000) -> DataFrame:
+    """(bucket, id), distinct → (bucket, a, b), a < b: each pair once for each bucket it shares, made chunk by chunk."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    return _grid(join_per_key(members, sizes, "bucket", "n", total, heavy_floor))
+
+
 def bucket_cross(left: DataFrame, right: DataFrame, total: int, chunk: int = CHUNK, heavy_floor: int = 200_000) -> DataFrame:
     """(bucket, id) twice → distinct pairs (a, b) of an id of ``left`` and one of ``right`` that share a bucket; ``total`` is the number of rows of both.
 

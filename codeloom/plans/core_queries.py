@@ -203,7 +203,7 @@ def ncd_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ncd_search(spark: SparkSession, d: str) -> DataFrame:
-    return patterns.ncd_pairs(_files(spark, d))
+    return patterns.ncd_search(_files(spark, d)).withColumn("distance", F.round("distance", 4))
 
 
 def _unified(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -225,6 +226,23 @@ def test_distance_search_matches_brute_force(spark, rows):
     assert {(r.path_a, r.path_b) for r in got.collect()} == want and {("a", "b"), ("b", "c"), ("c", "d")} <= want
 
 
+def test_distance_of_queries(spark):
+    rng = random.Random(6)
+    texts = {f"f{i:02d}": "".join(f"{rng.choice('abcdef') * 3} = {rng.randrange(9999)};\n" for _ in range(12)) for i in range(25)}
+    texts["g"] = texts["f03"].replace("a", "b", 1)
+    texts["h"] = texts["f05"]
+    got = patterns.ncd_search(spark.createDataFrame([(p, "x", t) for p, t in texts.items()] + [("short", "x", "a\n"), (None, "x", texts["g"]), ("n", "x", None)], SRC), every=3, chunk=4)
+    size = lambda t: patterns._sizes([t])[0]
+    far = lambda x, y: max(0.0, (min(size(x + y), size(y + x)) - min(size(x), size(y))) / max(size(x), size(y)))
+    heads = {t: min(p for p, s in texts.items() if s == t) for t in texts.values()}
+    want = set()
+    for t, p in heads.items():
+        if int(hashlib.sha256(t.encode()).hexdigest()[:8], 16) % 3 == 0:
+            d = {q: far(t, s) for s, q in heads.items() if s != t}
+            want |= {(p, q, v <= 0.4) for q, v in d.items() if v <= 0.4 or v == min(d.values())}
+    assert {(r.path, r.other, r.near) for r in got.collect()} == want and want
+
+
 def test_given_pairs_in_either_order(spark, tmp_path):
     spark.createDataFrame([("b.ts", "./a.ts", 0.1), ("a.ts", "c.ts", 0.1), ("c.ts", "a.ts", 0.2), ("a.ts", "a.ts", 0.0), ("a.ts", None, 0.1)], "path_a string, path_b string, distance double").write.parquet(f"{tmp_path}/ncd_candidates.parquet")
     files = [(p, "r", "typescript", f"export const {p[0]} = 1\n" * 20) for p in ("a.ts", "b.ts", "c.ts")]
