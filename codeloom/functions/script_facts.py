@@ -101,7 +101,7 @@ def arrow_start(t: Tokens, k: int) -> int:
     """The first token of the function whose ``=>`` is token k."""
     j = k - 1
     back = j
-    while back > 0 and t.marks[k][1] - t.marks[back][1] < 400 and t.term[back] not in (";", "{", "(", "=", ",", "=>"):  # over a return type
+    while back > 0 and t.term[back] not in (";", "{", "(", "=", ",", "=>"):  # over a return type, however long
         if t.term[back] == ":" and t.term[back - 1] == ")":
             j = back - 1
             break
