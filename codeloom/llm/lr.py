@@ -274,6 +274,7 @@ class Recognizer:
     def __init__(self, tables: Tables, asi: str | None = None):
         self.t, self.asi = tables, asi
         self.kept: dict[tuple, list] = {}
+        self.held = 0
 
     def start(self) -> list:
         return [(0, None, 0)]
@@ -364,8 +365,10 @@ class Recognizer:
             while node[2] > low[0]:
                 pushed.append(node[0])
                 node = node[1]
-            if len(self.kept) > self.MOST_KEPT:
+            self.held += 1
+            if self.held > self.MOST_KEPT:  # outcomes, not keys: a key may have many
                 self.kept.clear()
+                self.held = 1
             self.kept.setdefault((first[0][0], terms), []).append((tuple(below), tuple(reversed(pushed))))
         return stacks, -1
 
