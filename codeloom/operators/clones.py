@@ -53,18 +53,18 @@ def similar_sets(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
     a column ``kind`` only rows of one kind are compared.
     """
     filled = sets.where(F.size("fps") > 0)
-    filled = filled if "kind" in sets.columns else filled.withColumn("kind", F.lit(""))
-    filled = filled.withColumn("fp", F.md5(F.concat("kind", F.lit("|"), F.array_join("fps", ","))))
+    filled = filled if "kind" in sets.columns else filled.withColumn("kind", F.lit(0))
+    filled = filled.withColumn("fp", F.unhex(F.md5(F.concat_ws("|", F.col("kind").cast("string"), F.array_join(F.col("fps").cast("array<string>"), ",")))))
     heads = materialize(filled.groupBy("fp").agg(F.min("id").alias("class"), F.min_by("fps", "id").alias("fps"), F.min("kind").alias("kind")), "fingerprints")
-    members = filled.select("id", "fp").join(heads.select("fp", "class"), "fp").select("id", "class")
+    members = materialize(filled.select("id", "fp").join(heads.select("fp", "class"), "fp").select("id", "class"), "class-members")
     n = F.size("fps")
-    prefix = heads.select(F.explode(F.slice("fps", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("f"), "kind", F.col("class").alias("id")).select(F.concat_ws("|", "kind", "f").alias("bucket"), "id")
+    prefix = heads.select(F.explode(F.slice("fps", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1)).alias("f"), "kind", F.col("class").alias("id")).select(F.xxhash64("kind", "f").alias("bucket"), "id")
     total = heads.agg(F.sum(F.size("fps"))).first()[0] or 0
-    a = heads.select(F.col("class").alias("a"), F.col("fps").alias("fa"))
-    b = heads.select(F.col("class").alias("b"), F.col("fps").alias("fb"))
-    close = F.least(F.size("fa"), F.size("fb")) >= threshold * F.greatest(F.size("fa"), F.size("fb")) - 1e-9
-    pairs = bucket_pairs(prefix, total).join(a, "a").join(b, "b").where(close).select("a", "b", jaccard(F.col("fa"), F.col("fb")).alias("similarity")).where(F.col("similarity") >= threshold)
-    return members, pairs
+    a = heads.select(F.col("class").alias("a"), F.col("fps").alias("fa"), F.col("kind").alias("ka"))
+    b = heads.select(F.col("class").alias("b"), F.col("fps").alias("fb"), F.col("kind").alias("kb"))
+    close = (F.col("ka") == F.col("kb")) & (F.least(F.size("fa"), F.size("fb")) >= threshold * F.greatest(F.size("fa"), F.size("fb")) - 1e-9)
+    pairs = bucket_pairs(prefix, total).join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(close).select("a", "b", jaccard(F.col("fa"), F.col("fb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    return members, materialize(pairs, "similar-sets")
 
 
 def block_fingerprints(blocks: DataFrame) -> DataFrame:
@@ -129,8 +129,8 @@ def fragment_matches(files: DataFrame, sizes=WINDOWS, threshold: float = FRAGMEN
     in another file, not with each other; similar windows with the first of
     the other's class in another file.
     """
-    frags = materialize(fragments(files, sizes).withColumn("id", F.concat_ws("\t", "path", F.lpad(F.col("start_line").cast("string"), 9, "0"), F.lpad(F.col("end_line").cast("string"), 9, "0"))), "fragments")
-    members, pairs = similar_sets(frags.select("id", "fps", (F.col("end_line") - F.col("start_line")).cast("string").alias("kind")), threshold)
+    frags = materialize(fragments(files, sizes).withColumn("id", F.struct(F.unhex(F.md5("path")).alias("f"), F.col("start_line").cast("int").alias("s"), F.col("end_line").cast("int").alias("e"))), "fragments")
+    members, pairs = similar_sets(frags.select("id", "fps", (F.col("end_line") - F.col("start_line")).cast("int").alias("kind")), threshold)
     where = frags.select("id", "path", "start_line", "end_line")
     places = where.withColumnRenamed("path", "file")
     links = pair_links(members, pairs, places).union(copy_links(members, places))
