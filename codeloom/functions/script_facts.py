@@ -9,7 +9,7 @@ from codeloom.functions.lexers import JS_TOKEN, js_chunks
 
 LANG_FLAGS = {"typescript": (True, False), "tsx": (True, True), "javascript": (False, False), "jsx": (False, True)}
 NAME_AT = re.compile(r"#?(?:[^\W\d]|[$])(?:\w|[$])*")
-LEAST_BLOCK_LINES = 3
+LEAST_BLOCK_LINES, MOST_PREVIEW = 3, 80
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 CONTINUES = {".", "?.", ",", "=", "=>", "?", ":", "+", "-", "*", "/", "%", "&&", "||", "??", "&", "|", "^", "==", "===", "!=", "!==", "<", ">", "<=", "(", "[", "instanceof", "in", "as"}
 
@@ -23,6 +23,7 @@ class Facts:
     reexports: list[tuple[str, str]] = field(default_factory=list)  # (spec, exported name or *)
     blocks: list[tuple[str, str, int, int, int, int]] = field(default_factory=list)  # name, kind, first and last line, start and end in the text
     empty_catches: list[int] = field(default_factory=list)
+    parse_errors: list[tuple[str, int, int]] = field(default_factory=list)  # message, line, column of brackets that don't match
     functions: int = 0
     classes: int = 0
     complexity: int = 1
@@ -37,20 +38,29 @@ class Tokens:
             pass
         self.term = [m[0] for m in self.marks]
         self.n = len(self.term)
+        self.errors: list[tuple[str, int, int]] = []
         self.match = [self.n] * (self.n + 1)
         stack: list[int] = []
         for i, t in enumerate(self.term):
             if t in OPEN or t == "TPLHEAD":
                 stack.append(i)
             elif t in CLOSE or t == "TPLTAIL":
+                if not stack or OPEN.get(self.term[stack[-1]], "TPLTAIL") != t:
+                    self.errors.append((f"unexpected token: {self.text(i)[:MOST_PREVIEW]}", *self.place(i)))
                 if stack:
                     self.match[stack.pop()] = i
+        self.errors += [(f"missing {OPEN.get(self.term[i], 'end of template')}", *self.place(i)) for i in stack]
 
     def text(self, i: int) -> str:
         start = self.marks[i][1]
         m = NAME_AT.match(self.src, start)
         return m[0] if m else JS_TOKEN.match(self.src, start)[0]
 
+    def place(self, i: int) -> tuple[int, int]:
+        """(line, column), both from 1."""
+        start = self.marks[i][1]
+        return self.marks[i][2], start - self.src.rfind("\n", 0, start)
+
     def string(self, i: int) -> str:
         return JS_TOKEN.match(self.src, self.marks[i][1])[0][1:-1]
 
@@ -226,7 +236,7 @@ def _is_type_brace(t: Tokens, j: int) -> bool:
 def script_facts(source: str, language: str) -> Facts:
     ts, jsx = LANG_FLAGS[language]
     t = Tokens(source, ts, jsx)
-    f = Facts()
+    f = Facts(parse_errors=t.errors)
     line = lambda i: t.marks[min(i, t.n - 1)][2]
 
     def block(name: str, kind: str, a: int, b: int) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,42 +13,56 @@ from codeloom.functions.script_facts import LANG_FLAGS, script_facts
 from codeloom.functions.text import count_loc, is_internal, package_name, text_lines
 from codeloom.session import path_exists, read_text, swap_text
 
-VERSION = 1
+VERSION = 2
 FACTS = (
     "path string, language string, sha string, loc bigint, total_lines bigint, functions bigint, classes bigint, complexity bigint, max_nesting_depth bigint, "
     "imports array<string>, named_imports array<struct<spec:string,name:string>>, exports array<string>, type_exports array<struct<name:string,kind:string>>, "
-    "reexports array<struct<spec:string,name:string>>, blocks array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,source:string>>, empty_catches array<bigint>, modules array<string>"
+    "reexports array<struct<spec:string,name:string>>, blocks array<struct<name:string,kind:string,start_line:bigint,end_line:bigint,source:string>>, empty_catches array<bigint>, modules array<string>, "
+    "parse_errors array<struct<message:string,line:bigint,column:bigint>>"
 )
 
 
-def parse_one(language: str, source: str) -> dict:
-    """The facts of one text; languages without a reader give empty facts."""
-    out = dict(functions=0, classes=0, complexity=0, max_nesting_depth=0, imports=[], named_imports=[], exports=[], type_exports=[], reexports=[], blocks=[], empty_catches=[], modules=[])
-    if language in LANG_FLAGS:
-        f = script_facts(source, language)
-        out |= dict(
-            functions=f.functions, classes=f.classes, complexity=f.complexity, max_nesting_depth=f.max_nesting_depth, imports=f.imports,
-            named_imports=[{"spec": s, "name": n} for s, n in f.named_imports], exports=f.exports, type_exports=[{"name": n, "kind": k} for n, k in f.type_exports],
-            reexports=[{"spec": s, "name": n} for s, n in f.reexports], empty_catches=f.empty_catches,
-            blocks=[{"name": n, "kind": k, "start_line": a, "end_line": b, "source": source[s:e]} for n, k, a, b, s, e in f.blocks],
-        )
-    elif language == "rust":
-        exports, uses, mods, functions = rust_facts(source)
-        out |= dict(exports=exports, functions=functions, complexity=1, named_imports=[{"spec": m, "name": n} for m, n in uses], imports=sorted({m for m, _ in uses}), modules=mods)
-    return out
-
-
-def parse_files(files: DataFrame) -> DataFrame:
-    """Facts of every readable file (path, language, source); exact copies of a row count once, a null language has no reader."""
+Reader = Callable[[str, str], dict]
+
+
+def read_script(language: str, source: str) -> dict:
+    f = script_facts(source, language)
+    return dict(
+        functions=f.functions, classes=f.classes, complexity=f.complexity, max_nesting_depth=f.max_nesting_depth, imports=f.imports,
+        named_imports=[{"spec": s, "name": n} for s, n in f.named_imports], exports=f.exports, type_exports=[{"name": n, "kind": k} for n, k in f.type_exports],
+        reexports=[{"spec": s, "name": n} for s, n in f.reexports], empty_catches=f.empty_catches, parse_errors=[{"message": m, "line": a, "column": b} for m, a, b in f.parse_errors],
+        blocks=[{"name": n, "kind": k, "start_line": a, "end_line": b, "source": source[s:e]} for n, k, a, b, s, e in f.blocks],
+    )
+
+
+def read_rust(language: str, source: str) -> dict:
+    exports, uses, mods, functions = rust_facts(source)
+    return dict(exports=exports, functions=functions, complexity=1, named_imports=[{"spec": m, "name": n} for m, n in uses], imports=sorted({m for m, _ in uses}), modules=mods)
+
+
+# language → reader (language, source) → facts; parse_files takes more
+READERS: dict[str, Reader] = {**dict.fromkeys(LANG_FLAGS, read_script), "rust": read_rust}
+
+
+def parse_one(language: str, source: str, readers: dict[str, Reader] | None = None) -> dict:
+    """The facts of one text; a reader gives those it knows, languages without a reader give empty facts."""
+    out = dict(functions=0, classes=0, complexity=0, max_nesting_depth=0, imports=[], named_imports=[], exports=[], type_exports=[], reexports=[], blocks=[], empty_catches=[], modules=[], parse_errors=[])
+    reader = (readers or READERS).get(language)
+    return out | reader(language, source) if reader else out
+
+
+def parse_files(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """Facts of every readable file (path, language, source); exact copies of a row count once, a null language has no reader. ``readers`` add languages or replace readers."""
     loc, total = count_loc(F.col("source"))
-    known = F.coalesce("language", F.lit("")).isin(*LANG_FLAGS, "rust")
+    table = READERS | (readers or {})
+    known = F.coalesce("language", F.lit("")).isin(*table)
     rows = files.where("path is not null and source is not null").select("path", "language", "source").distinct()
     rows = rows.select("path", "language", "source", F.sha2("source", 256).alias("sha"), F.when(known, loc).otherwise(total).alias("loc"), total.alias("total_lines"))
     names = [c.split()[0] for c in FACTS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            facts = pd.DataFrame([parse_one(lang or "", text) for lang, text in zip(pdf["language"], pdf["source"])], index=pdf.index)
+            facts = pd.DataFrame([parse_one(lang or "", text, table) for lang, text in zip(pdf["language"], pdf["source"])], index=pdf.index)
             yield pd.concat([pdf.drop(columns="source"), facts], axis=1)[names] if len(pdf) else pd.DataFrame(columns=names)
 
     return rows.mapInPandas(run, FACTS)
@@ -89,6 +103,11 @@ class FactCache:
         return self.load()
 
 
+def parse_errors(facts: DataFrame) -> DataFrame:
+    """path, message, line, column of brackets without their partner."""
+    return facts.select("path", F.inline("parse_errors"))
+
+
 def exports(facts: DataFrame) -> DataFrame:
     return facts.select("path", F.explode("exports").alias("name"))
 

@@ -188,7 +188,7 @@ SELECT pattern, file_count, occurrences, info_score, (SELECT array_to_string(lis
 NAMED = "CASE category WHEN 'unused_export' THEN 'unused_exports' WHEN 'unused_type' THEN 'unused_types' WHEN 'gotcha' THEN 'gotchas' WHEN 'circular_dependency' THEN 'circular_dependencies' ELSE category END"
 UNIFIED = f"u AS (SELECT DISTINCT issue_id, {NAMED} AS category, file, line, impact, confidence, suggested_action, reason FROM ai_issues)"
 
-SNAPSHOTS = """k AS (SELECT DISTINCT reported_at, 'gotcha' AS category, file || ':' || coalesce(line::VARCHAR, '-') AS key FROM ai_issues WHERE file IS NOT NULL AND category = 'gotcha'),
+SNAPSHOTS = """k AS (SELECT DISTINCT reported_at, category, file || ':' || coalesce(line::VARCHAR, '-') AS key FROM ai_issues WHERE file IS NOT NULL AND category IS NOT NULL),
 b AS (SELECT DISTINCT category, key FROM k WHERE reported_at < TIMESTAMPTZ '2025-05-01 00:00:00+00'), a AS (SELECT DISTINCT category, key FROM k WHERE reported_at >= TIMESTAMPTZ '2025-05-01 00:00:00+00')"""
 DIFF = f"""WITH {SNAPSHOTS} SELECT 'new' AS status, * FROM a ANTI JOIN b USING (category, key) UNION ALL SELECT 'fixed', * FROM b ANTI JOIN a USING (category, key) UNION ALL SELECT 'persisting', * FROM a SEMI JOIN b USING (category, key)"""
 

@@ -251,7 +251,7 @@ def health_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, d: str):
-    rows = table(spark, d, "ai_issues").where("file is not null and category = 'gotcha'").select("reported_at", F.lit("gotcha").alias("category"), F.concat_ws(":", "file", F.coalesce(F.col("line").cast("string"), F.lit("-"))).alias("key")).distinct()
+    rows = table(spark, d, "ai_issues").where("file is not null and category is not null").select("reported_at", "category", F.concat_ws(":", "file", F.coalesce(F.col("line").cast("string"), F.lit("-"))).alias("key")).distinct()
     return rows.where("reported_at < timestamp'2025-05-01 00:00:00'").select("category", "key").distinct(), rows.where("reported_at >= timestamp'2025-05-01 00:00:00'").select("category", "key").distinct()
 
 

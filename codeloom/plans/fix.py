@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DECLARATION = r"^(\s*)export\s+((?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+%s\b)"
+from codeloom.session import swap_text
+
+# A declaration of the name that is exported at the start of a line; lists and defaults are left to people.
+DECLARATION = r"^([\t ]*)export[\t ]+((?:async[\t ]+)?(?:const|let|var|function|class|type|interface)[\t ]+%s\b)"
 EDITS = "path string, name string, status string, line bigint, before string, after string"
 
 
@@ -46,6 +49,15 @@ def edited_sources(edits: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", F.array_join(lines, "\n").alias("source"))
 
 
+def write_sources(edited: DataFrame, root: str) -> int:
+    """Write edited sources (path, source) below a folder, each in one step; the number of files. They pass the driver one at a time."""
+    spark, n = edited.sparkSession, 0
+    for row in edited.toLocalIterator():
+        swap_text(spark, f"{root.rstrip('/')}/{row['path']}", row["source"])
+        n += 1
+    return n
+
+
 def remove_dependencies(manifest: str, packages: list[str]) -> str:
     """The manifest text without the packages in ``dependencies`` and ``devDependencies``."""
     data = json.loads(manifest)

@@ -19,7 +19,8 @@ def values(schema: str, rows) -> str:
     """A query that gives the rows."""
     cols = [c.split() for c in schema.split(", ")]
     body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"SELECT {', '.join(f'{c}::{TYPES[t]} AS {c}' for c, t in cols)} FROM (VALUES {body}) v({', '.join(c for c, _ in cols)})"
+    named = [(f'"{c}"', TYPES[t]) for c, t in cols]
+    return f"SELECT {', '.join(f'{c}::{t} AS {c}' for c, t in named)} FROM (VALUES {body}) v({', '.join(c for c, _ in named)})"
 
 
 FILES = "(" + values("path string, language string, source string", samples.FILES) + ")"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as tx
 from codeloom.functions.predicates import is_example_directory, is_rust_lib_file
 from codeloom.operators import detect, entries, facts, graph, lint, resolve, state, summary
-from codeloom.plans import reports, samples
+from codeloom.plans import fix, reports, samples
 from codeloom.plans.analyze import analyze
 from codeloom.plans.tables import table
 from codeloom.registry import Plugin, Registry
@@ -285,6 +285,17 @@ def plugin_results(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b).union(c).union(e)
 
 
+def fix_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Edits that would remove exports of the sample, and why others are left alone."""
+    rows = [("src/names/far.ts", "idle"), ("src/names/first.ts", "walk"), ("src/names/first.ts", "Kind"), ("src/names/first.ts", "first"), ("src/names/index.ts", "Other"), ("src/api/users.ts", "Users"), ("src/app/params.ts", "generateStaticParams")]
+    return fix.plan_export_edits(_rows(rows, "path string, name string")(spark), samples.sample_files(spark))
+
+
+def bracket_errors(spark: SparkSession, d: str) -> DataFrame:
+    broken = [("a.ts", "typescript", "f(a;\n}\n"), ("b.tsx", "tsx", "const a = <p>{x}</p>;\nif (a) {\n"), ("c.js", "javascript", "const t = `a${b}`;\n")]
+    return facts.parse_errors(facts.parse_files(spark.createDataFrame(broken, "path string, language string, source string").unionByName(samples.sample_files(spark))))
+
+
 def _analysis(spark: SparkSession):
     texts = samples.sample_manifests(spark)
     return analyze(samples.sample_files(spark), manifests=texts.where("path = 'package.json' or path like 'crate/%'"), registry=_plugins(), profiles=["nextjs", "nestjs", "generic"])
@@ -333,6 +344,6 @@ def cache_runs_of_facts(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     line_rules, file_rules, callback_hell, unhandled_promises, ordered_findings, barrels, block_findings, function_counts, sample_facts, sample_metrics, rust_imports, entry_classes, example_paths, implicit_entries, manifest_packages, config_aliases, scoped_resolution, published_folders, public_files,
-    crate_targets, declared_entries, monorepo_kinds, detected_frameworks, scanned_tree, excluded_paths, saved_states, guard_updates, text_helpers, common_folders, issue_identities, reexport_chains, star_types, imported_names, plugin_results, sample_summary, sample_issues, sarif_rows, failing, cache_runs_of_facts,
+    crate_targets, declared_entries, monorepo_kinds, detected_frameworks, scanned_tree, excluded_paths, saved_states, guard_updates, text_helpers, common_folders, issue_identities, reexport_chains, star_types, imported_names, plugin_results, fix_plan, bracket_errors, sample_summary, sample_issues, sarif_rows, failing, cache_runs_of_facts,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -151,6 +151,19 @@ EXPECTED = {
             ('resolve_import', './gone', 'src/names/far.ts'), ('resolve_import', './lost', '-'),
         ],
     ),
+    "fix_plan": (
+        "path string, name string, status string, line bigint, before string, after string", [
+            ('src/api/users.ts', 'Users', 'planned', 1, 'export class Users {', 'class Users {'),
+            ('src/app/params.ts', 'generateStaticParams', 'planned', 1, 'export function generateStaticParams() {', 'function generateStaticParams() {'),
+            ('src/names/far.ts', 'idle', 'planned', 2, 'export const idle = 2;', 'const idle = 2;'), ('src/names/first.ts', 'Kind', 'planned', 3, "export type Kind = 'a' | 'b';", "type Kind = 'a' | 'b';"),
+            ('src/names/first.ts', 'first', 'not-found', 0, '', ''), ('src/names/first.ts', 'walk', 'not-found', 0, '', ''), ('src/names/index.ts', 'Other', 'not-found', 0, '', ''),
+        ],
+    ),
+    "bracket_errors": (
+        "path string, message string, line bigint, column bigint", [
+            ('a.ts', 'unexpected token: }', 2, 1), ('b.tsx', 'missing }', 2, 8),
+        ],
+    ),
     "sample_summary": (
         "total_files bigint, total_lines bigint, total_exports bigint, dead_code bigint, unused_exports bigint, unused_types bigint, duplicate_code bigint, gotchas bigint, circular_dependencies bigint, unused_dependencies bigint, duplicate_exports bigint, unresolved_imports bigint, unlisted_dependencies bigint, plugin_issues bigint, duplication_percentage double, total_types bigint, health_score double", [
             (31, 210, 36, 17, 13, 5, 1, 27, 2, 2, 3, 3, 2, 3, 7.4074074074074066, 5, 76.2),

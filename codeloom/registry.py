@@ -7,6 +7,7 @@ built-in result, or overrides it; two overrides of one hook cancel each other.
 
 from __future__ import annotations
 
+import signal
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 HOOKS = ("analyze_file", "resolve_import", "discover_entries", "post_analysis", "format_output")
 MOST_SETTINGS_BYTES = 65_536
+MOST_SOURCE_BYTES, MOST_SECONDS = 10_000_000, 30.0  # of one call of ``analyze_file``
 PLUGIN_ISSUES = "plugin string, file string, line bigint, rule string, severity string, message string, confidence double"
 
 
@@ -39,8 +41,28 @@ class Plugin:
         return add
 
 
+class _Late(Exception):
+    """A call took too long."""
+
+
+def limited(fn: Callable, seconds: float, *args):
+    """The list that a call gives; a call that takes longer than ``seconds`` is broken off. Python workers run calls in their main thread."""
+
+    def ring(signum, frame):
+        raise _Late(f"no answer in {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return list(fn(*args))
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 class Registry:
-    def __init__(self) -> None:
+    def __init__(self, seconds: float = MOST_SECONDS) -> None:
+        self.seconds = seconds
         self.plugins: dict[str, Plugin] = {}
 
     def add(self, plugin: Plugin) -> Plugin:
@@ -58,20 +80,20 @@ class Registry:
         return having if len(overriding) <= 1 else [p for p in having if p.mode != "override"]
 
     def file_issues(self, files: DataFrame) -> DataFrame | None:
-        """Issues of the ``analyze_file`` hooks over the files of their languages; a hook that fails gives an issue of its own, not a failed job."""
+        """Issues of the ``analyze_file`` hooks over the files of their languages; a hook that fails, or a call that takes too long, gives an issue of its own, not a failed job. Larger texts than MOST_SOURCE_BYTES are not handed to hooks."""
         out = None
         for plugin in self.active("analyze_file"):
-            fn, name = plugin.hooks["analyze_file"], plugin.name
-            rows = files.where("path is not null and source is not null").select("path", "source", "language")
+            fn, name, seconds = plugin.hooks["analyze_file"], plugin.name, self.seconds
+            rows = files.where("path is not null and source is not null").where(F.octet_length("source") <= MOST_SOURCE_BYTES).select("path", "source", "language")
             if plugin.languages:
                 rows = rows.where(F.col("language").isin(*plugin.languages))
 
-            def run(batches: Iterator[pd.DataFrame], fn=fn, name=name) -> Iterator[pd.DataFrame]:
+            def run(batches: Iterator[pd.DataFrame], fn=fn, name=name, seconds=seconds) -> Iterator[pd.DataFrame]:
                 for pdf in batches:
                     found = []
                     for path, source, language in zip(pdf["path"], pdf["source"], pdf["language"]):
                         try:
-                            for i in fn(path, source, language):
+                            for i in limited(fn, seconds, path, source, language):
                                 found.append((name, path, i.get("line"), i["rule"], i.get("severity", "info"), i.get("message", ""), float(i.get("confidence", 1.0))))
                         except Exception as e:  # noqa: BLE001
                             found.append((name, path, None, "plugin-error", "warning", f"{type(e).__name__}: {e}"[:200], 1.0))
