@@ -36,3 +36,7 @@ def test_file_facts(spark, broken):
     facts = {r.path: r for r in core_queries.file_facts(spark, broken).collect()}
     assert len(facts) == 2 + len(BROKEN)
     assert (facts["broken0.ts"].exports, facts["broken0.ts"].max_nesting_depth, facts[f"broken{len(BROKEN) - 1}.ts"].max_nesting_depth) == (1, 1, 1101)
+
+
+def test_exported_names(spark, rows, broken):
+    assert rows(core_queries.exported_names(spark, broken)) == [("b.ts", "x"), ("b.ts", "y"), ("broken0.ts", "z"), ("good.ts", "Shape"), ("good.ts", "f"), ("good.ts", "y")]
