@@ -40,3 +40,7 @@ def test_file_facts(spark, broken):
 
 def test_exported_names(spark, rows, broken):
     assert rows(core_queries.exported_names(spark, broken)) == [("b.ts", "x"), ("b.ts", "y"), ("broken0.ts", "z"), ("good.ts", "Shape"), ("good.ts", "f"), ("good.ts", "y")]
+
+
+def test_external_packages(spark, rows, broken):
+    assert rows(core_queries.external_packages(spark, broken)) == [("good.ts", "left-pad")]
