@@ -44,3 +44,7 @@ def test_exported_names(spark, rows, broken):
 
 def test_external_packages(spark, rows, broken):
     assert rows(core_queries.external_packages(spark, broken)) == [("good.ts", "left-pad")]
+
+
+def test_unused_types(spark, rows, broken):
+    assert rows(core_queries.unused_types(spark, broken)) == [("good.ts", "Shape", "interface")]
