@@ -48,3 +48,7 @@ def test_external_packages(spark, rows, broken):
 
 def test_unused_types(spark, rows, broken):
     assert rows(core_queries.unused_types(spark, broken)) == [("good.ts", "Shape", "interface")]
+
+
+def test_duplicate_exports(spark, rows, broken):
+    assert rows(core_queries.duplicate_exports(spark, broken)) == [("y", "b.ts,good.ts")]
