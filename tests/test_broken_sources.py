@@ -52,3 +52,7 @@ def test_unused_types(spark, rows, broken):
 
 def test_duplicate_exports(spark, rows, broken):
     assert rows(core_queries.duplicate_exports(spark, broken)) == [("y", "b.ts,good.ts")]
+
+
+def test_blocks_found(spark, rows, broken):
+    assert rows(core_queries.blocks_found(spark, broken)) == [("good.ts", 5, 10)]
