@@ -56,3 +56,7 @@ def test_duplicate_exports(spark, rows, broken):
 
 def test_blocks_found(spark, rows, broken):
     assert rows(core_queries.blocks_found(spark, broken)) == [("good.ts", 5, 10)]
+
+
+def test_unresolved_imports(spark, rows, broken):
+    assert rows(core_queries.unresolved_imports(spark, broken)) == []
