@@ -60,3 +60,7 @@ def test_blocks_found(spark, rows, broken):
 
 def test_unresolved_imports(spark, rows, broken):
     assert rows(core_queries.unresolved_imports(spark, broken)) == []
+
+
+def test_function_counts(spark, rows, broken):
+    assert ("good.ts", 1) in [r[:2] for r in rows(sample_queries.function_counts(spark, broken))]
