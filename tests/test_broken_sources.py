@@ -64,3 +64,7 @@ def test_unresolved_imports(spark, rows, broken):
 
 def test_function_counts(spark, rows, broken):
     assert ("good.ts", 1) in [r[:2] for r in rows(sample_queries.function_counts(spark, broken))]
+
+
+def test_watched_languages(spark, rows, broken):
+    assert rows(core_queries.watched_languages(spark, broken)) == [("typescript", 2 + len(BROKEN))]
