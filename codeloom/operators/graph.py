@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ FRAMEWORK_DEAD = "implicit entry point not reachable from runtime"
 
 
 HOPS = 4  # edges followed in one job
+LOCAL_EDGES = 500_000  # edges that one task unites
+LABEL = "name string, group string"
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
@@ -144,33 +149,69 @@ def circular_dependencies(edges: DataFrame) -> DataFrame:
     return tagged.groupBy("group").applyInPandas(search, "files array<string>")
 
 
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(name, group) for edges (a, b): the smallest name of the weakly connected component, by spreading least labels with pointer jumping."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (a, b) of edges → (name, group): the least name that its edges lead to."""
+    above: dict[str, str] = {}
+
+    def least(x: str) -> str:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = least(x), least(y)
+            if x != y:
+                above[max(x, y)] = min(x, y)
+    names = list(above)
+    for i in range(0, len(names), 50_000):
+        part = names[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([least(x) for x in part], pa.string())], ["name", "group"])
+
+
+def components(edges: DataFrame, most_rounds: int = 200, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(name, group) for edges (a, b): the smallest name of the weakly connected component.
+
+    While more than ``local_edges`` edges are left, every node is merged into
+    the first of its neighbours and itself in the order of their hashes, which
+    about halves a chain of nodes whatever its names; the rest, whose size has
+    that bound, is united in one task. Then the merges are followed back.
+    """
     spark = edges.sparkSession
     root = shared_dir(spark, "components")
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = both.union(both.select("b", "a")).distinct()
-    total = counted_write(both, f"{root}/edges")
-    both = spark.read.schema("a string, b string").parquet(f"{root}/edges")
-    label = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("held")).select(F.col("a").alias("name"), F.least("a", "m").alias("group"), "held")
-    before = None
-    for r in range(most_rounds):
-        seen = Observation()
-        label.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("name", "group").cast("decimal(38,0)")).alias("sum")).write.parquet(f"{root}/l{r}")
-        label = spark.read.schema("name string, group string, held bigint").parquet(f"{root}/l{r}")
-        if r:
-            drop_path(spark, f"{root}/l{r - 1}")
-        now = seen.get
-        if now == before or not now["n"]:
-            return label.select("name", "group")
-        before = now
-        # the least label among neighbours, then the label of that label
-        near = join_per_key(both.select(F.col("a").alias("name"), "b"), label, "name", "held", total).groupBy("b").agg(F.min("group").alias("g")).withColumnRenamed("b", "name")
-        joined = label.join(near, "name", "left").select("name", F.least("group", F.coalesce("g", "group")).alias("group"), "held")
-        jump = label.select(F.col("name").alias("group"), F.col("group").alias("further"))
-        sizes = joined.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        label = join_per_key(joined, jump.join(sizes, "group"), "group", "n", now["n"]).select("name", F.least("group", "further").alias("group"), "held")
-    raise RuntimeError("components did not settle")
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    now, merges = edges.where("a is not null and b is not null and a <> b").select(*ends("a", "b")).distinct(), []
+    n = counted_write(now, f"{root}/e0")
+    now = spark.read.schema("a string, b string").parquet(f"{root}/e0")
+    while n > local_edges:
+        r = len(merges)
+        if r == most_rounds:
+            raise RuntimeError("components did not settle")
+        place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+        near = now.union(now.select("b", "a")).groupBy("a").agg(F.min(place("b")).alias("first"), F.count(F.lit(1)).alias("held"))
+        size = counted_write(near.select(F.col("a").alias("name"), F.least(place("a"), "first")["v"].alias("into"), "held"), f"{root}/m{r}")
+        merged = spark.read.schema("name string, into string, held bigint").parquet(f"{root}/m{r}")
+        half = join_per_key(now.withColumnRenamed("a", "name"), merged, "name", "held", 2 * n).select(F.col("into").alias("x"), F.col("b").alias("name"))
+        now = join_per_key(half, merged, "name", "held", 2 * n).where("x <> into").select(*ends("x", "into")).distinct()
+        n = counted_write(now, f"{root}/e{r + 1}")
+        now = spark.read.schema("a string, b string").parquet(f"{root}/e{r + 1}")
+        drop_path(spark, f"{root}/e{r}")
+        merges.append((merged, size))
+    label = _kept(now.coalesce(1).mapInArrow(_united, LABEL), f"{root}/l{len(merges)}")
+    for r in reversed(range(len(merges))):
+        merged, size = merges[r]
+        held = merged.groupBy("into").agg(F.count(F.lit(1)).alias("held"))
+        onward = held.join(label.withColumnRenamed("name", "into"), "into", "left").select("into", F.coalesce("group", "into").alias("group"), "held")
+        label = _kept(join_per_key(merged.select("name", "into"), onward, "into", "held", size).select("name", "group"), f"{root}/l{r}")
+    if not merges:
+        return label
+    least = label.groupBy("group").agg(F.min("name").alias("least"), F.count(F.lit(1)).alias("held"))
+    return join_per_key(label, least, "group", "held", merges[0][1]).select("name", F.col("least").alias("group"))
+
+
+def _kept(label: DataFrame, path: str) -> DataFrame:
+    label.write.parquet(path)
+    return label.sparkSession.read.schema(LABEL).parquet(path)
 
 
 def neighbourhood(edges: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -79,3 +79,13 @@ def test_neighbourhood_and_chains(spark, rows):
     imported = frame(spark, [("top", "Foo")], "target string, name string")
     again = frame(spark, [("mid", "src/a", "*"), ("top", "mid", "Foo")], "barrel string, target string, name string")
     assert rows(graph.used_through_reexports(unused, imported, again)) == [("src/a", "Foo")]
+
+
+def test_long_chains_take_few_rounds(spark):
+    """A chain is merged in halves, whatever its names; spreading its least name takes more rounds."""
+    n = 3000
+    edges = frame(spark, [(f"{i:05}", f"{i + 1:05}") for i in range(n) if i % 1000 != 999] + [("x", "y"), ("y", "x"), ("z", "z"), (None, "x")], "a string, b string")
+    got = graph.components(edges, most_rounds=12, local_edges=20)
+    assert sorted(map(tuple, got.collect())) == sorted([(f"{i:05}", f"{i // 1000 * 1000:05}") for i in range(n)] + [("x", "x"), ("y", "x")])
+    star = frame(spark, [("hub", f"leaf{i}") for i in range(500)], "a string, b string")
+    assert {tuple(r) for r in graph.components(star, local_edges=1).collect()} == {("hub", "hub")} | {(f"leaf{i}", "hub") for i in range(500)}
