@@ -2,6 +2,8 @@ import hashlib
 import json
 import random
 
+import pandas as pd
+import zstandard
 from pyspark.sql import functions as F
 
 from codeloom.functions.rust_facts import rust_facts, use_tree
@@ -390,3 +392,16 @@ def test_registered_queries_are_consistent():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_distance_search_makes_one_compressor_a_chunk(monkeypatch):
+    made, real = [], zstandard.ZstdCompressor
+    monkeypatch.setattr(zstandard, "ZstdCompressor", lambda **k: made.append(k) or real(**k))
+    texts = {"a": "one two three\n" * 20, "b": "one two three\n" * 20 + "four\n", "c": "other words here, 1 2 3\n" * 9}
+    pdf = pd.DataFrame([(p, t, asks) for asks in (True, False) for p, t in texts.items()], columns=["path", "source", "asks"])
+    got = {(r.path, r.other): r.distance for r in patterns.nearest_texts(pdf, 1.0).itertuples()}
+    size = lambda t: len(real(level=1).compress(t.encode()))
+    for p, q in ((p, q) for p in texts for q in texts if p != q):
+        joint = min(size(texts[p] + texts[q]), size(texts[q] + texts[p]))
+        assert got[p, q] == min(1.0, max(0.0, (joint - min(size(texts[p]), size(texts[q]))) / max(size(texts[p]), size(texts[q]))))
+    assert len(made) == 1
