@@ -405,3 +405,18 @@ def test_distance_search_makes_one_compressor_a_chunk(monkeypatch):
         joint = min(size(texts[p] + texts[q]), size(texts[q] + texts[p]))
         assert got[p, q] == min(1.0, max(0.0, (joint - min(size(texts[p]), size(texts[q]))) / max(size(texts[p]), size(texts[q]))))
     assert len(made) == 1
+
+
+def test_fragments_without_a_partner_are_not_kept(spark, rows):
+    """Only windows with a prefix fingerprint in another file go on, and the matches are those of all windows."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(f"let {''.join(rnd.choices('abcdef', k=6))} = {rnd.random()} + other {rnd.random()};\n" for _ in range(n))
+    both = text(14)
+    data = spark.createDataFrame([("a.ts", "x", text(30) + both), ("b.ts", "x", both + text(20)), ("c.ts", "x", text(60)), ("d.ts", "x", both.replace("other", "thing", 1)), ("n.ts", "x", None)], SRC)
+    all_windows, kept = rows(clones.fragments(data)), rows(clones.shared_fragments(data))
+    assert kept and set(kept) < set(all_windows) and not [r for r in kept if r[0] == "c.ts"]
+    sets = [(p, a, b, set(f)) for p, a, b, f in all_windows]
+    alike = {s[:3] for s in sets for o in sets if s[0] != o[0] and s[2] - s[1] == o[2] - o[1] and len(s[3] & o[3]) >= 0.85 * len(s[3] | o[3])}
+    assert alike and alike <= {r[:3] for r in kept}
+    got = {side for r in clones.fragment_matches(data).collect() for side in ((r.path_a, r.start_a, r.end_a), (r.path_b, r.start_b, r.end_b))}
+    assert got == alike
