@@ -68,3 +68,8 @@ def test_function_counts(spark, rows, broken):
 
 def test_watched_languages(spark, rows, broken):
     assert rows(core_queries.watched_languages(spark, broken)) == [("typescript", 2 + len(BROKEN))]
+
+
+def test_analysis_summary(spark, broken):
+    r = core_queries.analysis_summary(spark, broken).collect()
+    assert len(r) == 1 and r[0].total_files == 2 + len(BROKEN)
