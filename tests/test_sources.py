@@ -420,3 +420,12 @@ def test_fragments_without_a_partner_are_not_kept(spark, rows):
     assert alike and alike <= {r[:3] for r in kept}
     got = {side for r in clones.fragment_matches(data).collect() for side in ((r.path_a, r.start_a, r.end_a), (r.path_b, r.start_b, r.end_b))}
     assert got == alike
+
+
+def test_merged_fragments_write_matching_windows_only(spark, rows, monkeypatch):
+    written, real = {}, clones.materialize
+    monkeypatch.setattr(clones, "materialize", lambda df, label: written.setdefault(label, real(df, label)))
+    line = "let total = add(first, second) + price * count;\n"
+    data = spark.createDataFrame([("a.ts", "x", line * 12), ("b.ts", "x", line * 12), ("c.ts", "x", "".join(f"word{i} other{i * 7} more{i * 11} last{i * 13}\n" for i in range(60)))], SRC)
+    assert [r[:6] for r in rows(clones.merged_fragments(clones.fragment_matches(data)))] == [("a.ts", 1, 12, "b.ts", 1, 12)]
+    assert {r.path for r in written["fragments"].select("path").distinct().collect()} == {"a.ts", "b.ts"}
