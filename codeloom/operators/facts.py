@@ -13,7 +13,7 @@ from codeloom.functions.script_facts import LANG_FLAGS, script_facts
 from codeloom.functions.text import count_loc, is_internal, package_name, text_lines
 from codeloom.session import path_exists, read_text, swap_text
 
-VERSION = 2
+VERSION = 3
 FACTS = (
     "path string, language string, sha string, loc bigint, total_lines bigint, functions bigint, classes bigint, complexity bigint, max_nesting_depth bigint, "
     "imports array<string>, named_imports array<struct<spec:string,name:string>>, exports array<string>, type_exports array<struct<name:string,kind:string>>, "

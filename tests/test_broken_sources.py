@@ -73,3 +73,22 @@ def test_watched_languages(spark, rows, broken):
 def test_analysis_summary(spark, broken):
     r = core_queries.analysis_summary(spark, broken).collect()
     assert len(r) == 1 and r[0].total_files == 2 + len(BROKEN)
+
+
+TYPED_JS = 'export interface Shape { a: number }\nexport type Side = "l" | "r";\nexport type { Shape };\nexport const type = 1;\nconst interface_ = type;\n'
+OPEN_QUOTE = 'pub fn first() {\n  let a = "open;\n  go("x");\n}\n\npub fn second() {\n  go("y \\\n  z");\n}\npub fn third() {\n  go("z", \'"\');\n}\n'
+
+
+def tables(spark, d, texts):
+    spark.createDataFrame(texts, "path string, language string, source string").selectExpr("*", "timestamp'2025-01-01 00:00:00' as loaded_at").write.parquet(f"{d}/files.parquet")
+    return str(d)
+
+
+def test_exported_names_of_types_in_plain_scripts_and_after_open_quotes(spark, rows, tmp_path):
+    d = tables(spark, tmp_path, [("a.js", "javascript", TYPED_JS), ("b.jsx", "jsx", "export interface Props { a: 1 }\n"), ("c.rs", "rust", OPEN_QUOTE)])
+    assert rows(core_queries.exported_names(spark, d)) == [("a.js", "Shape"), ("a.js", "Side"), ("a.js", "type"), ("b.jsx", "Props"), ("c.rs", "first"), ("c.rs", "second"), ("c.rs", "third")]
+
+
+def test_rust_strings_over_lines_stay_whole():
+    whole = 'pub fn a() { go("text\npub fn b() {}\n"); }\npub fn c() {}\n'
+    assert rust_facts(whole)[0] == ["a", "c"]
