@@ -92,3 +92,8 @@ def test_exported_names_of_types_in_plain_scripts_and_after_open_quotes(spark, r
 def test_rust_strings_over_lines_stay_whole():
     whole = 'pub fn a() { go("text\npub fn b() {}\n"); }\npub fn c() {}\n'
     assert rust_facts(whole)[0] == ["a", "c"]
+
+
+def test_unused_types_of_plain_scripts(spark, rows, tmp_path):
+    d = tables(spark, tmp_path, [("a.js", "javascript", TYPED_JS), ("b.jsx", "jsx", "import type { Side } from './a';\nexport interface Props { a: 1 }\n")])
+    assert rows(core_queries.unused_types(spark, d)) == [("a.js", "Shape", "interface"), ("b.jsx", "Props", "interface")]
