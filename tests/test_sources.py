@@ -6,6 +6,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import functions as F
 
+from codeloom.functions import fingerprints
 from codeloom.functions.rust_facts import rust_facts, use_tree
 from codeloom.functions.script_facts import script_facts
 from codeloom.operators import clones, entries, facts, lint, patterns, summary
@@ -429,3 +430,28 @@ def test_merged_fragments_write_matching_windows_only(spark, rows, monkeypatch):
     data = spark.createDataFrame([("a.ts", "x", line * 12), ("b.ts", "x", line * 12), ("c.ts", "x", "".join(f"word{i} other{i * 7} more{i * 11} last{i * 13}\n" for i in range(60)))], SRC)
     assert [r[:6] for r in rows(clones.merged_fragments(clones.fragment_matches(data)))] == [("a.ts", 1, 12, "b.ts", 1, 12)]
     assert {r.path for r in written["fragments"].select("path").distinct().collect()} == {"a.ts", "b.ts"}
+
+
+def test_windows_share_the_hashes_of_their_text(monkeypatch):
+    text = "\n".join(f"alpha{i} = beta{i % 3} + gamma{i % 7} * {i}" for i in range(40))
+    want = [(at, at + 9, fingerprints.winnow(fingerprints.normal_words("\n".join(text.split("\n")[at - 1 : at + 9])), 8, 4, {})) for at in range(1, 32, 2)]
+    monkeypatch.setattr(fingerprints, "winnow", None)  # hashes window by window
+    assert list(fingerprints.windows_of(text, (10,), 8, 4)) == want
+
+
+def test_fragments_are_merged_once(spark, rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(clones, "materialize", lambda df, label: written.append(label) or df)
+    frags = spark.createDataFrame([("a.ts", 1, 12, "b.ts", 1, 12, 1.0), ("a.ts", 30, 40, "b.ts", 50, 60, 0.9)], clones.MERGED)
+    issues = spark.createDataFrame([("a.ts", 1, 20, "b.ts", 1, 15)], "file_a string, start_a bigint, end_a bigint, file_b string, start_b bigint, end_b bigint")
+    assert rows(clones.not_covered(frags, issues)) == [("a.ts", 30, 40, "b.ts", 50, 60, 0.9)]
+    assert written == ["merged-fragments", "block-places"]
+
+
+def test_tables_on_the_way_to_matches_are_deleted(spark):
+    line = "let total = add(first, second) + price * count;\n"
+    data = spark.createDataFrame([("a.ts", "x", line * 12), ("b.ts", "x", line * 12)], SRC)
+    before = len(getattr(spark.sparkContext, "_codeloom_paths", []))
+    assert clones.fragment_matches(data).count()
+    labels = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in spark.sparkContext._codeloom_paths[before:]]
+    assert labels == ["fragments", *["fragment-matches"] * 3]
