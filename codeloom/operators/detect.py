@@ -75,12 +75,15 @@ def barrel_files(files: DataFrame) -> DataFrame:
     """
     flat = F.regexp_replace(F.col("source"), r"(?s)export\s+(type\s+)?\{[^}]*\}(\s*from\s+['\"][^'\"]*['\"])?\s*;?", "export {}$2;")
     lines = F.filter(F.transform(text_lines(flat), trim_all), lambda x: ~x.rlike(r"^(//|/\*|\*|$)"))
-    again = F.size(F.filter(lines, lambda x: x.rlike(r"^export \*|^export\b.*\sfrom\s")))
-    ratio = again / F.greatest(F.size(lines), F.lit(1))
+    # lambdas, so that the lines are made and counted once for each text
+    counts = F.transform(F.array(lines), lambda x: F.struct(F.size(F.filter(x, lambda y: y.rlike(r"^export \*|^export\b.*\sfrom\s"))).alias("again"), F.size(x).alias("all")))
     index = file_name(F.col("path")).rlike(r"^index\.(ts|tsx|js|jsx)$")
-    cond = ((ratio >= 1.0) & (again >= 1)) | (index & (ratio > 0.6)) | (~index & (ratio > 0.3) & (again >= 3))
-    sized = files.where("source is not null").select("path", "language", lines.alias("lines"), "source")
-    return sized.where(F.size("lines") > 0).where(cond).select("path").distinct()
+
+    def barrel(n):
+        ratio = n["again"] / F.greatest(n["all"], F.lit(1))
+        return (n["all"] > 0) & (((ratio >= 1.0) & (n["again"] >= 1)) | (index & (ratio > 0.6)) | (~index & (ratio > 0.3) & (n["again"] >= 3)))
+
+    return files.where(F.col("source").contains("export")).where(F.exists(counts, barrel)).select("path").distinct()
 
 
 def at_least(issues: DataFrame, confidence: float) -> DataFrame:

@@ -108,13 +108,23 @@ def _breaks(rule: LineRule, text: Column, path: Column, comment: Column) -> Colu
     return hit
 
 
+def _suspected(rules, text: Column, path: Column) -> Column:
+    """Whether a line can break a rule: it has a needle, or for macros a string literal, which may stand between the parts of one."""
+    out = F.lit(False)
+    for n in dict.fromkeys(n for r in rules for n in r.needles):
+        out = out | text.contains(n)
+    for family in dict.fromkeys(r.family for r in rules if r.macro):
+        out = out | text.contains('"') & (F.lit(True) if family == "any" else path.rlike(JS_EXT if family == "js" else RS_EXT))
+    return out
+
+
 def _found(rule, cond: Column) -> Column:
     return F.when(cond, F.struct(F.lit(rule.rule).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), F.lit(rule.confidence).alias("confidence")))
 
 
 def line_issues(files: DataFrame, rules=LINE_RULES) -> DataFrame:
     """file, line, rule, severity, message, confidence, snippet: all line rules in one pass without a shuffle; test files are left out."""
-    rows = lines_of(files.where(~is_test_file(F.col("path")))).withColumn("comment", is_comment_line(F.col("text")))
+    rows = lines_of(files.where(~is_test_file(F.col("path")))).where(_suspected(rules, F.col("text"), F.col("path"))).withColumn("comment", is_comment_line(F.col("text")))
     found = F.filter(F.array(*[_found(r, _breaks(r, F.col("text"), F.col("path"), F.col("comment"))) for r in rules]), lambda x: x.isNotNull())
     rows = rows.select("path", "line_no", "text", F.explode(found).alias("f"))
     return rows.select(F.col("path").alias("file"), F.col("line_no").alias("line"), "f.rule", "f.severity", "f.message", "f.confidence", truncate_bytes(trim_all(F.col("text")), 120, 117).alias("snippet"))
@@ -149,7 +159,7 @@ def file_issues(files: DataFrame, rules=FILE_RULES) -> DataFrame:
 
 def unhandled_promises(files: DataFrame) -> DataFrame:
     """``.then(`` without ``.catch(`` on the line or the three after it; neighbours are read from the file's own array of lines."""
-    texts = files.where("path is not null and source is not null").where(~is_test_file(F.col("path")) & F.col("path").rlike(JS_EXT)).select("path", text_lines(F.col("source")).alias("lines"))
+    texts = files.where("path is not null and source is not null").where(F.col("source").contains(".then(") & ~is_test_file(F.col("path")) & F.col("path").rlike(JS_EXT)).select("path", text_lines(F.col("source")).alias("lines"))
     rows = texts.select("path", "lines", F.posexplode("lines").alias("p", "text")).where(F.col("text").contains(".then(") & ~F.col("text").contains(".catch(") & ~is_comment_line(F.col("text")))
     nearby = F.exists(F.slice("lines", F.col("p") + 2, 3), lambda x: x.contains(".catch("))
     rows = rows.where(~F.when(F.col("p") + 2 > F.size("lines"), F.lit(False)).otherwise(nearby))

@@ -4,6 +4,7 @@ import pytest
 
 from codeloom.functions.rust_facts import rust_facts
 from codeloom.functions.script_facts import script_facts
+from codeloom.operators import clones, lint
 from codeloom.plans import core_queries, sample_queries
 
 GOOD = 'import { x } from "./b";\nimport pkg from "left-pad";\nexport const y = 1;\nexport interface Shape { a: number }\nexport function f(a: number) {\n  if (a) {\n    return x;\n  }\n  return a;\n}\n'
@@ -97,3 +98,26 @@ def test_rust_strings_over_lines_stay_whole():
 def test_unused_types_of_plain_scripts(spark, rows, tmp_path):
     d = tables(spark, tmp_path, [("a.js", "javascript", TYPED_JS), ("b.jsx", "jsx", "import type { Side } from './a';\nexport interface Props { a: 1 }\n")])
     assert rows(core_queries.unused_types(spark, d)) == [("a.js", "Shape", "interface"), ("b.jsx", "Props", "interface")]
+
+
+def test_analysis_summary_takes_one_text_of_a_path_in_every_use_and_writes_it_once(spark, rows, tmp_path, monkeypatch):
+    d = tables(spark, tmp_path, [("a.ts", "typescript", "const b = 1;\n"), ("a.ts", "typescript", "const a = 1;\n"), ("a.ts", "typescript", "const a = 1;\n"), ("c.rs", "rust", "fn c() {}\n"), ("c.rs", None, "fn c() {}\n"), ("n.ts", "typescript", None)])
+    seen, whole = [], core_queries.analyze
+    monkeypatch.setattr(core_queries, "analyze", lambda files: seen.append(files) or whole(files))
+    assert core_queries.analysis_summary(spark, d).collect()[0].total_files == 2
+    assert rows(seen[0]) == [("a.ts", "typescript", "const a = 1;\n"), ("c.rs", None, "fn c() {}\n")]
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fragments_of_a_path_with_several_texts_are_distinct_without_a_shuffle(spark, rows):
+    text = "".join(f"let value{i} = compute{i}(input{i}, {i});\n" for i in range(12))
+    files = spark.createDataFrame([("a.ts", text), ("a.ts", text + "let more = 1;\n"), ("a.ts", text), ("b.ts", text)], "path string, source string")
+    shared = clones.shared_fragments(files)
+    assert len(rows(shared)) == len(set(map(str, rows(shared)))) and set(map(str, rows(shared))) >= set(map(str, rows(clones.fragments(files.where("path = 'b.ts'")))))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_line_rules_see_macros_around_string_literals(spark, rows):
+    files = spark.createDataFrame([("a.rs", "rust", 'pan""ic!("y");\nlet s = "todo!(";\n"a" dbg!(1);\n')], "path string, language string, source string")
+    assert [r[1:3] for r in rows(lint.line_issues(files).select("file", "line", "rule"))] == [(1, "rust-panic"), (3, "rust-dbg")]
