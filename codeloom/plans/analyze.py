@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,5 +124,7 @@ def analyze(
     if baseline is not None:
         issues = state.without_baselined(issues, baseline)
     issues = {k: detect.at_least(v, confidence) if k in FILTERED else v for k, v in issues.items()}
-    unified = materialize(registry.post(summary.unified(issues)), "issues")
+    # one job for each category: as one plan they take more of the driver's memory than all else
+    found = reduce(DataFrame.unionByName, [materialize(summary.unified({k: v}), f"issues-{k}") for k, v in issues.items()])
+    unified = materialize(registry.post(found), "issues") if registry.active("post_analysis") else found
     return Analysis(files, facts, edges, entries, issues, duplication, unified, instances, profiles, kind)
